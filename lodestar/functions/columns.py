@@ -151,3 +151,8 @@ def match_pair(a: Column, b: Column) -> Column:
 def n_rows() -> Column:
     """Row count of a group."""
     return F.count(F.lit(1))
+
+
+def complement(tech_a: Column, business_a: Column, tech_b: Column, business_b: Column) -> Column:
+    """1 when two people (codes 1 = no, 2 = yes) complement each other in at least one skill."""
+    return (tech_a * business_b + business_a * tech_b >= 4).cast("int")

@@ -126,8 +126,8 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk:
            for n in lags},
         **{n: F.when(F.col("__last"), F.col(f"__n_{n}")).otherwise(F.col(f"__b_{n}"))
            for n in leads}})
-    helpers = [c for c in out.columns if c.startswith("__")]
-    return out.drop(*helpers)
+    helpers = [f"__{p}_{n}" for n in lags for p in "pa"] + [f"__{p}_{n}" for n in leads for p in "nb"]
+    return out.drop("__c", "__first", "__last", *helpers)
 
 
 def quantiles(df: DataFrame, col: str, probs: dict[str, float],

@@ -188,3 +188,14 @@ def symmetrize(edges: DataFrame) -> DataFrame:
     """Both directions of every edge, once."""
     swapped = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return edges.select("src", "dst").union(swapped).distinct()
+
+
+def outer_match_totals(a: DataFrame, b: DataFrame, code_a: str, code_b: str, name: str) -> DataFrame:
+    """Row sums of the match matrix between two +1/-1 coded tables.
+
+    sum over j of (a_i * b_j + 1) / 2 needs only the sum and the count of the
+    other side, so no pair is built.
+    """
+    other = b.agg(F.sum(code_b).alias("s"), F.count(code_b).alias("n"))
+    total = (F.col(code_a) * other.select("s").scalar() + other.select("n").scalar()) / 2
+    return a.withColumn(name, total.cast("bigint"))

@@ -2,8 +2,11 @@
 
 from lodestar.plans import (  # noqa: F401
     aggregate_queries,
+    network_queries,
     relational_queries,
+    scalar_queries,
     source_queries,
+    stream_queries,
     window_queries,
 )
 from lodestar.plans.registry import COVERS, ORACLES, QUERIES
