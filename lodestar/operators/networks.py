@@ -205,7 +205,7 @@ def decay_ties(links: DataFrame, a: str, b: str, time: str, now: Column, chunk:
     """
     rows = links.select(a, b, time)
     gaps = neighbours(rows, [a, b], [time], chunk, leads={"__next": time}).filter(F.col("__next").isNotNull())
-    gaps = gaps.select(a, b, time, F.datediff("__next", time).alias("gap"))
+    gaps = cut_lineage(gaps.select(a, b, time, F.datediff("__next", time).alias("gap")))
     n = gaps.distinct().agg(n_rows().alias("n")).scalar()
     limit = order_statistic(gaps, "gap", share, "x").scalar()
     aged = rows.withColumn("age", F.datediff(now, F.col(time)))

@@ -2,6 +2,7 @@
 
 from lodestar.plans import (  # noqa: F401
     aggregate_queries,
+    feature_queries,
     network_queries,
     relational_queries,
     scalar_queries,
