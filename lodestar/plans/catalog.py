@@ -3,6 +3,7 @@
 from lodestar.plans import (  # noqa: F401
     aggregate_queries,
     feature_queries,
+    model_queries,
     network_queries,
     relational_queries,
     scalar_queries,
