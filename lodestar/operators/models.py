@@ -264,17 +264,25 @@ def pca_wide(long: DataFrame, row: str, position: str, value: str, d: int) -> tu
 
     Works on the rows x rows matrix: each position is one vector over all rows,
     and the axes come back as (position, axis values), so nothing as wide as a
-    row is ever held in one place. Returns the eigenvalues / (n - 1), the axes
-    and the scores per row.
+    row is ever held in one place. Absent positions are zero. Returns the
+    eigenvalues / (n - 1), the axes and the scores per row.
     """
     ids = [r[0] for r in long.select(row).distinct().orderBy(row).limit(MAX_GRAM + 1).collect()]
     n = len(ids)
     if n > MAX_GRAM:
         raise ValueError(f"more than {MAX_GRAM} rows; use pca")
-    entries = F.array_sort(F.collect_list(F.struct(F.col(row).alias("r"), F.col(value).cast("double").alias("v"))))
-    columns = long.groupBy(position).agg(entries.alias("e")).select(position, F.col("e.v").alias("v"))
-    columns = columns.withColumn("m", F.aggregate("v", F.lit(0.0), lambda a, v: a + v) / n)
-    columns = cut_lineage(columns.select(position, F.transform("v", lambda v: v - F.col("m")).alias("v")))
+    index = long.sparkSession.createDataFrame([(i, k) for k, i in enumerate(ids)], f"`{row}` {dict(long.dtypes)[row]}, k int")
+    columns = (long.join(index, row).groupBy(position)
+               .agg(F.collect_list(F.struct("k", F.col(value).cast("double").alias("v"))).alias("e")))
+
+    @F.pandas_udf("array<double>")
+    def spread(k: pd.Series, v: pd.Series) -> pd.Series:
+        out = np.zeros((len(k), n))
+        for i, (at, x) in enumerate(zip(k, v)):
+            out[i, at] = x
+        return pd.Series(list(out - out.mean(axis=1, keepdims=True)))
+
+    columns = cut_lineage(columns.select(position, spread(F.col("e.k"), F.col("e.v")).alias("v")))
     values, vecs = np.linalg.eigh(gramian(columns, "v", n))
     values, vecs = values[::-1].clip(min=0), _signed(vecs[:, ::-1])
     scale = np.sqrt(np.where(values[:d] > 1e-9, values[:d], np.inf))

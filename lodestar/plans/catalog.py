@@ -5,6 +5,7 @@ from lodestar.plans import (  # noqa: F401
     feature_queries,
     model_queries,
     network_queries,
+    panel_queries,
     relational_queries,
     scalar_queries,
     source_queries,
