@@ -167,7 +167,7 @@ def poisson_fe(df: DataFrame, y: str, xs: Sequence[str], entity: str, time: str
         z = F.col("__eta") + (F.col("__y") - F.col("__mu")) / F.col("__mu")
         work = state.withColumn("__z", z).withColumns({f"__x_{x}": F.col(x).cast("double") for x in xs})
         cols = ["__z", *[f"__x_{x}" for x in xs]]
-        free = cut_lineage(demean(work.withColumn("__z0", F.col("__z")), cols, effects, F.col("__mu")))
+        free = cut_lineage(demean(work.withColumn("__z0", F.col("__z")), cols, effects, F.col("__mu"), tol=1e-8))
         terms = [F.col(f"__x_{x}") for x in xs]
         a, b = cross_products(free, terms, F.col("__mu"), [F.col("__z")])
         new, inv = _solve(a, b[:, 0])

@@ -46,12 +46,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from there."""
+    """Write ``df`` below the shared folder and continue from the written table.
+
+    Unlike a checkpointed plan, a fresh scan carries no inferred constraints
+    from round to round (they multiply in loops), and it knows its size, so
+    later joins can pick a broadcast by measured bytes.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
