@@ -156,3 +156,22 @@ def n_rows() -> Column:
 def complement(tech_a: Column, business_a: Column, tech_b: Column, business_b: Column) -> Column:
     """1 when two people (codes 1 = no, 2 = yes) complement each other in at least one skill."""
     return (tech_a * business_b + business_a * tech_b >= 4).cast("int")
+
+
+# coefficients of the asymptotic series of the digamma function in 1 / z^2
+DIGAMMA_SERIES = (-1 / 12, 1 / 120, -1 / 252, 1 / 240, -1 / 132, 691 / 32760)
+DIGAMMA_SHIFT = 8
+
+
+def digamma(x: Column) -> Column:
+    """Derivative of log gamma for positive numbers: recurrence to z >= 8, then the series."""
+    z = x + DIGAMMA_SHIFT
+    series = sum((F.lit(c) * F.pow(z, -2 * (k + 1)) for k, c in enumerate(DIGAMMA_SERIES)), F.lit(0.0))
+    return F.log(z) - 0.5 / z + series - sum((1 / (x + i) for i in range(DIGAMMA_SHIFT)), F.lit(0.0))
+
+
+def trigamma(x: Column) -> Column:
+    """Derivative of digamma, term by term."""
+    z = x + DIGAMMA_SHIFT
+    series = sum((F.lit(-2.0 * (k + 1) * c) * F.pow(z, -2 * (k + 1) - 1) for k, c in enumerate(DIGAMMA_SERIES)), F.lit(0.0))
+    return 1 / z + 0.5 / (z * z) + series + sum((1 / ((x + i) * (x + i)) for i in range(DIGAMMA_SHIFT)), F.lit(0.0))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.columns import n_rows
-from lodestar.operators.aggregates import profile, value_counts
+from lodestar.operators.aggregates import value_counts
 from lodestar.operators.ordered import null_safe_join, row_numbers
 from lodestar.operators.relational import first_per_key, map_values
 from lodestar.session import partitions
@@ -171,9 +171,10 @@ TRANSFORMS = {"identity": lambda c: c, "log": lambda c: F.log(c + 1), "sqrt": F.
 
 def best_transform(df: DataFrame, cols: Sequence[str], candidates: Mapping = TRANSFORMS) -> DataFrame:
     """Per column the transform with the smallest absolute skewness; one pass over the data."""
-    names = {f"{c}__{n}": (c, n) for c in cols for n in candidates}
-    wide = df.select(*[candidates[n](F.col(c).cast("double")).alias(k) for k, (c, n) in names.items()])
-    parts = F.split("column", "__")
-    skews = profile(wide, list(names)).select(parts[0].alias("column"), parts[1].alias("transform"), "skewness")
+    pairs = [(c, n) for c in cols for n in candidates]
+    one = df.agg(*[F.skewness(candidates[n](F.col(c).cast("double"))).alias(f"s{i}") for i, (c, n) in enumerate(pairs)])
+    items = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(n).alias("transform"), F.col(f"s{i}").alias("skewness"))
+                      for i, (c, n) in enumerate(pairs)])
+    skews = one.select(F.explode(items).alias("s")).select("s.*")
     order = [F.round(F.abs("skewness"), 9), F.col("transform")]
     return first_per_key(skews, ["column"], order)

@@ -30,7 +30,8 @@ def graph(ties: DataFrame, src: str, dst: str, weight: str,
     return vertices, edges
 
 
-def transition_edges(df: DataFrame, entity: str, node: str, order: Sequence[str], chunk: Column) -> DataFrame:
+def transition_edges(df: DataFrame, entity: str, node: str, order: Sequence[str],
+                     chunk: Column | None = None) -> DataFrame:
     """Directed edges between consecutive nodes of each entity, weighted by how often they occur."""
     nxt = neighbours(df, [entity], order, chunk, leads={"dst": node})
     return (nxt.filter(F.col("dst") != F.col(node))
@@ -196,14 +197,14 @@ def bipartite_totals(panel: DataFrame, senders: DataFrame, sender: str) -> DataF
     return cells.join(counts, ["period", "sender"], "left").na.fill(0, ["ties"])
 
 
-def decay_ties(links: DataFrame, a: str, b: str, time: str, now: Column, chunk: Column,
+def decay_ties(links: DataFrame, a: str, b: str, time: str, now: Column, chunk: Column | None = None,
                share: float = 0.9, keep_all_below: int = 3) -> DataFrame:
     """Ties not older than the ``share`` order statistic of the renewal gaps, latest per pair.
 
     With at most ``keep_all_below`` distinct renewals there is no threshold and
     every tie stays.
     """
-    rows = links.select(a, b, time)
+    rows = cut_lineage(links.select(a, b, time))
     gaps = neighbours(rows, [a, b], [time], chunk, leads={"__next": time}).filter(F.col("__next").isNotNull())
     gaps = cut_lineage(gaps.select(a, b, time, F.datediff("__next", time).alias("gap")))
     n = gaps.distinct().agg(n_rows().alias("n")).scalar()
@@ -215,7 +216,8 @@ def decay_ties(links: DataFrame, a: str, b: str, time: str, now: Column, chunk:
     return few.unionByName(trimmed)
 
 
-def decay_fixed(links: DataFrame, keys: Sequence[str], order: Sequence[str], width: int, chunk: Column) -> DataFrame:
+def decay_fixed(links: DataFrame, keys: Sequence[str], order: Sequence[str], width: int,
+                chunk: Column | None = None) -> DataFrame:
     """Ties renewed within ``width`` periods, and the last tie of every pair."""
     out = neighbours(links, keys, order, chunk, leads={"__next": order[0]})
     return out.filter(F.col("__next").isNull() | (F.col("__next") - F.col(order[0]) <= width)).drop("__next")

@@ -28,11 +28,23 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return left.join(right, cond, how).drop(*tag.values())
 
 
+def as_number(df: DataFrame, col: str) -> Column:
+    """A double that grows with a number, date or timestamp column."""
+    kind = dict(df.dtypes)[col]
+    if kind == "date":
+        return F.unix_date(col).cast("double")
+    if kind.startswith("timestamp"):
+        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+    if kind == "string":
+        raise ValueError(f"{col} is text; number the ranges with sorted_chunks instead")
+    return F.col(col).cast("double")
+
+
 def split_points(df: DataFrame, col: str, n: int | None = None) -> list[float]:
     """At most ``n - 1`` cut values that spread the rows evenly (one small driver array)."""
     n = n or partitions(df)
     probs = [i / n for i in range(1, n)]
-    points = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, 20 * n)).first()[0]
+    points = df.agg(F.percentile_approx(as_number(df, col), probs, 20 * n)).first()[0]
     return sorted(set(points or []))
 
 
@@ -50,7 +62,7 @@ def chunk_of(col: Column, points: Sequence[float]) -> Column:
 
 def range_chunks(df: DataFrame, col: str, n: int | None = None) -> Column:
     """Chunk column for ``col``; every chunk holds about ``1/n`` of the rows."""
-    return chunk_of(F.col(col).cast("double"), split_points(df, col, n))
+    return chunk_of(as_number(df, col), split_points(df, col, n))
 
 
 def _order(order: Sequence[str | Column]) -> list[Column]:
@@ -58,12 +70,14 @@ def _order(order: Sequence[str | Column]) -> list[Column]:
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                 chunk: Column, sums: dict[str, Column], before: bool = False) -> DataFrame:
+                 chunk: Column | None, sums: dict[str, Column], before: bool = False) -> DataFrame:
     """Running sums per key in sort order; ``before=True`` leaves the own row out.
 
-    ``chunk`` must grow with the first sort column.
+    ``chunk`` must grow with the first sort column; without it the rows are cut
+    at quantiles of that column, so a chunk never outgrows its share of all rows.
     """
     keys = list(keys)
+    chunk = range_chunks(df, order[0]) if chunk is None else chunk
     base = df.withColumn("__c", chunk)
     for name, value in sums.items():
         base = base.withColumn(f"__v_{name}", value)
@@ -93,14 +107,16 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     return running_sums(df, keys, order, chunk, {name: F.lit(1).cast("bigint")})
 
 
-def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
+def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None = None,
                lags: dict[str, str] | None = None,
                leads: dict[str, str] | None = None) -> DataFrame:
     """Previous (``lags[name] = column``) and next (``leads``) values per key.
 
-    The last and first row of every (key, chunk) travel to the neighbouring chunk.
+    The last and first row of every (key, chunk) travel to the neighbouring
+    chunk; without ``chunk`` the rows are cut at quantiles of the first sort column.
     """
     lags, leads, keys = lags or {}, leads or {}, list(keys)
+    chunk = range_chunks(df, order[0]) if chunk is None else chunk
     base = df.withColumn("__c", chunk)
     local = Window.partitionBy(*keys, "__c").orderBy(*order)
     across = Window.partitionBy(*keys).orderBy("__c")

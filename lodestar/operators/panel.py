@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.columns import n_rows
+from lodestar.functions.columns import digamma, n_rows, trigamma
 from lodestar.functions.stats import normal_p, t_p
 from lodestar.operators.ordered import null_safe_join, range_chunks, running_sums
 from lodestar.session import cut_lineage
@@ -26,7 +26,7 @@ def _sums(df: DataFrame, exprs: Mapping[str, Column]) -> dict[str, float]:
     return {k: float(row[i] or 0.0) for i, k in enumerate(exprs)}
 
 
-MAX_DIRECT = 10
+MAX_DIRECT = 6
 
 
 def cross_products(df: DataFrame, xs: Sequence[Column], w: Column, zs: Sequence[Column]) -> tuple[np.ndarray, np.ndarray]:
@@ -36,14 +36,17 @@ def cross_products(df: DataFrame, xs: Sequence[Column], w: Column, zs: Sequence[
     is spread to its terms and each term sums its own matrix row map-side.
     """
     k, m = len(xs), len(zs)
+    # compute weight, terms and responses once per row before they are multiplied
+    df = df.select(w.cast("double").alias("__cw"), *[x.cast("double").alias(f"__cx{i}") for i, x in enumerate(xs)],
+                   *[z.cast("double").alias(f"__cz{j}") for j, z in enumerate(zs)])
+    w, xs, zs = F.col("__cw"), [F.col(f"__cx{i}") for i in range(k)], [F.col(f"__cz{j}") for j in range(m)]
     if k <= MAX_DIRECT:
         cells = {f"{i},{j}": w * xs[i] * xs[j] for i in range(k) for j in range(i, k)}
         cells |= {f"{i}|{j}": w * xs[i] * zs[j] for i in range(k) for j in range(m)}
         s = _sums(df, cells)
         a = np.array([[s[f"{min(i, j)},{max(i, j)}"] for j in range(k)] for i in range(k)])
         return a, np.array([[s[f"{i}|{j}"] for j in range(m)] for i in range(k)])
-    cols = [*[x.cast("double") for x in xs], *[z.cast("double") for z in zs]]
-    rows = df.select(w.cast("double").alias("w"), F.array(*cols).alias("v")).select(
+    rows = df.select(w.alias("w"), F.array(*xs, *zs).alias("v")).select(
         "w", "v", F.posexplode(F.slice("v", 1, k)).alias("i", "x")).filter("x <> 0")
     parts = rows.groupBy("i").agg(*[F.sum(F.col("w") * F.col("x") * F.get("v", F.lit(j))).alias(f"c{j}")
                                     for j in range(k + m)])
@@ -211,9 +214,7 @@ def neg_binomial(df: DataFrame, y: str, terms: Mapping[str, Column], exposure: C
                  tol: float = 1e-8, max_iter: int = 50) -> tuple[DataFrame, float]:
     """Negative binomial regression (variance mu + mu^2 / theta) and its theta.
 
-    Alternates the term fit with Newton steps on theta. For integer counts
-    psi(y + theta) - psi(theta) is a finite sum over 0..y-1; it only depends on
-    y, so it is summed from the counts per distinct y.
+    Alternates the term fit with Newton steps on theta.
     """
     offset = F.log(exposure) if exposure is not None else F.lit(0.0)
     names = [ONE, *terms]
@@ -222,7 +223,6 @@ def neg_binomial(df: DataFrame, y: str, terms: Mapping[str, Column], exposure: C
     rows = cut_lineage(rows.na.drop())
     xs = [F.col(f"t{i}") for i in range(len(names))]
     y_, o = F.col("__y"), F.col("__o")
-    tail = at_least(rows, "__y")
     s = _sums(rows, {"y": y_, "e": F.exp(o), "n": F.lit(1)})
     beta = np.array([np.log(s["y"] / s["e"]), *[0.0] * len(terms)])
     theta, n = 1e6, s["n"]
@@ -238,12 +238,14 @@ def neg_binomial(df: DataFrame, y: str, terms: Mapping[str, Column], exposure: C
     for _ in range(max_iter):
         old = theta
         mu = F.exp(_dot(xs, beta) + o)
+        known = cut_lineage(rows.select(y_.cast("double").alias("y"), mu.alias("mu")))
+        yy, m_ = F.col("y"), F.col("mu")
         for _ in range(50):
             th = F.lit(theta)
-            finite = _sums(tail, {"d1": F.col("n") / (th + F.col("j")), "d2": F.col("n") / F.pow(th + F.col("j"), 2)})
-            g = _sums(rows, {"d1": F.log(th / (th + mu)) + 1 - (y_ + th) / (mu + th),
-                             "d2": 1 / th - 2 / (mu + th) + (y_ + th) / F.pow(mu + th, 2)})
-            first, second = finite["d1"] + g["d1"], g["d2"] - finite["d2"]
+            g = _sums(known, {
+                "d1": digamma(yy + th) - digamma(th) + F.log(th / (th + m_)) + 1 - (yy + th) / (m_ + th),
+                "d2": trigamma(yy + th) - trigamma(th) + 1 / th - 2 / (m_ + th) + (yy + th) / F.pow(m_ + th, 2)})
+            first, second = g["d1"], g["d2"]
             move = first / abs(second) if second else 0.0
             nxt = theta + move
             nxt = min(max(nxt, theta / 4), theta * 4)
@@ -259,20 +261,6 @@ def neg_binomial(df: DataFrame, y: str, terms: Mapping[str, Column], exposure: C
     return term_table(df, names, beta, np.sqrt(np.diag(inv))), float(theta)
 
 
-def at_least(df: DataFrame, y: str) -> DataFrame:
-    """For every j below the maximum: how many rows have y > j, as steps (j, n).
-
-    Distinct counts are summed from the top; each is spread over the values it
-    covers, so the rows are as many as the largest count.
-    """
-    counts = df.groupBy(F.col(y).alias("v")).agg(n_rows().alias("k"))
-    rows = counts.withColumn("__neg", -F.col("v"))
-    top = running_sums(rows, [], ["__neg"], range_chunks(rows, "__neg"), {"n": F.col("k")})
-    below = counts.withColumn("prev", F.coalesce(F.lag("v").over(Window.orderBy("v")), F.lit(0).cast("bigint")))
-    spans = top.select("v", "n").join(below.select("v", "prev"), "v").filter("v > prev")
-    return cut_lineage(spans.select(F.explode(F.sequence(F.col("prev"), F.col("v") - 1)).alias("j"), "n"))
-
-
 def _newton(value_grad_hess, start: np.ndarray, tol: float = 1e-9, max_iter: int = 100):
     """Newton ascent with step halving; the callback returns value, gradient and Hessian."""
     beta = start
@@ -345,11 +333,15 @@ def zero_inflated_poisson(df: DataFrame, y: str, terms: Mapping[str, Column], ze
     return out.filter(F.col("p") < alpha) if alpha is not None else out
 
 
+TIE_BLOCK = 100_000
+
+
 def cox(df: DataFrame, duration: str, event: str, xs: Sequence[str], ties: str = "efron") -> DataFrame:
     """Proportional hazards. Rows are summed per distinct duration before the risk sets.
 
     Risk sets are running sums from the longest duration down. ``ties`` is
-    ``breslow`` or ``efron``.
+    ``breslow`` or ``efron``; for the latter a time with very many events is
+    spread over several tasks.
     """
     rows = cut_lineage(df.na.drop(subset=[duration, event, *xs]).select(
         F.col(duration).cast("double").alias("__t"), F.col(event).cast("int").alias("__e"),
@@ -359,6 +351,7 @@ def cox(df: DataFrame, duration: str, event: str, xs: Sequence[str], ties: str =
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     chunk = range_chunks(rows.withColumn("__neg", -F.col("__t")), "__neg")
     died = F.col("__e") == 1
+    most = rows.filter(died).groupBy("__t").agg(n_rows().alias("d")).agg(F.max("d")).first()[0] or 0
 
     def at(beta):
         risk = rows.withColumn("__r", F.exp(_dot(cols, beta)))
@@ -372,7 +365,11 @@ def cox(df: DataFrame, duration: str, event: str, xs: Sequence[str], ties: str =
         steps = steps.withColumn("__neg", -F.col("__t"))
         cum = running_sums(steps, [], ["__neg"], chunk, {f"r{n}": F.col(f"s{n}") for n in parts}).filter("d > 0")
         if ties == "efron":
-            cum = cum.withColumn("__l", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("d") - 1)))
+            block = F.lit(TIE_BLOCK).cast("bigint")
+            cum = cum.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("d") - 1, block)))
+            if most > TIE_BLOCK:
+                cum = cum.repartition("__t", "__b")
+            cum = cum.withColumn("__l", F.explode(F.sequence("__b", F.least(F.col("__b") + block, F.col("d")) - 1)))
             part, one = F.col("__l") / F.col("d"), 1 / F.col("d")
             left = {n: F.col(f"r{n}") - part * F.col(f"e{n}") for n in parts}
         else:

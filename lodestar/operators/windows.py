@@ -27,8 +27,8 @@ def panel_lags(panel: DataFrame, entity: Sequence[str], time: str, cols: Sequenc
     return panel.withColumns({f"{c}_lag{k}": F.lag(c, k).over(w) for c in cols for k in steps})
 
 
-def gap_to_next(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
-                gap, name: str) -> DataFrame:
+def gap_to_next(df: DataFrame, keys: Sequence[str], order: Sequence[str], gap, name: str,
+                chunk: Column | None = None) -> DataFrame:
     """``gap(next, current)`` of the first sort column, null for the last row of a key."""
     out = neighbours(df, keys, order, chunk, leads={"next_time": order[0]})
     return out.withColumn(name, gap(F.col("next_time"), F.col(order[0]))).drop("next_time")
@@ -44,8 +44,8 @@ def rolling_mean(panel: DataFrame, entity: Sequence[str], time: str, value: str,
     return panel.withColumn(name, F.avg(value).over(panel_window(entity, time).rowsBetween(1 - n, 0)))
 
 
-def running_ratio(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
-                  a: Column, b: Column, name: str) -> DataFrame:
+def running_ratio(df: DataFrame, keys: Sequence[str], order: Sequence[str], a: Column, b: Column,
+                  name: str, chunk: Column | None = None) -> DataFrame:
     """Running sum of ``a`` over running sum of ``b``."""
     out = running_sums(df, keys, order, chunk, {"run_a": a, "run_b": b})
     return out.withColumn(name, F.try_divide(F.col("run_a").cast("double"), F.col("run_b").cast("double"))

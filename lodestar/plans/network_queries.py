@@ -38,7 +38,7 @@ CLOSURE = """,
 def transitions(t):
     rows = t.lineitem.select("l_partkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")
     return net.transition_edges(rows, "l_partkey", "l_suppkey",
-                                ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey"], year("l_shipdate"))
+                                ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey"])
 
 
 def trade_values(t):
@@ -167,7 +167,7 @@ def decayed_ties(t):
     links = order_lines(t).select(F.col("o_custkey").alias("a"), F.col("l_suppkey").alias("b"),
                                   F.col("o_orderdate").cast("date").alias("d")).distinct()
     now = F.date_add(t.orders.agg(F.max("o_orderdate").cast("date").alias("m")).scalar(), 1)
-    out = net.decay_ties(links, "a", "b", "d", now, F.year("d"))
+    out = net.decay_ties(links, "a", "b", "d", now)
     return out.withColumn("d", F.date_format("d", "yyyy-MM-dd"))
 
 

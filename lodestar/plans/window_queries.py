@@ -15,7 +15,7 @@ from lodestar.plans.relational_queries import nation_year_average
       lag(event_type) over (partition by user_id order by ts, event_id) as prev_type from events""")
 def previous_event(t):
     out = neighbours(t.events.select("event_id", "user_id", "ts", "value", "event_type"), ["user_id"],
-                     ["ts", "event_id"], F.to_date("ts"), lags={"prev_value": "value", "prev_type": "event_type"})
+                     ["ts", "event_id"], lags={"prev_value": "value", "prev_type": "event_type"})
     return out.select("event_id", "prev_value", "prev_type")
 
 
@@ -42,8 +42,7 @@ def daily_counts_with_previous(t):
       (partition by o_custkey order by o_orderdate, o_orderkey))::bigint as gap from orders""")
 def days_to_next_order(t):
     out = win.gap_to_next(t.orders.select("o_orderkey", "o_custkey", "o_orderdate"), ["o_custkey"],
-                          ["o_orderdate", "o_orderkey"], year("o_orderdate"),
-                          lambda nxt, cur: F.datediff(nxt, cur).cast("bigint"), "gap")
+                          ["o_orderdate", "o_orderkey"], lambda nxt, cur: F.datediff(nxt, cur).cast("bigint"), "gap")
     return out.select("o_orderkey", "gap")
 
 
@@ -62,7 +61,7 @@ def value_growth(t):
     from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)""")
 def running_totals(t):
     rows = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-    out = running_sums(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], year("o_orderdate"),
+    out = running_sums(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], None,
                        {"running": F.col("o_totalprice")})
     return out.select("o_orderkey", r("running", 4).alias("running"),
                       r(F.col("running") - F.col("o_totalprice"), 4).alias("prior"))
@@ -74,7 +73,7 @@ def running_totals(t):
     from events window w as (partition by user_id order by ts, event_id rows unbounded preceding)""")
 def running_ratios(t):
     rows = t.events.select("event_id", "user_id", "ts", "event_type", "value")
-    out = running_sums(rows, ["user_id"], ["ts", "event_id"], F.to_date("ts"),
+    out = running_sums(rows, ["user_id"], ["ts", "event_id"], None,
                        {"clicks": (F.col("event_type") == "click").cast("int"), "total": F.col("value").cast("decimal(18,2)"),
                         "n": F.lit(1)})
     total = F.col("total").cast("double")
