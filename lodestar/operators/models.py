@@ -68,9 +68,13 @@ def lasso(alpha: float) -> Estimator:
     return LinearRegression(regParam=alpha, elasticNetParam=1.0, standardization=False, maxIter=1000, tol=1e-10)
 
 
-def ridge(alpha: float, n: int) -> Estimator:
-    """Minimises RSS + alpha * b^2."""
-    return GeneralizedLinearRegression(family="gaussian", regParam=alpha / n)
+def ridge(alpha: float, n: int, label_sd: float) -> Estimator:
+    """Minimises RSS + alpha * b^2 over ``n`` rows.
+
+    Spark divides the penalty by the (population) deviation of the label, which
+    is undone here.
+    """
+    return LinearRegression(solver="normal", regParam=alpha / n * label_sd, elasticNetParam=0.0, standardization=False)
 
 
 def perceptron(inputs: int, hidden: Sequence[int], classes: int = 2, max_iter: int = 100, seed: int = 42) -> Estimator:

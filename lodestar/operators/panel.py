@@ -123,19 +123,32 @@ def _absorbed(df: DataFrame, effects: Sequence[str]) -> int:
     return sum(row) - (len(effects) - 1)
 
 
+MAX_DUMMIES = 60
+
+
+def _with_effects(rows: DataFrame, xs: Sequence[str], entity: str | None, time: str | None):
+    """Rows, terms and effects to sweep out. The few levels of a second effect become terms."""
+    effects = [e for e in (entity, time) if e]
+    if len(effects) == 2:
+        levels = sorted(r[0] for r in rows.select(time).distinct().limit(MAX_DUMMIES + 1).collect())
+        if len(levels) <= MAX_DUMMIES:
+            flags = {f"__d{i}": (F.col(time) == v).cast("double") for i, v in enumerate(levels[1:])}
+            return rows.withColumns(flags), [*xs, *flags], [entity]
+    return rows, list(xs), effects
+
+
 def within(df: DataFrame, y: str, xs: Sequence[str], entity: str | None = None, time: str | None = None) -> DataFrame:
     """Fixed-effects regression by entity, by time, or both (unbalanced panels too)."""
-    effects = [e for e in (entity, time) if e]
-    rows = cut_lineage(df.na.drop(subset=[y, *xs]).select(y, *xs, *effects))
-    free = demean(rows, [y, *xs], effects)
-    free = cut_lineage(free)
-    terms = [F.col(x) for x in xs]
+    base = cut_lineage(df.na.drop(subset=[y, *xs]).select(y, *xs, *[e for e in (entity, time) if e]))
+    rows, all_xs, effects = _with_effects(base, xs, entity, time)
+    free = cut_lineage(demean(rows, [y, *all_xs], effects))
+    terms = [F.col(x) for x in all_xs]
     a, b = cross_products(free, terms, F.lit(1.0), [F.col(y)])
     est, inv = _solve(a, b[:, 0])
-    n = rows.count()
-    dof = n - _absorbed(rows, effects) - len(xs)
+    dof = base.count() - _absorbed(base, [e for e in (entity, time) if e]) - len(xs)
     rss = _sums(free, {"r": F.pow(F.col(y) - _dot(terms, est), 2)})["r"]
-    return term_table(df, xs, est, np.sqrt(np.diag(inv) * rss / dof), dof)
+    k = len(xs)
+    return term_table(df, xs, est[:k], np.sqrt(np.diag(inv)[:k] * rss / dof), dof)
 
 
 def ols(df: DataFrame, y: str, terms: Mapping[str, Column]) -> DataFrame:
@@ -152,35 +165,35 @@ def poisson_fe(df: DataFrame, y: str, xs: Sequence[str], entity: str, time: str
                tol: float = 1e-9, max_iter: int = 100) -> DataFrame:
     """Poisson regression with entity (and time) effects; entities with only zeros drop out.
 
-    Weighted least squares steps in which the effects are swept out of the
-    working response and the terms, so no dummy is ever built. ``y`` may be any
-    non-negative number (quasi-likelihood).
+    Weighted least squares steps in which the entity means are swept out of the
+    working response and the terms, so no entity dummy is ever built. ``y`` may
+    be any non-negative number (quasi-likelihood).
     """
-    effects = [e for e in (entity, time) if e]
-    rows = df.na.drop(subset=[y, *xs]).select(F.col(y).cast("double").alias("__y"), *xs, *effects)
-    for effect in effects:
+    keys = [e for e in (entity, time) if e]
+    rows = df.na.drop(subset=[y, *xs]).select(F.col(y).cast("double").alias("__y"), *xs, *keys)
+    for effect in keys:
         alive = rows.groupBy(effect).agg(F.sum("__y").alias("s")).filter("s > 0").select(effect)
         rows = rows.join(alive, effect, "left_semi")
-    rows = cut_lineage(rows)
+    rows, all_xs, effects = _with_effects(cut_lineage(rows), xs, entity, time)
     mean = rows.agg(F.avg("__y").alias("m")).first()[0]
-    state = rows.withColumn("__mu", (F.col("__y") + F.lit(mean)) / 2)
-    state = state.withColumn("__eta", F.log("__mu"))
-    beta = None
+    state = rows.withColumn("__eta", F.log((F.col("__y") + F.lit(mean)) / 2))
+    beta, k = None, len(xs)
     for _ in range(max_iter):
-        z = F.col("__eta") + (F.col("__y") - F.col("__mu")) / F.col("__mu")
-        work = state.withColumn("__z", z).withColumns({f"__x_{x}": F.col(x).cast("double") for x in xs})
-        cols = ["__z", *[f"__x_{x}" for x in xs]]
-        free = cut_lineage(demean(work.withColumn("__z0", F.col("__z")), cols, effects, F.col("__mu"), tol=1e-8))
-        terms = [F.col(f"__x_{x}") for x in xs]
+        mu = F.exp("__eta")
+        work = state.withColumn("__mu", mu).withColumn("__z0", F.col("__eta") + F.col("__y") / F.col("__mu") - 1)
+        work = work.withColumn("__z", F.col("__z0")).withColumns({f"__x_{x}": F.col(x).cast("double") for x in all_xs})
+        cols = ["__z", *[f"__x_{x}" for x in all_xs]]
+        free = cut_lineage(demean(work, cols, effects, F.col("__mu"), tol=1e-8))
+        terms = [F.col(f"__x_{x}") for x in all_xs]
         a, b = cross_products(free, terms, F.col("__mu"), [F.col("__z")])
         new, inv = _solve(a, b[:, 0])
         # fitted value: working response minus its residual after terms and effects
         eta = F.col("__z0") - (F.col("__z") - _dot(terms, new))
-        state = free.withColumn("__eta", eta).withColumn("__mu", F.exp("__eta")).select("__y", *xs, *effects, "__mu", "__eta")
+        state = free.select("__y", *all_xs, *keys, eta.alias("__eta"))
         done = beta is not None and np.max(np.abs(new - beta)) <= tol * (1 + np.max(np.abs(new)))
         beta = new
         if done:
-            return term_table(df, xs, beta, np.sqrt(np.diag(inv)))
+            return term_table(df, xs, beta[:k], np.sqrt(np.diag(inv)[:k]))
     raise RuntimeError("Poisson fit did not settle; raise max_iter")
 
 
@@ -210,6 +223,9 @@ def _irls(df: DataFrame, xs: Sequence[Column], weight_and_z, start: np.ndarray,
     raise RuntimeError("fit did not settle; raise max_iter")
 
 
+MAX_THETA = 1e5  # beyond this the fit is Poisson
+
+
 def neg_binomial(df: DataFrame, y: str, terms: Mapping[str, Column], exposure: Column | None = None,
                  tol: float = 1e-8, max_iter: int = 50) -> tuple[DataFrame, float]:
     """Negative binomial regression (variance mu + mu^2 / theta) and its theta.
@@ -225,7 +241,7 @@ def neg_binomial(df: DataFrame, y: str, terms: Mapping[str, Column], exposure: C
     y_, o = F.col("__y"), F.col("__o")
     s = _sums(rows, {"y": y_, "e": F.exp(o), "n": F.lit(1)})
     beta = np.array([np.log(s["y"] / s["e"]), *[0.0] * len(terms)])
-    theta, n = 1e6, s["n"]
+    theta, n = MAX_THETA, s["n"]
 
     def step(eta):
         mu = F.exp(eta + o)
@@ -251,12 +267,12 @@ def neg_binomial(df: DataFrame, y: str, terms: Mapping[str, Column], exposure: C
             nxt = min(max(nxt, theta / 4), theta * 4)
             close = abs(nxt - theta) <= tol * theta
             theta = nxt
-            if close or theta > 1e7:
+            if close or theta > MAX_THETA:
                 break
         new, inv = _irls(rows, xs, step, beta)
         close = abs(theta - old) <= 1e-6 * theta and np.max(np.abs(new - beta)) <= 1e-6
         beta = new
-        if close or theta > 1e7:
+        if close or theta > MAX_THETA:
             break
     return term_table(df, names, beta, np.sqrt(np.diag(inv))), float(theta)
 

@@ -104,7 +104,8 @@ def price_lasso_and_ridge(t):
     x = ["l_quantity", "l_discount", "l_tax"]
     rows = mo.assemble(t.lineitem.select(*x, "l_extendedprice"), x, "l_extendedprice")
     lasso = mo.coefficients(mo.lasso(50.0).fit(rows), x, t.lineitem).select(F.lit("lasso").alias("model"), "term", r("estimate", 2).alias("estimate"))
-    ridge = mo.coefficients(mo.ridge(50.0, rows.count()).fit(rows), x, t.lineitem)
+    n, sd = rows.agg(n_rows(), F.stddev_pop("label")).first()
+    ridge = mo.coefficients(mo.ridge(50.0, n, sd).fit(rows), x, t.lineitem)
     return lasso.union(ridge.select(F.lit("ridge"), "term", r("estimate", 2)))
 
 

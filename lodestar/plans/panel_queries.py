@@ -70,7 +70,7 @@ def returned_negative_binomial(t):
     panel = supplier_panel(t)
     terms = {"price": F.col("price"), "discount": F.col("discount"), **pa.dummies(panel, "yr")}
     table, theta = pa.neg_binomial(panel, "returned", terms, exposure=F.col("n"))
-    return shown(table, 4).withColumn("overdispersed", F.lit(int(theta < 1e6)))
+    return shown(table, 4).withColumn("overdispersed", F.lit(int(theta < pa.MAX_THETA)))
 
 
 @query("P7")
