@@ -268,8 +268,11 @@ def power_centrality(edges: DataFrame, beta: float, tol: float = 1e-10, max_iter
     state = with_product(arcs.groupBy(F.col("src").alias("node")).agg(n_rows().cast("double").alias("r")))
     state = cut_lineage(state.select("node", F.lit(0.0).alias("x"), "r", F.col("r").alias("p"), "mr",
                                      F.col("mr").alias("mp")))
-    dots = [F.sum(F.col("r") * F.col("mr")), F.sum(F.col("mp") * F.col("mp")), F.sum(F.col("r") * F.col("r"))]
-    rmr, mpmp, norm0 = state.agg(*dots).first()
+    def dots(df: DataFrame):
+        r, mr, mp = F.col("r"), F.col("mr"), F.col("mp")
+        return df.agg(F.sum(r * mr), F.sum(r * r), F.sum(mr * mr), F.sum(mr * mp), F.sum(mp * mp)).first()
+
+    rmr, norm0, _, _, mpmp = dots(state)
     norm = norm0
     for _ in range(max_iter):
         if norm <= tol * tol * norm0 or mpmp == 0 or rmr == 0:
@@ -278,11 +281,12 @@ def power_centrality(edges: DataFrame, beta: float, tol: float = 1e-10, max_iter
         moved = state.select("node", (F.col("x") + alpha * F.col("p")).alias("x"),
                              (F.col("r") - alpha * F.col("mp")).alias("r"), "p", "mp")
         moved = cut_lineage(with_product(moved))
-        after, norm = moved.agg(F.sum(F.col("r") * F.col("mr")), F.sum(F.col("r") * F.col("r"))).first()
+        after, norm, mrmr, mrmp, old = dots(moved)
         ratio = after / rmr
-        state = cut_lineage(moved.select("node", "x", "r", (F.col("r") + ratio * F.col("p")).alias("p"), "mr",
-                                         (F.col("mr") + ratio * F.col("mp")).alias("mp")))
-        rmr, mpmp = after, state.agg(dots[1]).first()[0]
+        state = moved.select("node", "x", "r", (F.col("r") + ratio * F.col("p")).alias("p"), "mr",
+                             (F.col("mr") + ratio * F.col("mp")).alias("mp"))
+        rmr, mpmp = after, mrmr + 2 * ratio * mrmp + ratio * ratio * old
+    state = cut_lineage(state)
     scale = state.agg(F.sqrt(F.sum(F.col("x") * F.col("x")) / n_rows()).alias("s")).scalar()
     return state.select("node", (F.col("x") / scale).alias("power")), (norm / norm0) ** 0.5
 

@@ -448,10 +448,12 @@ def yearly_mean_coreness(t):
 
 
 @query("L12")
-def supplier_power(t):
-    """Rows only: the scores solve a linear system."""
-    power, _ = cen.power_centrality(cut_lineage(transitions(t)), 0.75)
-    return power.withColumn("power", r("power"))
+def nation_power(t):
+    """Rows only: the scores solve a linear system over the above-average trade ties."""
+    values = trade_values(t)
+    ties = values.filter(F.col("v") > values.agg(F.avg("v").alias("m")).scalar())
+    power, residual = cen.power_centrality(ties, 0.75, tol=1e-9)
+    return power.select("node", r("power").alias("power"), F.lit(int(residual < 1e-6)).alias("settled"))
 
 
 @query("L13", f"""
