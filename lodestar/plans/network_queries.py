@@ -337,7 +337,7 @@ def trade_distances(t):
     return cen.distances(edges, sources).withColumn("dist", r("dist", 8))
 
 
-@query("L3", f"with {TRADE}{CLOSURE.format(e='e')} select i as node, round(1 / sum(d), 8) as closeness from d5 group by 1")
+@query("L3", f"with {TRADE}{CLOSURE.format(e='e')} select i as node, round(1 / nullif(sum(d), 0), 8) as closeness from d5 group by 1")
 def trade_closeness(t):
     edges = trade(t)
     sources = cen.nodes_of(edges).select(F.col("node").alias("source"))

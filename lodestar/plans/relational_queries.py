@@ -335,7 +335,7 @@ def neighbour_average(t):
 def nation_year_average(t):
     return (t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
             .groupBy(F.col("c_nationkey").alias("entity"), year("o_orderdate").alias("yr"))
-            .agg(F.avg("o_totalprice").alias("x")))
+            .agg((F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).alias("x")))
 
 
 @query("C20 M8", """
