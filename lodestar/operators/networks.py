@@ -198,22 +198,27 @@ def bipartite_totals(panel: DataFrame, senders: DataFrame, sender: str) -> DataF
 
 
 def decay_ties(links: DataFrame, a: str, b: str, time: str, now: Column, chunk: Column | None = None,
-               share: float = 0.9, keep_all_below: int = 3) -> DataFrame:
+               share: float = 0.9, keep_all_below: int = 3, by: Sequence[str] = ()) -> DataFrame:
     """Ties not older than the ``share`` order statistic of the renewal gaps, latest per pair.
 
     With at most ``keep_all_below`` distinct renewals there is no threshold and
-    every tie stays.
+    every tie stays. With ``by`` (e.g. a snapshot year, see ``snapshots``) every
+    snapshot has its own threshold, and ``now`` may depend on it.
     """
-    rows = cut_lineage(links.select(a, b, time))
-    gaps = neighbours(rows, [a, b], [time], chunk, leads={"__next": time}).filter(F.col("__next").isNotNull())
-    gaps = cut_lineage(gaps.select(a, b, time, F.datediff("__next", time).alias("gap")))
-    n = gaps.distinct().agg(n_rows().alias("n")).scalar()
-    limit = order_statistic(gaps, "gap", share, "x").scalar()
-    aged = rows.withColumn("age", F.datediff(now, F.col(time)))
-    few = aged.filter(n <= keep_all_below)
-    trimmed = (aged.filter((n > keep_all_below) & (F.col("age") <= limit))
-               .groupBy(a, b).agg(F.max(time).alias(time), F.min("age").alias("age")))
-    return few.unionByName(trimmed)
+    by = list(by)
+    group = by or ["__all"]
+    rows = links if by else links.withColumn("__all", F.lit(0))
+    rows = cut_lineage(rows.select(*group, a, b, time))
+    gaps = neighbours(rows, [*group, a, b], [time], chunk, leads={"__next": time}).filter(F.col("__next").isNotNull())
+    gaps = cut_lineage(gaps.select(*group, a, b, time, F.datediff("__next", time).alias("gap")))
+    limits = (gaps.distinct().groupBy(*group).agg(n_rows().alias("__n"))
+              .join(order_statistic(gaps, "gap", share, "__limit", group), group))
+    aged = rows.join(limits, group, "left").withColumn("age", F.datediff(now, F.col(time)))
+    few = F.coalesce("__n", F.lit(0)) <= keep_all_below
+    all_ties = aged.filter(few).select(*group, a, b, time, "age")
+    trimmed = (aged.filter(~few & (F.col("age") <= F.col("__limit"))).groupBy(*group, a, b)
+               .agg(F.max(time).alias(time), F.min("age").alias("age")))
+    return all_ties.unionByName(trimmed).drop("__all")
 
 
 def decay_fixed(links: DataFrame, keys: Sequence[str], order: Sequence[str], width: int,

@@ -178,11 +178,14 @@ def _value_chunks(rows: DataFrame, col: str) -> Column:
     return chunk_of(F.col("__x").cast("double"), split_points(rows, col))
 
 
-def order_statistic(df: DataFrame, col: str, p: float, name: str) -> DataFrame:
-    """The value at position ``ceil(p * n)`` in ascending order."""
-    counts = (df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("__x"))
+def order_statistic(df: DataFrame, col: str, p: float, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """The value at position ``ceil(p * n)`` in ascending order, per ``by``."""
+    by = list(by)
+    counts = (df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("__x"))
               .agg(F.count(F.lit(1)).alias("__n")))
-    cum = running_sums(counts, [], ["__x"], _value_chunks(df, col), {"__cum": F.col("__n")})
-    k = F.ceil(F.lit(p) * counts.agg(F.sum("__n").alias("s")).scalar())
+    cum = running_sums(counts, by, ["__x"], _value_chunks(df, col), {"__cum": F.col("__n")})
+    total = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
+    cum = null_safe_join(cum, total, by) if by else cum.withColumn("__total", total.scalar())
+    k = F.ceil(F.lit(p) * F.col("__total"))
     return cum.filter((F.col("__cum") - F.col("__n") < k) & (k <= F.col("__cum"))).select(
-        F.col("__x").alias(name))
+        *by, F.col("__x").alias(name))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.columns import n_rows, r, year
 from lodestar.operators import centrality as cen
 from lodestar.operators import networks as net
+from lodestar.operators.relational import snapshots
 from lodestar.plans.registry import query
 from lodestar.plans.relational_queries import order_lines
 from lodestar.session import cut_lineage
@@ -171,6 +172,25 @@ def decayed_ties(t):
     return out.withColumn("d", F.date_format("d", "yyyy-MM-dd"))
 
 
+@query("K4 C15 J3", """
+    with l as (select distinct o_custkey as a, l_suppkey as b, o_orderdate as d from orders join lineitem on o_orderkey = l_orderkey
+               where l_returnflag = 'R'),
+    s as (select y, a, b, d from (select distinct year(d)::bigint as y from l) ys join l on year(l.d) < ys.y),
+    g as (select y, datediff('day', d, lead(d) over (partition by y, a, b order by d)) as gap from s),
+    cut as (select y, gap from (select y, gap, row_number() over (partition by y order by gap) as rn, count(*) over (partition by y) as n
+            from g where gap is not null) where rn = ceil(0.9 * n))
+    select s.y, a, b, min(datediff('day', d, make_date(s.y, 1, 1)))::int as age from s join cut on cut.y = s.y
+    where datediff('day', d, make_date(s.y, 1, 1)) <= gap group by 1, 2, 3""")
+def decayed_ties_by_year(t):
+    """One network per year: ties before it, trimmed by the renewals known then."""
+    links = order_lines(t).filter("l_returnflag = 'R'").select(
+        F.col("o_custkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("o_orderdate").cast("date").alias("d")).distinct()
+    span = t.orders.agg(F.min(year("o_orderdate")).alias("lo"), F.max(year("o_orderdate")).alias("hi"))
+    rows = snapshots(links.withColumn("yr", year("d")), "yr", span.select("lo").scalar(), span.select("hi").scalar(), "y")
+    now = F.make_date(F.col("y").cast("int"), F.lit(1), F.lit(1))
+    return net.decay_ties(rows, "a", "b", "d", now, by=["y"]).select("y", "a", "b", "age")
+
+
 @query("K5", """
     with l as (select distinct o_custkey as a, l_suppkey as b, year(o_orderdate)::bigint as yr
                from orders join lineitem on o_orderkey = l_orderkey),
