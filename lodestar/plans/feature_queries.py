@@ -172,7 +172,8 @@ def _imputed(col):
     return f"""
     p_{col} as (select a.id, b.id as donor, b.{col} as v, sqrt(3.0 / ({present}) * ({terms})) as d
       from f a join f b on a.{col} is null and b.{col} is not null and ({present}) > 0),
-    i_{col} as (select id, sum(v / d) / sum(1 / d) as v from
+    i_{col} as (select id, case when min(d) = 0 then avg(case when d = 0 then v end)
+        else sum(v / nullif(d, 0)) / sum(1 / nullif(d, 0)) end as v from
       (select *, row_number() over (partition by id order by d, donor) as rk from p_{col}) where rk <= 5 group by id)"""
 
 

@@ -69,7 +69,7 @@ def running_totals(t):
 
 @query("E8", """
     select event_id, round(sum((event_type = 'click')::int) over w / (sum(value::decimal(18, 2)) over w)::double, 8) as ratio,
-      round((sum(value::decimal(18, 2)) over w)::double / count(*) over w, 6) as mean
+      (sum(value::decimal(18, 2)) over w)::double / count(*) over w as mean
     from events window w as (partition by user_id order by ts, event_id rows unbounded preceding)""")
 def running_ratios(t):
     rows = t.events.select("event_id", "user_id", "ts", "event_type", "value")
@@ -78,7 +78,7 @@ def running_ratios(t):
                         "n": F.lit(1)})
     total = F.col("total").cast("double")
     return out.select("event_id", r(F.try_divide(F.col("clicks").cast("double"), total), 8).alias("ratio"),
-                      r(total / F.col("n")).alias("mean"))
+                      (total / F.col("n")).alias("mean"))
 
 
 @query("E9", """

@@ -298,6 +298,12 @@ def test_imputation(spark):
         assert got[i]["abc"[k]] == pytest.approx(want)
 
 
+def test_imputation_prefers_exact_matches(spark):
+    df = spark.createDataFrame([(0, 1.0, None), (1, 1.0, 5.0), (2, 1.0, 7.0), (3, 9.0, 100.0)], "id long, a double, b double")
+    got = {r.id: r.b for r in nn.knn_impute(df, "id", ["a", "b"], 3).collect()}
+    assert got == {0: 6.0, 1: 5.0, 2: 7.0, 3: 100.0}
+
+
 def test_metrics_and_search(spark, regression):
     _, _, df = regression
     rows = fe.assign_fold(mo.assemble(df.withColumn("id", F.monotonically_increasing_id()), ["a", "b", "c"], "d"), "id", 3).cache()
