@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.llm import substring
+from lodestar.llm import ngram_join, substring
 from lodestar.llm.catalog import ORACLES, QUERIES, documents, query
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op3_ngram_join")
+def op3(spark, sf_dir):
+    return ngram_join.ngram_join(documents(spark, sf_dir), width=5, percent=80).select(
+        "doc_id", "n_shingles", "component_id", "class_id")
+
+
 @query("op5_substring_dedup")
 def op5(spark, sf_dir):
     out = substring.substring_dedup(documents(spark, sf_dir), width=35)

@@ -1,6 +1,6 @@
 """Hashes that stand in more than one place, found with one shuffle of packed hashes.
 
-Texts are dealt to blocks by a hash of id and text. Each block keeps every
+Texts are dealt to blocks by a hash. Each block keeps every
 hash at most twice (pre-aggregation: a hash of a third of all texts costs two
 entries a block), cuts the sorted hashes into ranges and sends one row per
 (block, range). A range counts its hashes over all blocks and answers each
@@ -22,11 +22,10 @@ from lodestar.session import partitions
 GROUPS = 4  # blocks, and ranges, per shuffle partition
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Id (as ``id``), text and block number, with each block in one partition."""
-    n = partitions(docs)
-    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-            .withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(GROUPS * n)).cast("int"))
+def blocks(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows with a block number from the columns ``by``; each block lies in one partition."""
+    n = partitions(rows)
+    return (rows.withColumn("block", F.pmod(F.xxhash64(*by), F.lit(GROUPS * n)).cast("int"))
             .repartition(n, "block"))
 
 

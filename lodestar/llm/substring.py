@@ -7,6 +7,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, LongType, StringType, StructField, StructType)
 
 from lodestar.llm import words
@@ -43,7 +44,8 @@ def substring_dedup(docs: DataFrame, width: int = 35, id_col: str = "doc_id",
     stay null; other columns are not read. Equal 64-bit hashes count as equal
     windows: with n windows the chance of one wrong match is n * n / 2**65.
     """
-    parted = blocks(docs, id_col, text_col)
+    parted = blocks(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")),
+                    "id", "text")
     twice = repeated(parted, lambda part: _window_hashes(part, width))
 
     def remove(part: pa.Table, found: pa.Table) -> pa.Table:
