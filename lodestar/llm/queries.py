@@ -4,9 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.llm import ngram_join, substring
+from lodestar.llm import ngram_join, secret_scan, substring
 from lodestar.llm.catalog import ORACLES, QUERIES, documents, query
 
+BASE_KINDS = ("assign", "access", "hex")
+
+
+def _span_list(rule, rank):
+    """DuckDB list of the spans of one rule in text t."""
+    pattern = "'" + rule.pattern.replace("'", "''") + "'"
+    size = f"regexp_extract_all(t, {pattern}, 0)"
+    gaps = f"regexp_split_to_array(t, {pattern})"
+    value = f"regexp_extract_all(t, {pattern}, {rule.group})"
+    chars = lambda x: f"coalesce(list_sum(list_transform({x}, lambda s: length(s))), 0)"
+    at = f"{chars(f'({gaps})[1:i]')} + {chars(f'({size})[1:i-1]')}"
+    return (f"case when regexp_matches(t, {pattern}) then list_transform("
+            f"list_filter(range(1, len({size}) + 1), lambda i: length(({value})[i]) >= {rule.least}), "
+            f"lambda i: {{'start': ({at})::bigint, 'rank': {rank}, 'finish': ({at} + length(({size})[i]))::bigint, "
+            f"'kind': '{rule.kind}'}}) else [] end")
+
+
+def _listed(spans):
+    return f"coalesce(array_to_string(list_transform({spans}, lambda x: x.kind || ':' || x.start || ':' || x.finish), ','), '')"
+
+
+OP8_SQL = f"""
+with docs as (select doc_id, coalesce(text, '') as t from documents),
+found as (select doc_id, list_sort({" || ".join(_span_list(r, i) for i, r in enumerate(secret_scan.RULES))}) as spans
+  from docs),
+base as (select *, list_filter(spans, lambda x: x.rank < 3) as own from found)
+select doc_id, len(list_filter(own, lambda x: x.rank = 0))::bigint as n_assign,
+  len(list_filter(own, lambda x: x.rank = 1))::bigint as n_access, len(list_filter(own, lambda x: x.rank = 2))::bigint as n_hex,
+  sha256({_listed("own")}) as base_sha256, {_listed("spans")} as spans
+from base"""
+
 __all__ = ["ORACLES", "QUERIES"]
 
 
@@ -22,3 +53,13 @@ def op5(spark, sf_dir):
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     return out.select("doc_id", "n_words", removed.alias("n_removed"),
                       F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), "removed")
+
+
+@query("op8_secret_scan", OP8_SQL)
+def op8(spark, sf_dir):
+    found = secret_scan.secret_scan(documents(spark, sf_dir))
+    own = F.filter("spans", lambda x: x["kind"].isin(*BASE_KINDS))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    counts = [count(kind).alias(f"n_{kind}") for kind in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.listing(own).cast("binary"), 256).alias("base_sha256"),
+                        secret_scan.listing(F.col("spans")).alias("spans"))
