@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lodestar.session import partitions
 
-GROUPS = 4  # blocks, and ranges, per shuffle partition
+GROUPS = 2  # blocks, and ranges, per shuffle partition
 
 
 def blocks(rows: DataFrame, *by: str) -> DataFrame:
