@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.llm import ngram_join, secret_scan, substring
+from lodestar.llm import license_scan, ngram_join, quality, secret_scan, substring
 from lodestar.llm.catalog import ORACLES, QUERIES, documents, query
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -63,3 +63,23 @@ def op8(spark, sf_dir):
     counts = [count(kind).alias(f"n_{kind}") for kind in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(secret_scan.listing(own).cast("binary"), 256).alias("base_sha256"),
                         secret_scan.listing(F.col("spans")).alias("spans"))
+
+
+@query("op2_quality_rules")
+def op2(spark, sf_dir):
+    out = quality.quality(documents(spark, sf_dir))
+    failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                      failed.alias("base_failed"), (~failed & (F.col("posterior") >= 0.5)).alias("kept"), "posterior")
+
+
+@query("op10_license_scan")
+def op10(spark, sf_dir):
+    found = license_scan.license_scan(documents(spark, sf_dir))
+    base = F.filter("matches", lambda m: m["base"])
+    starts = F.transform(base, lambda m: m["start"])
+    names = lambda m: F.concat_ws(",", F.array_sort(F.array_distinct(F.transform(m, lambda x: x["label"]))))
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), names(base).alias("base_labels"), names(F.col("matches")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0)).alias("score"))
