@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.llm import license_scan, ngram_join, quality, secret_scan, substring
+from lodestar.llm import language_id, license_scan, ngram_join, quality, secret_scan, substring
 from lodestar.llm.catalog import ORACLES, QUERIES, documents, query
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -83,3 +83,15 @@ def op10(spark, sf_dir):
         "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
         F.array_max(starts).alias("last_word"), names(base).alias("base_labels"), names(F.col("matches")).alias("labels"),
         F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0)).alias("score"))
+
+
+def _fold(modulus):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
+
+
+@query("op1_language_id")
+def op1(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    known = language_id.prototypes(docs.filter(_fold(4) != 2))
+    return language_id.language_id(docs, known).select(
+        "doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -77,7 +77,7 @@ class Words:
     starts: np.ndarray  # first byte of each word
     ends: np.ndarray  # byte after each word
     bounds: np.ndarray  # first word of each text, and the end
-    fold: bool
+    letters: np.ndarray  # number that stands for each byte in hashes
 
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
@@ -86,22 +86,30 @@ class Words:
         """Number of the text that each word stands in."""
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts())
 
-    def hashes(self) -> np.ndarray:
-        """64-bit hash of each word."""
-        letters = _LETTER[_FOLD] if self.fold else _LETTER
-        out = np.empty(len(self.starts), dtype=np.uint64)
+    def hashes(self, first: int | None = None) -> np.ndarray:
+        """64-bit hash of each word, or of its first bytes (shorter words: whole)."""
+        return self.stretches(self.starts, self.ends if first is None else np.minimum(self.starts + first, self.ends))
+
+    def stretches(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """64-bit hash of each stretch of bytes; both arrays ascend."""
+        out = np.empty(len(starts), dtype=np.uint64)
         i = 0
         while i < len(out):
-            first = self.starts[i]
-            j = max(i + 1, int(np.searchsorted(self.ends, first + SEGMENT, side="right")))
-            part = self.data[first:self.ends[j - 1]]
-            out[i:j] = _BYTES.stretch(letters[part], self.starts[i:j] - first, self.ends[i:j] - first)
+            base = starts[i]
+            j = max(i + 1, int(np.searchsorted(ends, base + SEGMENT, side="right")))
+            part = self.data[base:ends[j - 1]]
+            out[i:j] = _BYTES.stretch(self.letters[part], starts[i:j] - base, ends[i:j] - base)
             i = j
         return out
 
 
-def cut(texts: pa.Array, words: np.ndarray = BLANKS, fold: bool = False) -> Words:
-    """Words of each text of a string array; a null text has none."""
+def cut(texts: pa.Array, words: np.ndarray = BLANKS, fold: bool | np.ndarray = False) -> Words:
+    """Words of each text of a string array; a null text has none.
+
+    ``fold`` maps bytes before they are compared: true lower-cases A-Z, an
+    array of 256 bytes gives any other mapping.
+    """
+    mapping = fold if isinstance(fold, np.ndarray) else _FOLD if fold else np.arange(256)
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.string()) if not pa.types.is_string(texts.type) else texts
@@ -115,7 +123,7 @@ def cut(texts: pa.Array, words: np.ndarray = BLANKS, fold: bool = False) -> Word
     data = (np.frombuffer(data, dtype=np.uint8)[base:offsets[-1]] if data is not None
             else np.zeros(0, dtype=np.uint8))
     offsets = offsets - base
-    inside = (words[_FOLD] if fold else words)[data]
+    inside = words[mapping][data]
     begin, end = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1]
     end[:-1] &= ~inside[1:]
@@ -124,7 +132,7 @@ def cut(texts: pa.Array, words: np.ndarray = BLANKS, fold: bool = False) -> Word
     end[inner - 1] = inside[inner - 1]
     starts = np.flatnonzero(begin)
     return Words(data, offsets, starts, np.flatnonzero(end) + 1,
-                 np.searchsorted(starts, offsets), fold)
+                 np.searchsorted(starts, offsets), _LETTER[mapping])
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
