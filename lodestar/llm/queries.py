@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.llm import language_id, license_scan, ngram_join, quality, secret_scan, substring
+from lodestar.llm import language_id, license_scan, ngram_join, quality, secret_scan, substring, toxicity
+from lodestar.session import table
 from lodestar.llm.catalog import ORACLES, QUERIES, documents, query
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -95,3 +96,12 @@ def op1(spark, sf_dir):
     known = language_id.prototypes(docs.filter(_fold(4) != 2))
     return language_id.language_id(docs, known).select(
         "doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_toxicity")
+def op4(spark, sf_dir):
+    docs, labels = documents(spark, sf_dir), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(_fold(3) != 1))
+    return model.score(docs).select(
+        "doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
