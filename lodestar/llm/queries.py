@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.llm import language_id, license_scan, ngram_join, quality, secret_scan, substring, toxicity
+from lodestar.llm import (code_search, language_id, license_scan, mixing, ngram_join, packing, quality, secret_scan,
+                          substring, toxicity)
 from lodestar.session import table
 from lodestar.llm.catalog import ORACLES, QUERIES, documents, query
 
@@ -39,6 +40,52 @@ select doc_id, len(list_filter(own, lambda x: x.rank = 0))::bigint as n_assign,
   sha256({_listed("own")}) as base_sha256, {_listed("spans")} as spans
 from base"""
 
+OP6_SQL = """
+with codes as (
+  select vec_id, list_transform(embedding[1:64], lambda x: x > 0) as code from embeddings
+  where vec_id is not null and len(embedding) >= 64),
+pairs as (
+  select q.vec_id as query_id, n.vec_id as neighbour_id,
+    list_sum(list_transform(range(1, 65), lambda i: (q.code[i] <> n.code[i])::int))::int as distance
+  from codes q join codes n on q.vec_id % 100 = 0 and q.vec_id <> n.vec_id)
+select *, (row_number() over (partition by query_id order by distance, neighbour_id))::int as rank from pairs
+qualify rank <= 10"""
+
+
+def _mixing_sql():
+    """Raking with one materialized step per round and margin, then the capped rates."""
+    topic = "".join(f" when regexp_matches(text, '{p}') then '{n}'" for n, p in mixing.TOPICS)
+    steps = [f"""d as materialized (
+  select doc_id, coalesce(source, '{mixing.UNKNOWN}') as source, coalesce(lang, '{mixing.UNKNOWN}') as lang,
+    case{topic} else '{mixing.PROSE}' end as topic,
+    coalesce(len(regexp_extract_all(text, '{mixing.WORD}')), 0)::bigint as n_tokens from documents)""",
+             "w0 as materialized (select source, lang, topic, sum(n_tokens)::bigint as tokens, "
+             "sum(n_tokens)::double as weight from d group by all)"]
+    for m in mixing.MARGINS:
+        steps.append(f"""t_{m} as materialized (
+  select {m}, pow(own, {mixing.TEMPER}) * (sum(own) over () / sum(pow(own, {mixing.TEMPER})) over ()) as target
+  from (select {m}, sum(tokens)::double as own from w0 group by {m}) where own > 0)""")
+    at = 0
+    for _ in range(mixing.ROUNDS):
+        for m in mixing.MARGINS:
+            steps.append(f"""w{at + 1} as materialized (
+  select w.source, w.lang, w.topic, w.tokens,
+    weight * (case when now > 0 then coalesce(target, 0) / now else 0 end) as weight
+  from w{at} w join (select {m}, sum(weight) as now from w{at} group by {m}) f using ({m}) left join t_{m} using ({m}))""")
+            at += 1
+    steps.append(f"c as materialized (select *, case when tokens > 0 then weight / tokens else 0 end as lift from w{at})")
+    steps.append("s0 as materialized (select 0::double as s)")
+    for i in range(8):
+        steps.append(f"""s{i + 1} as materialized (
+  select case when sum(case when lift * s >= 1 then 0 else weight end) > 0
+    then ({mixing.BUDGET}::double * sum(tokens) - sum(case when lift * s >= 1 then tokens else 0 end))
+      / sum(case when lift * s >= 1 then 0 else weight end) else any_value(s) end as s from c, s{i})""")
+    return "with " + ",\n".join(steps) + """
+select doc_id, d.source, d.lang, d.topic, n_tokens, least(1, lift * s) as rate,
+  ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::ubigint / 4294967296.0 < least(1, lift * s) as kept
+from d join c using (source, lang, topic), s8"""
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 
@@ -105,3 +152,19 @@ def op4(spark, sf_dir):
     return model.score(docs).select(
         "doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op6_code_search", OP6_SQL)
+def op6(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return code_search.search(vectors, F.col("vec_id") % 100 == 0, k=10, bits=64)
+
+
+@query("op7_mixing", _mixing_sql())
+def op7(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir))
+
+
+@query("op9_packing")
+def op9(spark, sf_dir):
+    return packing.best_fit(documents(spark, sf_dir))
