@@ -98,6 +98,13 @@ def rates(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
         full, scale = now.full, (budget * now.tokens - now.spent) / now.rest
 
 
+def _rated(rows: DataFrame, targets: dict[str, DataFrame] | None, budget: float, rounds: int) -> DataFrame:
+    """(margins, rate) of the cells of ``rows``."""
+    cells = written(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
+    targets = targets or {m: tempered(cells, m) for m in MARGINS}
+    return maybe_broadcast(written(rates(rake(cells, targets, rounds), budget).select(*MARGINS, "rate")))
+
+
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, rounds: int = ROUNDS,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         lang_col: str = "lang") -> DataFrame:
@@ -115,8 +122,20 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: fl
     one too; other columns are not read; an empty table gives no rows.
     """
     rows = written(described(docs, id_col, text_col, source_col, lang_col))
-    cells = written(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
-    targets = targets or {m: tempered(cells, m) for m in MARGINS}
-    rated = written(rates(rake(cells, targets, rounds), budget).select(*MARGINS, "rate"))
-    return rows.join(maybe_broadcast(rated), list(MARGINS)).select(
+    return rows.join(_rated(rows, targets, budget, rounds), list(MARGINS)).select(
         F.col("id").alias(id_col), *MARGINS, "n_tokens", "rate", (unit(F.col("id")) < F.col("rate")).alias("kept"))
+
+
+def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET,
+           rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+           lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that ``mix`` keeps, with all their columns."""
+    cells = described(docs, id_col, text_col, source_col, lang_col)
+    rated = _rated(cells, targets, budget, rounds).select(
+        *[F.col(m).alias(f"__{m}") for m in MARGINS], F.col("rate").alias("__rate"))
+    marked = docs.withColumns({
+        "__source": F.coalesce(F.col(source_col).cast("string"), F.lit(UNKNOWN)),
+        "__lang": F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)),
+        "__topic": topic(F.col(text_col).cast("string"))})
+    return marked.join(rated, [f"__{m}" for m in MARGINS]).filter(
+        unit(F.col(id_col)) < F.col("__rate")).select(*docs.columns)

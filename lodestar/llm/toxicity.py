@@ -206,21 +206,24 @@ class Toxicity:
     calibration: Model | None
     base: float
 
-    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep=()) -> DataFrame:
+    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep=(),
+              name: str = "score") -> DataFrame:
         """Toxicity of each whole text.
 
-        Returns per input row: the id, the columns ``keep`` and ``score`` (0 to 1).
-        A null, empty or wordless text has all-zero features and is scored like
-        any other; repeated rows are scored each; null ids stay null; other
-        columns are not read; an empty table gives no rows.
+        Returns per input row: the id, the columns ``keep`` and ``score`` (0 to 1,
+        under ``name``). A null, empty or wordless text has all-zero features and
+        is scored like any other; repeated rows are scored each; null ids stay
+        null; other columns are not read; an empty table gives no rows.
         """
         small_batches(docs.sparkSession)
-        rows = docs.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"kept_{c}") for c in keep],
+        others = [c for c in keep if c != text_col]
+        rows = docs.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"kept_{c}") for c in others],
                            F.col(text_col).cast("string").alias("text"))
-        names = [f"kept_{c}" for c in keep]
-        held = with_features(rows, {None: self.lexicon}, ["id", *names], part=False)
-        return _scored(held, self).select(F.col("id").alias(id_col), *[F.col(n).alias(c) for n, c in zip(names, keep)],
-                                          "score")
+        held = with_features(rows, {None: self.lexicon},
+                             ["id", *[f"kept_{c}" for c in others], *(["text"] if text_col in keep else [])], part=False)
+        return _scored(held, self).select(
+            F.col("id").alias(id_col), *[F.col("text" if c == text_col else f"kept_{c}").alias(c) for c in keep],
+            F.col("score").alias(name))
 
 
 def _margin(rows: DataFrame, trees: Model) -> DataFrame:
