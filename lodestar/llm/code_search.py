@@ -82,9 +82,15 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, bits: int = 64, segme
 
 
 def _nearest(found: DataFrame, k: int) -> DataFrame:
-    """Per query the nearest codes that together hold its k + 1 nearest ids; a code stands where its least id does."""
+    """Per query the codes that can hold one of its k + 1 nearest ids.
+
+    Those are among the first k + 1 codes by distance and least id, and fewer
+    than k + 1 ids are strictly nearer.
+    """
     once = found.groupBy("query", "code").agg(F.first("ids").alias("ids"), F.first("distance").alias("distance"))
-    order = Window.partitionBy("query").orderBy("distance", F.get("ids", F.lit(0)))
-    before = F.sum(F.size("ids")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    near = once.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1)
-    return near.withColumn("nearer", F.coalesce(before, F.lit(0))).filter(F.col("nearer") < k + 1).drop("nearer", "place")
+    query = Window.partitionBy("query")
+    place = F.row_number().over(query.orderBy("distance", F.get("ids", F.lit(0))))
+    near = once.withColumn("place", place).filter(F.col("place") <= k + 1)
+    strictly = query.orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
+    nearer = F.coalesce(F.sum(F.size("ids")).over(strictly), F.lit(0))
+    return near.withColumn("nearer", nearer).filter(F.col("nearer") < k + 1).drop("nearer", "place")
