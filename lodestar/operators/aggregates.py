@@ -126,8 +126,15 @@ def category_counts(df: DataFrame, cols: Sequence[str], pct: float) -> DataFrame
     return counts.groupBy("column").agg(n_rows().alias("categories"), F.count_if(F.col("n") >= need).alias("frequent"))
 
 
-def pivot(df: DataFrame, row: Sequence[str], col: str, values: Sequence, presence: bool = False) -> DataFrame:
-    """Long to wide counts over a given list of values; 0/1 with ``presence``."""
+def categories(df: DataFrame, col: str) -> list:
+    """The values of a category column, sorted (one small driver list, one entry per column of a wide table)."""
+    return [r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
+
+
+def pivot(df: DataFrame, row: Sequence[str], col: str, values: Sequence | None = None,
+          presence: bool = False) -> DataFrame:
+    """Long to wide counts over all values of ``col`` (or the given ones); 0/1 with ``presence``."""
+    values = categories(df, col) if values is None else values
     cells = [F.count_if(F.col(col) == v) for v in values]
     if presence:
         cells = [F.least(c, F.lit(1)) for c in cells]
@@ -178,6 +185,7 @@ def mean_of_means(df: DataFrame, outer: Sequence[str], inner: Sequence[str], val
             .groupBy(*outer).agg(F.avg("__m").alias(name)))
 
 
-def mean_by_type(df: DataFrame, time: str, kind: str, value: str, kinds: Sequence[str]) -> DataFrame:
-    """One row per time, one column with the mean per type."""
+def mean_by_type(df: DataFrame, time: str, kind: str, value: str, kinds: Sequence[str] | None = None) -> DataFrame:
+    """One row per time, one column with the mean per type, for all types (or the given ones)."""
+    kinds = categories(df, kind) if kinds is None else kinds
     return df.groupBy(time).agg(*[F.avg(F.when(F.col(kind) == k, F.col(value))).alias(k) for k in kinds])

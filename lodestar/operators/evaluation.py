@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.columns import n_rows
+from lodestar.operators.aggregates import categories
 from lodestar.operators.features import uniform
 from lodestar.operators.ordered import range_chunks, running_sums
 
@@ -156,8 +157,9 @@ def validation_curve(est: Estimator, df: DataFrame, fold: str, param: str, value
     return scores.groupBy("value").agg(F.avg("train").alias("train"), F.avg("valid").alias("valid"))
 
 
-def rank_scores(scores: DataFrame, model: str, run: str, score: str, models: Sequence[str]) -> DataFrame:
+def rank_scores(scores: DataFrame, model: str, run: str, score: str, models: Sequence[str] | None = None) -> DataFrame:
     """Scores of every model sorted from best to worst, side by side by rank (one row per run)."""
+    models = categories(scores, model) if models is None else models
     rank = F.row_number().over(Window.partitionBy(model).orderBy(F.desc(score), run))
     ranked = scores.withColumn("rank", rank)
     return ranked.groupBy("rank").agg(*[F.max(F.when(F.col(model) == m, F.col(score))).alias(m) for m in models])

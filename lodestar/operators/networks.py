@@ -2,7 +2,8 @@
 
 Two-mode data is never expanded into all member pairs of a group. Projections
 stay factored (group sums minus the own part), and pair statistics are kept for
-members from a bounded vocabulary only, computed from one bit mask per group.
+the members of a vocabulary (a category column's values, however many), computed
+from one row of bit words per group.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from lodestar.operators.ordered import neighbours, order_statistic
 from lodestar.operators.relational import symmetrize
 from lodestar.session import cut_lineage
 
-MAX_VOCABULARY = 62
+WORD = 62  # members per bit word
 
 
 def graph(ties: DataFrame, src: str, dst: str, weight: str,
@@ -69,22 +70,35 @@ def projection_ties(df: DataFrame, group: str, member: str) -> DataFrame:
     return sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("ties"))
 
 
+def vocabulary_of(df: DataFrame, member: str) -> list:
+    """All values of a category column, sorted (one small driver list, as long as the category is wide)."""
+    return [r[0] for r in df.select(member).filter(F.col(member).isNotNull()).distinct().orderBy(member).collect()]
+
+
 def category_masks(df: DataFrame, keys: Sequence[str], member: str, vocabulary: Sequence) -> DataFrame:
-    """One row per key with a bit per vocabulary member that occurs in it."""
-    if len(vocabulary) > MAX_VOCABULARY:
-        raise ValueError(f"vocabulary of {len(vocabulary)} members exceeds {MAX_VOCABULARY}")
-    code = F.create_map(*[F.lit(x) for i, v in enumerate(vocabulary) for x in (v, 1 << i)])
-    bit = F.try_element_at(code, F.col(member)).cast("bigint")
-    return df.groupBy(*keys).agg(F.bit_or(bit).alias("mask")).filter("mask is not null")
+    """One row per key with a bit per vocabulary member that occurs in it, in an array of bit words.
+
+    Null members set no bit; a member outside the vocabulary is an error.
+    """
+    code = F.create_map(*[F.lit(x) for i, v in enumerate(vocabulary) for x in (v, i)])
+    unknown = F.raise_error(F.concat(F.lit(f"{member} has a value outside the vocabulary: "),
+                                     F.col(member).cast("string"))).cast("int")
+    at = F.when(F.col(member).isNotNull(), F.coalesce(F.try_element_at(code, F.col(member)), unknown))
+    words = -(-len(vocabulary) // WORD)
+    bits = [F.coalesce(F.bit_or(F.when((at >= w * WORD) & (at < (w + 1) * WORD), F.call_function(
+        "shiftleft", F.lit(1).cast("bigint"), F.greatest(at - w * WORD, F.lit(0))))), F.lit(0).cast("bigint")) for w in range(words)]
+    return (df.groupBy(*keys).agg(F.array(*bits).alias("mask"))
+            .filter(F.exists("mask", lambda w: w != 0)))
 
 
 def _bits(m: int) -> Column:
     """Codes of the vocabulary members in a mask."""
-    return F.filter(F.array(*[F.lit(i) for i in range(m)]), lambda i: F.getbit(F.col("mask"), i) == 1)
+    return F.filter(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.getbit(
+        F.get(F.col("mask"), (i / WORD).cast("int")), i % WORD) == 1)
 
 
 def _has(j: int) -> Column:
-    return F.getbit(F.col("mask"), F.lit(j)) == 1
+    return F.getbit(F.get(F.col("mask"), F.lit(j // WORD)), F.lit(j % WORD)) == 1
 
 
 def _co_rows(masks: DataFrame, m: int, by: Sequence[str], cell) -> DataFrame:
@@ -109,7 +123,7 @@ def _name(vocabulary: Sequence, code: str) -> Column:
 
 
 def _matrix(rows: DataFrame, by: Sequence[str], name: str) -> DataFrame:
-    """All rows of a vocabulary matrix in one map code -> row (at most 62 rows)."""
+    """All rows of a vocabulary matrix in one map code -> row."""
     return rows.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("i", "row"))).alias(name))
 
 
@@ -148,7 +162,7 @@ def first_seen_pairs(masks: DataFrame, vocabulary: Sequence, time: str) -> DataF
 
 
 def novel_counts(masks: DataFrame, vocabulary: Sequence, time: str, span: int) -> DataFrame:
-    """New members and new member pairs per group: first seen at most ``span`` before.
+    """New members and new member pairs per group: first seen less than ``span`` before.
 
     First times form one small matrix; each group tests its own members in its row.
     """
@@ -157,7 +171,7 @@ def novel_counts(masks: DataFrame, vocabulary: Sequence, time: str, span: int) -
     rows = masks.withColumns({"__f": first, "__bits": _bits(m)})
 
     def fresh(i, j):
-        return F.col(time) - F.get(F.try_element_at(F.col("__f"), i), j) <= span
+        return F.col(time) - F.get(F.try_element_at(F.col("__f"), i), j) < span
 
     singles = F.size(F.filter("__bits", lambda i: fresh(i, i))).cast("bigint")
     pairs = F.aggregate("__bits", F.lit(0), lambda acc, i: acc + F.size(

@@ -49,7 +49,7 @@ def split_points(df: DataFrame, col: str, n: int | None = None) -> list[float]:
 
 
 def chunk_of(col: Column, points: Sequence[float]) -> Column:
-    """Chunk number of a value: how many cut values are <= it, as a balanced CASE."""
+    """Chunk number of a value: how many cut values are <= it, as a balanced CASE; nulls sort first."""
 
     def build(lo: int, hi: int) -> Column:
         if lo == hi:
@@ -57,7 +57,7 @@ def chunk_of(col: Column, points: Sequence[float]) -> Column:
         mid = (lo + hi) // 2
         return F.when(col < F.lit(points[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
 
-    return build(0, len(points))
+    return F.when(col.isNull(), F.lit(-1)).otherwise(build(0, len(points)))
 
 
 def range_chunks(df: DataFrame, col: str, n: int | None = None) -> Column:

@@ -74,9 +74,9 @@ def above_group_quantile(df: DataFrame, keys: Sequence[str], col: str, p: float,
 
 
 def novelty(df: DataFrame, keys: Sequence[str], time: str, span: int, flag: str) -> DataFrame:
-    """1 while at most ``span`` after the first appearance of the key."""
+    """1 while less than ``span`` after the first appearance of the key."""
     out = with_group_agg(df, keys, [F.min(time).alias("__first")])
-    return out.withColumn(flag, (F.col(time) - F.col("__first") <= span).cast("int")).drop("__first")
+    return out.withColumn(flag, (F.col(time) - F.col("__first") < span).cast("int")).drop("__first")
 
 
 def age(df: DataFrame, keys: Sequence[str], time: str, name: str, first_flag: str | None = None) -> DataFrame:
@@ -94,10 +94,17 @@ def earliest_valid(df: DataFrame, keys: Sequence[str], time: str, valid: Column,
     return with_group_agg(df, keys, [first.alias(name)])
 
 
-def activity_span(df: DataFrame, key: str, time: str, base: int, end: int) -> DataFrame:
-    """Join and leave period per entity, counted from ``base`` and clipped at ``end``."""
-    return df.groupBy(key).agg((F.min(time) - base + 1).alias("join"),
-                               F.least(F.max(time) - base + 1, F.lit(end - base + 1)).alias("leave"))
+def activity_span(df: DataFrame, key: str, time: str) -> DataFrame:
+    """Join and leave period per entity, counted from the first period of all.
+
+    An entity leaves in the period after its last one, unless that lies past the
+    last period of all.
+    """
+    ends = df.agg(F.min(time).alias("lo"), F.max(time).alias("hi"))
+    base, end = ends.select("lo").scalar(), ends.select("hi").scalar()
+    return df.groupBy(key).agg(F.min(time).alias("__lo"), F.max(time).alias("__hi")).select(
+        key, (F.col("__lo") - base + 1).alias("join"),
+        F.least(F.col("__hi") - base + 2, end - base + 1).alias("leave"))
 
 
 def sorted_chunks(df: DataFrame, order: Sequence[str | Column], name: str = "chunk") -> DataFrame:

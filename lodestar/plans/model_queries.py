@@ -268,11 +268,12 @@ def coefficient_ranking(t):
 @query("O12", """
     with s as (select o_orderpriority as model, year(o_orderdate)::bigint as run, round(avg(o_totalprice), 4) as score from orders group by 1, 2),
     k as (select *, row_number() over (partition by model order by score desc, run)::int as rank from s)
-    select rank, max(score) filter (where model = '1-URGENT') as "1-URGENT", max(score) filter (where model = '5-LOW') as "5-LOW" from k group by 1""")
+    select rank, """ + ", ".join(f"""max(score) filter (where model = '{m}') as "{m}\"""" for m in (
+        "1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")) + " from k group by 1")
 def scores_by_rank(t):
     scores = t.orders.groupBy(F.col("o_orderpriority").alias("model"), F.year("o_orderdate").alias("run")).agg(
         r(F.avg("o_totalprice"), 4).alias("score"))
-    return ev.rank_scores(scores, "model", "run", "score", ["1-URGENT", "5-LOW"])
+    return ev.rank_scores(scores, "model", "run", "score")
 
 
 @query("D1", "select quality, count(*)::bigint as n from labels group by 1")

@@ -14,8 +14,14 @@ from lodestar.plans.registry import query
 from lodestar.plans.relational_queries import order_lines
 from lodestar.session import cut_lineage
 
-BRANDS = [f"Brand#{i}" for i in range(1, 26)]
-TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+def brands(t):
+    return net.vocabulary_of(t.part, "p_brand")
+
+
+def types(t):
+    return net.vocabulary_of(t.part, "p_type")
+
 
 TRANSITIONS = """
     tr as (select l_suppkey as src, lead(l_suppkey) over (partition by l_partkey
@@ -120,16 +126,16 @@ def projection_partner_balance(t):
     with m as (select distinct l_orderkey as g, p_type as c from lineitem join part on l_partkey = p_partkey)
     select x.c as a, y.c as b, count(*)::bigint as n_ab from m x join m y on x.g = y.g and x.c < y.c group by 1, 2""")
 def type_pairs_in_orders(t):
-    masks = net.category_masks(part_lines(t), ["l_orderkey"], "p_type", TYPES)
-    return net.co_occurrence(masks, TYPES).select("a", "b", "n_ab").filter("n_ab > 0")
+    masks = net.category_masks(part_lines(t), ["l_orderkey"], "p_type", types(t))
+    return net.co_occurrence(masks, types(t)).select("a", "b", "n_ab").filter("n_ab > 0")
 
 
 @query("C11 K2", """
     with m as (select distinct l_orderkey as g, p_type as c from lineitem join part on l_partkey = p_partkey)
     select x.c as a, y.c as b, count(*)::bigint as n_ab from m x join m y on x.g = y.g and x.c <> y.c group by 1, 2""")
 def ordered_type_pairs(t):
-    masks = net.category_masks(part_lines(t), ["l_orderkey"], "p_type", TYPES)
-    return net.ordered_pairs(net.co_occurrence(masks, TYPES)).filter("n_ab > 0")
+    masks = net.category_masks(part_lines(t), ["l_orderkey"], "p_type", types(t))
+    return net.ordered_pairs(net.co_occurrence(masks, types(t))).filter("n_ab > 0")
 
 
 @query("K3", """
@@ -268,12 +274,12 @@ def customer_year_masks(t, member, vocabulary):
 
 
 def type_distances(t):
-    return net.set_distance(net.co_occurrence(customer_year_masks(t, "p_type", TYPES), TYPES, by=["yr"]))
+    return net.set_distance(net.co_occurrence(customer_year_masks(t, "p_type", types(t)), types(t), by=["yr"]))
 
 
 def brand_distances(t, kind="jaccard"):
-    masks = net.category_masks(part_lines(t), ["l_orderkey"], "p_brand", BRANDS)
-    return net.set_distance(net.co_occurrence(masks, BRANDS), kind)
+    masks = net.category_masks(part_lines(t), ["l_orderkey"], "p_brand", brands(t))
+    return net.set_distance(net.co_occurrence(masks, brands(t)), kind)
 
 
 @query("K10", """
@@ -297,8 +303,8 @@ def brand_row_distance(t):
     select m.yr, m.g as o_custkey, round(avg(d.d), 8) as distance, round(1 - 1 / (1 + avg(d.d)), 8) as diversity from m
     left join m o on o.yr = m.yr and o.g = m.g and m.c < o.c left join d on d.yr = m.yr and d.a = m.c and d.b = o.c group by 1, 2""")
 def partner_distance(t):
-    masks = customer_year_masks(t, "p_type", TYPES)
-    out = net.avg_partner_distance(masks, TYPES, ["yr"], "distance")
+    masks = customer_year_masks(t, "p_type", types(t))
+    out = net.avg_partner_distance(masks, types(t), ["yr"], "distance")
     return out.select("yr", "o_custkey", r("distance", 8).alias("distance"),
                       r(1 - 1 / (1 + F.col("distance")), 8).alias("diversity"))
 
@@ -318,16 +324,16 @@ def collaboration_kinds(t):
                from orders join lineitem on o_orderkey = l_orderkey join part on l_partkey = p_partkey),
     f1 as (select c, min(mon) as f from m group by 1),
     f2 as (select x.c as a, y.c as b, min(x.mon) as f from m x join m y on x.g = y.g and x.c < y.c group by 1, 2),
-    s as (select g, any_value(mon) as mon, sum((mon - f <= 0)::int)::bigint as new_members from m join f1 on m.c = f1.c group by 1),
-    q as (select x.g, sum((x.mon - f <= 0)::int)::bigint as new_pairs from m x join m y on x.g = y.g and x.c < y.c
+    s as (select g, any_value(mon) as mon, sum((mon < f + 3)::int)::bigint as new_members from m join f1 on m.c = f1.c group by 1),
+    q as (select x.g, sum((x.mon < f + 3)::int)::bigint as new_pairs from m x join m y on x.g = y.g and x.c < y.c
           join f2 on f2.a = x.c and f2.b = y.c group by 1)
     select s.g as o_orderkey, s.mon, new_members, coalesce(new_pairs, 0)::bigint as new_pairs from s left join q on s.g = q.g""")
 def novel_brand_pairs(t):
     months = F.round(F.months_between(F.trunc(F.col("o_orderdate").cast("date"), "month"),
                                       F.lit("1995-01-01").cast("date"))).cast("bigint")
     rows = order_lines(t).join(t.part, F.col("l_partkey") == F.col("p_partkey")).withColumn("mon", months)
-    masks = net.category_masks(rows, ["o_orderkey", "mon"], "p_brand", BRANDS)
-    return net.novel_counts(masks, BRANDS, "mon", 0).drop("mask")
+    masks = net.category_masks(rows, ["o_orderkey", "mon"], "p_brand", brands(t))
+    return net.novel_counts(masks, brands(t), "mon", 3).drop("mask")
 
 
 @query("K13", """
@@ -336,7 +342,7 @@ def novel_brand_pairs(t):
     select x.c as a, y.c as b, min(x.yr)::bigint as first_time from m x join m y on x.g = y.g and x.c < y.c group by 1, 2""")
 def first_year_of_type_pairs(t):
     rows = order_lines(t).join(t.part, F.col("l_partkey") == F.col("p_partkey")).withColumn("yr", year("o_orderdate"))
-    return net.first_seen_pairs(net.category_masks(rows, ["o_orderkey", "yr"], "p_type", TYPES), TYPES, "yr")
+    return net.first_seen_pairs(net.category_masks(rows, ["o_orderkey", "yr"], "p_type", types(t)), types(t), "yr")
 
 
 @query("L1 L2", f"""

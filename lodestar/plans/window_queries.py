@@ -116,7 +116,7 @@ def top_decile_orders(t):
 
 @query("E13", """
     with p as (select distinct l_suppkey as s, l_partkey as k, year(l_shipdate)::bigint as yr from lineitem)
-    select s, k, yr, (yr - min(yr) over (partition by s, k) <= 3)::int as is_new from p""")
+    select s, k, yr, (yr < min(yr) over (partition by s, k) + 3)::int as is_new from p""")
 def new_part_for_supplier(t):
     rows = t.lineitem.select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("k"),
                              year("l_shipdate").alias("yr")).distinct()
@@ -141,11 +141,13 @@ def earliest_large_year(t):
 
 
 @query("E17", """
-    select o_custkey, (min(year(o_orderdate)) - 1995 + 1)::bigint as "join",
-      least(max(year(o_orderdate)) - 1995 + 1, 6)::bigint as "leave" from orders group by 1""")
+    with e as (select min(year(o_orderdate)) as lo, max(year(o_orderdate)) as hi from orders),
+    s as (select o_custkey, min(year(o_orderdate)) - lo + 1 as j, max(year(o_orderdate)) - lo + 2 as l, hi - lo + 1 as last
+          from orders, e group by o_custkey, lo, hi)
+    select o_custkey, j::bigint as "join", (case when l > last then l - 1 else l end)::bigint as "leave" from s""")
 def customer_span(t):
     rows = t.orders.select("o_custkey", year("o_orderdate").alias("yr"))
-    out = win.activity_span(rows, "o_custkey", "yr", 1995, 2000)
+    out = win.activity_span(rows, "o_custkey", "yr")
     return out.select("o_custkey", F.col("join").cast("bigint"), F.col("leave").cast("bigint"))
 
 

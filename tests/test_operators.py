@@ -192,3 +192,50 @@ def test_watermarked_append_emits_closed_windows(spark, activity):
     q.awaitTermination()
     got, batch = set(rows(spark.read.parquet(out))), set(rows(stats(spark.read.schema(schema).json(path))))
     assert got and got <= batch and len(batch - got) <= 5
+
+
+def test_vocabulary_of_two_hundred_members(spark):
+    rng = np.random.default_rng(2)
+    names = [f"m{i:03d}" for i in range(200)]
+    pairs = {(int(g), names[m]) for g, m in zip(rng.integers(0, 40, 600), rng.integers(0, 200, 600))}
+    df = spark.createDataFrame([*pairs, (50, None)], "g int, c string")
+    vocabulary = net.vocabulary_of(df, "c")
+    assert vocabulary == sorted({c for _, c in pairs})
+    masks = net.category_masks(df, ["g"], "c", vocabulary)
+    got = {(r.a, r.b): r.n_ab for r in net.co_occurrence(masks, vocabulary).filter("n_ab > 0").collect()}
+    groups = {}
+    for g, c in pairs:
+        groups.setdefault(g, set()).add(c)
+    want = {}
+    for members in groups.values():
+        for a in members:
+            for b in members:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    assert got == want
+    with pytest.raises(Exception, match="outside the vocabulary"):
+        net.category_masks(df, ["g"], "c", vocabulary[:-1]).collect()
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_nulls_in_the_sort_column_come_first(spark, parts):
+    rng = np.random.default_rng(4)
+    rows = [(int(k), None if x < 0.1 else float(x), i, int(v)) for i, (k, x, v) in enumerate(
+        zip(rng.integers(0, 3, 1000), rng.random(1000), rng.integers(0, 9, 1000)))]
+    df = spark.createDataFrame(rows, "k int, t double, id int, v int").repartition(parts)
+    run, prev, last = {}, {}, {}
+    for k, t, i, v in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0.0, r[2])):
+        run[i], prev[i] = last.get(k, (0, None))[0] + v, last.get(k, (0, None))[1]
+        last[k] = (run[i], v)
+    got = ordered.running_sums(df, ["k"], ["t", "id"], None, {"run": F.col("v")}).collect()
+    assert {r.id: r.run for r in got} == run
+    got = ordered.neighbours(df, ["k"], ["t", "id"], None, {"prev": "v"}).collect()
+    assert {r.id: r.prev for r in got} == prev
+
+
+def test_activity_ends_after_the_last_period(spark):
+    df = spark.createDataFrame([("a", 2000), ("a", 2001), ("b", 2002), ("c", 2000), ("c", 2002)], "k string, y int")
+    got = {r.k: (r.join, r.leave) for r in windows.activity_span(df, "k", "y").collect()}
+    assert got == {"a": (1, 3), "b": (3, 3), "c": (1, 3)}
+    new = windows.novelty(df, ["k"], "y", 2, "new").collect()
+    assert {(r.k, r.y): r.new for r in new} == {("a", 2000): 1, ("a", 2001): 1, ("b", 2002): 1, ("c", 2000): 1, ("c", 2002): 0}
