@@ -220,8 +220,8 @@ def eigen_centrality(edges: DataFrame, is_directed: bool = False, tol: float = 1
         change = y.agg(F.max(F.abs(F.col("x") - F.col("x0")))).first()[0]
         x = y.select("node", "x")
         if change < tol:
-            break
-    return x.withColumnRenamed("x", "eigen")
+            return x.withColumnRenamed("x", "eigen")
+    raise RuntimeError("eigenvector scores did not settle; raise max_iter")
 
 
 def coreness(edges: DataFrame, by: Sequence[str] = (), max_rounds: int = 1000) -> DataFrame:
@@ -274,8 +274,9 @@ def power_centrality(edges: DataFrame, beta: float, tol: float = 1e-10, max_iter
 
     rmr, norm0, _, _, mpmp = dots(state)
     norm = norm0
+    done = lambda: norm <= tol * tol * norm0 or mpmp == 0 or rmr == 0
     for _ in range(max_iter):
-        if norm <= tol * tol * norm0 or mpmp == 0 or rmr == 0:
+        if done():
             break
         alpha = rmr / mpmp
         moved = state.select("node", (F.col("x") + alpha * F.col("p")).alias("x"),
@@ -286,6 +287,8 @@ def power_centrality(edges: DataFrame, beta: float, tol: float = 1e-10, max_iter
         state = moved.select("node", "x", "r", (F.col("r") + ratio * F.col("p")).alias("p"), "mr",
                              (F.col("mr") + ratio * F.col("mp")).alias("mp"))
         rmr, mpmp = after, mrmr + 2 * ratio * mrmp + ratio * ratio * old
+    if not done():
+        raise RuntimeError("power scores did not settle; raise max_iter")
     state = cut_lineage(state)
     scale = state.agg(F.sqrt(F.sum(F.col("x") * F.col("x")) / n_rows()).alias("s")).scalar()
     return state.select("node", (F.col("x") / scale).alias("power")), (norm / norm0) ** 0.5
@@ -394,6 +397,8 @@ def kmedoids(full: DataFrame, k: int, max_swaps: int = 100) -> tuple[list, DataF
         if best is None or best["c"] >= cost - 1e-9:
             break
         medoids[medoids.index(best["m"])] = best["j"]
+    else:
+        raise RuntimeError("medoids did not settle; raise max_swaps")
     return medoids, nearest(medoids).select(F.col("i").alias("node"), F.col("m").alias("label"))
 
 

@@ -116,15 +116,10 @@ def parse_level(col: Column, special: Mapping[str, float]) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), col), col.try_cast("double"))
 
 
-MAX_LEVELS = 1_000
-
-
 def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = True) -> DataFrame:
-    """0/1 column per level in alphabetical order; columns with too many levels are refused."""
+    """0/1 column per level in alphabetical order."""
     for c in cols:
-        levels = [r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()]
-        if len(levels) > MAX_LEVELS:
-            raise ValueError(f"{c} has more than {MAX_LEVELS} levels")
+        levels = [r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().collect()]
         levels = sorted(levels)[1:] if drop_first else sorted(levels)
         df = df.withColumns({f"{c}_{v}": F.coalesce((F.col(c) == v).cast("int"), F.lit(0)) for v in levels}).drop(c)
     return df

@@ -83,12 +83,11 @@ def part_lines(t):
 @query("K1 L1", """
     with e as (select s_nationkey as src, c_nationkey as dst, count(*) as w from lineitem
          join supplier on l_suppkey = s_suppkey join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
-         where l_quantity >= 49 and l_returnflag = 'R' and l_discount >= 0.09 group by 1, 2)
+         group by 1, 2)
     select n_nationkey as node, round((select count(*) from e where dst = n_nationkey) / 24.0, 8)::double as in_degree,
       round((select count(*) from e where src = n_nationkey) / 24.0, 8)::double as out_degree from nation""")
 def degrees_with_isolates(t):
-    rows = (t.lineitem.filter("l_quantity >= 49 and l_returnflag = 'R' and l_discount >= 0.09")
-            .join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = (t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
             .join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .join(t.customer, F.col("o_custkey") == F.col("c_custkey")))
     ties = rows.groupBy("s_nationkey", "c_nationkey").agg(n_rows().alias("w"))
@@ -140,26 +139,20 @@ def ordered_type_pairs(t):
 
 @query("K3", """
     select year(l_shipdate)::bigint as period, s_nationkey as sender, p_brand as receiver, 1 as tie
-    from lineitem join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey
-    where p_type = 'PROMO' and year(l_shipdate) >= 1997 group by 1, 2, 3""")
+    from lineitem join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey group by 1, 2, 3""")
 def bipartite_ties(t):
-    return promo_panel(t, 1997)
-
-
-def promo_panel(t, min_year):
-    rows = (part_lines(t).filter(F.col("p_type") == "PROMO").join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-            .withColumn("yr", year("l_shipdate")).filter(F.col("yr") >= min_year))
+    rows = (part_lines(t).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+            .withColumn("yr", year("l_shipdate")))
     return net.bipartite_panel(rows, "s_nationkey", "p_brand", "yr")
 
 
 @query("K3", """
     with p as (select distinct year(l_shipdate)::bigint as period, s_nationkey as sender, p_brand
-               from lineitem join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey
-               where p_type = 'PROMO' and year(l_shipdate) >= 1998)
+               from lineitem join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey)
     select y.period, n_nationkey as sender, count(p.p_brand)::bigint as ties from nation, (select distinct period from p) y
     left join p on p.period = y.period and p.sender = n_nationkey group by 1, 2""")
 def bipartite_sender_totals(t):
-    return net.bipartite_totals(promo_panel(t, 1998), t.nation, "n_nationkey")
+    return net.bipartite_totals(bipartite_ties(t), t.nation, "n_nationkey")
 
 
 @query("K4", """
@@ -179,8 +172,7 @@ def decayed_ties(t):
 
 
 @query("K4 C15 J3", """
-    with l as (select distinct o_custkey as a, l_suppkey as b, o_orderdate as d from orders join lineitem on o_orderkey = l_orderkey
-               where l_returnflag = 'R'),
+    with l as (select distinct o_custkey as a, l_suppkey as b, o_orderdate as d from orders join lineitem on o_orderkey = l_orderkey),
     s as (select y, a, b, d from (select distinct year(d)::bigint as y from l) ys join l on year(l.d) < ys.y),
     g as (select y, datediff('day', d, lead(d) over (partition by y, a, b order by d)) as gap from s),
     cut as (select y, gap from (select y, gap, row_number() over (partition by y order by gap) as rn, count(*) over (partition by y) as n
@@ -189,7 +181,7 @@ def decayed_ties(t):
     where datediff('day', d, make_date(s.y, 1, 1)) <= gap group by 1, 2, 3""")
 def decayed_ties_by_year(t):
     """One network per year: ties before it, trimmed by the renewals known then."""
-    links = order_lines(t).filter("l_returnflag = 'R'").select(
+    links = order_lines(t).select(
         F.col("o_custkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("o_orderdate").cast("date").alias("d")).distinct()
     span = t.orders.agg(F.min(year("o_orderdate")).alias("lo"), F.max(year("o_orderdate")).alias("hi"))
     rows = snapshots(links.withColumn("yr", year("d")), "yr", span.select("lo").scalar(), span.select("hi").scalar(), "y")
@@ -412,22 +404,23 @@ def supplier_pagerank(t):
 
 
 DAMPINGS = (0.15, 0.5, 0.85)
+ROUNDS = (1, 5, 10, 20)
 
 
 def _simple_rounds(n):
     return "".join(f""",
-    r{k} as (select p.dst as node, {', '.join(f"{d} * sum(q.a{i} / p.o) + 1 - {d} as a{i}" for i, d in enumerate(DAMPINGS))}
+    r{k} as materialized (select p.dst as node, {', '.join(f"{d} * sum(q.a{i} / p.o) + 1 - {d} as a{i}" for i, d in enumerate(DAMPINGS))}
       from p join r{k - 1} q on q.node = p.src group by 1)""" for k in range(1, n + 1))
 
 
 @query("L8 J1 D28", f"""
     with {TRANSITIONS}, p as (select src, dst, count(*) over (partition by src) as o from e),
-    r0 as (select s_suppkey as node, {', '.join(f"1 + s_acctbal / 10000 as a{i}" for i in range(3))} from supplier){_simple_rounds(5)}
-    select r1.node, {', '.join(f"round(r{k}.a{i}, 8) as rank_d{round(d * 100)}_i{k}" for k in (1, 5) for i, d in enumerate(DAMPINGS))}
-    from r1 join r5 on r1.node = r5.node""")
+    r0 as (select s_suppkey as node, {', '.join(f"1 + s_acctbal / 10000 as a{i}" for i in range(3))} from supplier){_simple_rounds(ROUNDS[-1])}
+    select node, {', '.join(f"round(r{k}.a{i}, 8) as rank_d{round(d * 100)}_i{k}" for k in ROUNDS for i, d in enumerate(DAMPINGS))}
+    from {' join '.join([f"r{ROUNDS[0]}", *[f"r{k} using (node)" for k in ROUNDS[1:]]])}""")
 def supplier_pagerank_simple(t):
     start = t.supplier.select(F.col("s_suppkey").alias("node"), (1 + F.col("s_acctbal") / 10000).alias("rank"))
-    out = cen.pagerank_simple(cut_lineage(transitions(t)), start, DAMPINGS, (1, 5))
+    out = cen.pagerank_simple(cut_lineage(transitions(t)), start, DAMPINGS, ROUNDS)
     return out.select("node", *[r(c, 8).alias(c) for c in out.columns if c != "node"])
 
 
@@ -475,10 +468,8 @@ def yearly_mean_coreness(t):
 
 @query("L12")
 def nation_power(t):
-    """Rows only: the scores solve a linear system over the above-average trade ties."""
-    values = trade_values(t)
-    ties = values.filter(F.col("v") > values.agg(F.avg("v").alias("m")).scalar())
-    power, residual = cen.power_centrality(ties, 0.75, tol=1e-9)
+    """Rows only: the scores solve a linear system over the trade ties."""
+    power, residual = cen.power_centrality(trade_values(t), 0.75, tol=1e-9)
     return power.select("node", r("power").alias("power"), F.lit(int(residual < 1e-6)).alias("settled"))
 
 

@@ -59,7 +59,7 @@ def returned_poisson(t):
 
 @query("P5")
 def returned_poisson_by_type(t):
-    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).filter(F.col("p_type").isin("PROMO", "SMALL"))
+    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     panel = cut_lineage(rows.groupBy(F.col("l_suppkey").alias("entity"), year("l_shipdate").alias("yr"), "p_type").agg(
         F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.avg("l_quantity").alias("quantity")))
     return shown(pa.poisson_fe_by(panel, "returned", ["quantity"], "entity", "p_type"))
@@ -88,7 +88,7 @@ def purchases_zero_inflated(t):
 
 @query("P8")
 def shipping_hazard(t):
-    """Days until a line ships; lines shipped before their order or not final are censored at 0 or their day."""
+    """Days between a line's order and its shipping; lines that are not final are censored at their day."""
     days = F.abs(F.datediff(F.col("l_shipdate").cast("date"), F.col("o_orderdate").cast("date")))
     rows = order_lines(t).select(days.alias("days"), (F.col("l_linestatus") == "F").cast("int").alias("event"),
                                  (F.col("l_quantity") / 50).alias("quantity"), (10 * F.col("l_discount")).alias("discount"))

@@ -137,11 +137,10 @@ def same_day_lines(t):
 @query("C3", """
     select c_name, strftime(o_orderdate, '%Y-%m-%d') as o_orderdate, p_name, l_extendedprice, l_discount, l_quantity
     from customer, orders, lineitem, part
-    where c_custkey = o_custkey and o_orderkey = l_orderkey and l_partkey = p_partkey and l_quantity > 49
+    where c_custkey = o_custkey and o_orderkey = l_orderkey and l_partkey = p_partkey
     order by c_name, o_orderdate, p_name""")
 def order_details(t):
-    rows = (customer_lines(t).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-            .filter(F.col("l_quantity") > 49))
+    rows = customer_lines(t).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     return rows.select("c_name", day_text("o_orderdate").alias("o_orderdate"), "p_name", "l_extendedprice",
                        "l_discount", "l_quantity").orderBy("c_name", "o_orderdate", "p_name")
 

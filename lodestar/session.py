@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 TUNING = {
@@ -58,14 +57,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def saved(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to ``path`` to its end."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
 def materialize(df: DataFrame, path: str) -> DataFrame:
     """Read ``path`` when it was saved before, else save ``df`` there and read it."""
     spark = df.sparkSession
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        df.write.parquet(path)
-        return spark.read.parquet(path)
+    if not saved(spark, path):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -201,3 +201,11 @@ def test_projection_equals_all_pairs(spark):
     values = spark.createDataFrame([(i, 10.0 ** i) for i in range(1, 5)], "m int, v double")
     sums = {r.m: r.s for r in net.projection_sum(df, "g", "m", values, "v", "s").collect()}
     assert sums == {1: 1100.0, 2: 2010.0, 3: 210.0, 4: 0.0}
+
+
+def test_unsettled_scores_are_an_error(spark):
+    path = spark.createDataFrame([(i, i + 1, 1.0) for i in range(60)], "src long, dst long, weight double")
+    with pytest.raises(RuntimeError):
+        cen.eigen_centrality(path, max_iter=8)
+    with pytest.raises(RuntimeError):
+        cen.power_centrality(path, 0.4, max_iter=2)

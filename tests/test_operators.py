@@ -77,10 +77,9 @@ def test_splits_do_not_depend_on_partitions(hot):
     assert (a == b).all().all() and set(a.fold.value_counts()) == {150}
 
 
-def test_one_hot_refuses_too_many_levels(spark, monkeypatch):
-    monkeypatch.setattr(fe, "MAX_LEVELS", 3)
-    with pytest.raises(ValueError):
-        fe.one_hot(spark.range(5).select(F.col("id").cast("string").alias("x")), ["x"])
+def test_one_hot_takes_all_levels(spark):
+    out = fe.one_hot(spark.range(1200).select(F.col("id").cast("string").alias("x")), ["x"], drop_first=False)
+    assert len(out.columns) == 1200 and {sum(r) for r in out.limit(5).collect()} == {1}
 
 
 def test_decay_keeps_all_ties_without_enough_renewals(spark):
