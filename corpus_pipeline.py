@@ -22,7 +22,7 @@ from lodestar.session import table, tune
 
 #: Documents with this score or more go.
 TOXIC = 0.7
-ROW, SCORE, NO_TEXT = "__row", "__score", "__no_text"
+ROW, SCORE, NO_TEXT, HIT = "__row", "__score", "__no_text", "__hit"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -56,13 +56,14 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents with secrets replaced by a mask; ``n_chars`` follows the new text. Null texts stay null."""
     found = secret_scan.with_spans(
         docs.withColumn(NO_TEXT, F.col("text").isNull()), keep=[NO_TEXT, *[c for c in docs.columns if c not in ("doc_id", "text")]])
-    hit = F.size("spans") > 0
     masked = F.when(~F.col(f"kept_{NO_TEXT}"), secret_scan.redact(F.col("text"), F.col("spans")))
-    out = {"doc_id": F.col("id"), "text": masked}
+    named = {"doc_id": F.col("id"), "text": masked}
+    out = found.select(*[named.get(c, F.col(f"kept_{c}")).alias(c) for c in docs.columns],
+                       (F.size("spans") > 0).alias(HIT))
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(hit, F.char_length(masked).cast(docs.schema["n_chars"].dataType)).otherwise(
-            F.col("kept_n_chars"))
-    return found.select(*[out.get(c, F.col(f"kept_{c}")).alias(c) for c in docs.columns])
+        size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col(HIT), size).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
