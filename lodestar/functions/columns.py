@@ -98,10 +98,6 @@ def safe_ratio(a: Column, b: Column, eps: float | None = None) -> Column:
     return a / (b + eps) if eps is not None else F.try_divide(a, b)
 
 
-def blank_to_null(col: Column) -> Column:
-    return F.nullif(col, F.lit(""))
-
-
 def canonical_pair(a: Column, b: Column) -> tuple[Column, Column]:
     """The two ends of a tie, smaller first."""
     return F.least(a, b), F.greatest(a, b)

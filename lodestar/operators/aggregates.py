@@ -50,10 +50,10 @@ def profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count, mean, sd, min, quartiles and max per column; quartiles are exact."""
+    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    one = df.agg(*[fn(F.col(c).cast("double")).alias(f"{c}__{s}") for c in cols for s, fn in stats.items()])
+    base = _stack(one, [(c, [F.col(f"{c}__{s}") for s in stats]) for c in cols], list(stats))
     long = unpivot(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), [], cols)
-    base = long.groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
     quarts = quantiles(long, "value", {"q25": 0.25, "median": 0.5, "q75": 0.75}, by=["column"])
     return base.join(quarts, "column")
 

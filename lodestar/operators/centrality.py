@@ -147,11 +147,6 @@ def edge_betweenness(edges: DataFrame, sources: DataFrame | None = None) -> Data
         "src", "dst", F.coalesce("b", F.lit(0.0)).alias("betweenness"))
 
 
-def unreachable_count(dist: DataFrame, n_nodes: Column, n_sources: Column) -> DataFrame:
-    """Ordered (source, node) pairs without a path."""
-    return dist.agg((n_sources * n_nodes - n_rows()).cast("bigint").alias("unreachable"))
-
-
 def pagerank(edges: DataFrame, damping: float = 0.85, iters: int = 20, is_directed: bool = True) -> DataFrame:
     """PageRank that sums to 1; weights split the rank, dangling mass is spread evenly."""
     arcs = edges if is_directed else both_ways(edges)
