@@ -14,6 +14,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import (BinaryType, IntegerType, LongType, StringType, StructField,
                                StructType)
 
+from lodestar.functions.columns import n_rows
 from lodestar.llm import words
 from lodestar.llm.components import components
 from lodestar.llm.repeats import binary, blocks, flat, members, repeated
@@ -24,6 +25,10 @@ CELLS_LOG2 = 21
 CHUNK = 1 << 15
 #: Most shared prefix shingles that a document may ask for.
 MOST_MATCHES = 8
+#: Shingles before a shared one that are compared to see whether the pair was named already.
+BEFORE = 32
+#: Documents of a shingle from which on that is worth the comparison; pairs are the same either way.
+LONG_LIST = 64
 
 
 def _sets(texts, width: int):
@@ -48,28 +53,24 @@ def _profiles(width: int):
     cells = 1 << CELLS_LOG2
 
     def run(batches):
-        counts, waiting, n_waiting = np.zeros(cells, np.uint32), [], 0
+        counts = np.zeros(cells, np.uint32)
         empty = None
         for batch in batches:
             empty = batch.schema.field("id").type
             for piece in words.slices(batch, "text"):
-                nodes, sizes = [], []
+                nodes, sizes, seen = [], [], [np.zeros(0, np.uint64)]
                 for node, own in _sets(piece.column("text"), width):
                     nodes.append(node if len(own) else None)
                     sizes.append(len(own))
-                    waiting.append(own >> np.uint64(64 - CELLS_LOG2))
-                    n_waiting += len(own)
-                if n_waiting > cells:
-                    counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=cells).astype(np.uint32)
-                    waiting, n_waiting = [], 0
+                    seen.append(own >> np.uint64(64 - CELLS_LOG2))
+                cell, n = np.unique(np.concatenate(seen), return_counts=True)
+                counts[cell] += n.astype(np.uint32)
                 k = len(nodes)
                 yield pa.record_batch([piece.column("id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
                                        pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
                                       names=["id", "node", "n", "chunk", "counts"])
         if empty is None:
             return
-        if waiting:
-            counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=cells).astype(np.uint32)
         full = [i for i in range(cells // CHUNK) if counts[i * CHUNK:(i + 1) * CHUNK].any()]
         k = len(full)
         yield pa.record_batch([pa.nulls(k, empty), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
@@ -150,7 +151,12 @@ def _different(part: pa.Table, width: int):
 
 
 def _entries(distinct: DataFrame, levels, width: int, percent: int) -> DataFrame:
-    """Per word sequence with prefix shingles that another one has too: those, its size, its matches, its set."""
+    """Per word sequence with prefix shingles that another one has too: those, its size, its matches, its set.
+
+    ``most`` bounds the overlap with a partner in which the shingle is a prefix
+    shingle as well: what stands before it in the order and in no other prefix
+    is not in the partner.
+    """
     parted = blocks(distinct, "node")
 
     def prefixes(part: pa.Table) -> np.ndarray:
@@ -162,17 +168,19 @@ def _entries(distinct: DataFrame, levels, width: int, percent: int) -> DataFrame
         rows = []
         for node, own in _different(part, width):
             prefix, matches = _prefix(own, levels.value, percent)
-            common = prefix[members(prefix, known)]
-            if len(common):
-                rows.append((node, len(own), matches, common.view(np.int64), own))
-        nodes, sizes, needs, common, own = zip(*rows) if rows else ((),) * 5
+            hit = members(prefix, known)
+            if hit.any():
+                rows.append((node, len(own), matches, int((~hit).sum()), prefix[hit].view(np.int64),
+                             len(own) - np.cumsum(~hit)[hit], own))
+        nodes, sizes, needs, alone, common, most, own = zip(*rows) if rows else ((),) * 7
         return pa.table({"node": pa.array(nodes, pa.int64()), "n": pa.array(sizes, pa.int64()),
-                         "need": pa.array(needs, pa.int32()),
-                         "tokens": pa.array(list(common), pa.list_(pa.int64())), "own": binary(list(own))})
+                         "need": pa.array(needs, pa.int32()), "alone": pa.array(alone, pa.int32()),
+                         "tokens": pa.array(list(common), pa.list_(pa.int64())),
+                         "most": pa.array(list(most), pa.list_(pa.int64())), "own": binary(list(own))})
 
     found = repeated(parted, prefixes)
     return parted.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
-        shared, "node long, n long, need int, tokens array<long>, own binary")
+        shared, "node long, n long, need int, alone int, tokens array<long>, most array<long>, own binary")
 
 
 @pandas_udf(LongType())
@@ -193,19 +201,36 @@ def _verified(pairs: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
 
 
 def _fit(x: str, y: str, percent: int):
-    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    """Sizes and overlap bounds of two documents allow the similarity."""
+    n, m = F.col(f"n{x}"), F.col(f"n{y}")
+    return ((100 * F.least(n, m) >= percent * F.greatest(n, m))
+            & ((100 + percent) * F.least(f"most{x}", f"most{y}") >= percent * (n + m)))
+
+
+def _matched(pairs: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes share the smaller number asked for, and enough for the similarity at best."""
+    side = lambda c: entries.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in (
+        "n", "need", "alone", "tokens")])
+    both = side("b").join(maybe_broadcast(pairs), "b").join(side("a"), "a")
+    common = both.withColumn("common", F.size(F.array_intersect("tokens_a", "tokens_b")))
+    beyond = lambda c: F.col(f"n_{c}") - F.col(f"alone_{c}") - F.size(f"tokens_{c}")
+    best = F.col("common") + F.greatest(beyond("a"), beyond("b"))  # what stands behind the prefixes
+    return common.filter((F.col("common") >= F.least("need_a", "need_b"))
+                         & ((100 + percent) * best >= percent * (F.col("n_a") + F.col("n_b")))).select("a", "b")
 
 
 def _links(entries: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) whose components are those of all similar pairs of different word sequences."""
-    postings = entries.select("node", "n", "need", F.explode("tokens").alias("token"))
-    # Each shingle's least document leads; the others are compared with it first.
-    leaders = written(postings.groupBy("token").agg(
-        F.min(F.struct("node", "n", "need")).alias("lead"), F.max("node").alias("last"))
-        .filter("lead.node < last").select("token", F.col("lead.node").alias("a"), F.col("lead.n").alias("n_a"),
-                                           F.col("lead.need").alias("need_a")))
+    postings = (entries.select("node", "n", "need", "alone", F.posexplode(F.arrays_zip("tokens", "most")).alias("at", "x"))
+                .select("node", "n", "need", "alone", "at", F.col("x.tokens").alias("token"), F.col("x.most").alias("most")))
+    # Of each shingle's documents, the one with the fewest prefix shingles of its own leads (in a group of near
+    # copies: the text that they were made from); the others are compared with it first.
+    lead = F.min(F.struct("alone", "node", "n", "need", "most")).alias("lead")
+    leaders = written(postings.groupBy("token").agg(lead, F.min("node").alias("lo"), F.max("node").alias("hi"))
+                      .filter("lo < hi").select("token", F.col("lead.node").alias("a"),
+                                                *[F.col(f"lead.{c}").alias(f"{c}_a") for c in ("n", "need", "most")]))
     shared = postings.join(leaders, "token")
-    star = written(shared.filter((F.col("node") != F.col("a")) & _fit("n", "n_a", percent))
+    star = written(shared.filter((F.col("node") != F.col("a")) & _fit("", "_a", percent))
                    .groupBy("a", F.col("node").alias("b"))
                    .agg(F.count(F.lit(1)).alias("common"), F.first(F.least("need", "need_a")).alias("need"))
                    .filter("common >= need").select("a", "b"))
@@ -213,17 +238,21 @@ def _links(entries: DataFrame, percent: int) -> DataFrame:
     # What is tied already needs no more comparisons; shingles within one component drop out.
     roots = written(components(first))
     held = (shared.join(roots, "node", "left").select(
-        "token", "node", "n", "need", F.coalesce("root", "node").alias("comp")))
-    contested = written(held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                        .filter("lo < hi").select("token"))
-    open_ = written(held.join(contested, "token", "left_semi"))
-    other = open_.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"),
-                         F.col("need").alias("need_b"), F.col("comp").alias("comp_b"))
-    rest = (open_.withColumnRenamed("node", "a").join(other, "token")
-            .filter((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & _fit("n", "n_b", percent))
-            .groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.first(F.least("need", "need_b")).alias("need"))
-            .filter("common >= need").select("a", "b").join(star, ["a", "b"], "left_anti"))
-    return first.unionByName(_verified(written(rest), entries, percent))
+        "token", "node", "n", "most", "at", F.coalesce("root", "node").alias("comp")))
+    contested = written(held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), n_rows().alias("size"))
+                        .filter("lo < hi").select("token", "size"))
+    # In a long list a pair is named at its first shared shingle, not at all: the shingles just before are compared.
+    before = F.slice("tokens", F.greatest(F.col("at") - BEFORE + 1, F.lit(1)), F.least(F.col("at"), F.lit(BEFORE)))
+    open_ = written(held.join(contested, "token").join(entries.select("node", "tokens"), "node").select(
+        "token", "node", "n", "most", "comp", F.when(F.col("size") > LONG_LIST, before).alias("before")))
+    other = open_.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "most", "comp", "before")])
+    pair = (F.col("node") < F.col("node_b")) & (F.col("comp") != F.col("comp_b")) & _fit("", "_b", percent)
+    named = (open_.join(other, "token").filter(pair & ~F.coalesce(F.arrays_overlap("before", "before_b"), F.lit(False)))
+             .select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+             .join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    rest = _matched(written(named), entries, percent)
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(
+        _verified(written(rest), entries, percent))
 
 
 def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",

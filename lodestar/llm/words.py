@@ -14,8 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 19  # bytes (or words) hashed in one step
-SLICE = 1 << 20  # bytes of text handled in one step
+SEGMENT = 1 << 16  # bytes (or words) hashed in one step
+SLICE = 1 << 18  # bytes of text handled in one step
 U = np.uint64
 
 
