@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from lodestar.llm import words
+from lodestar.llm.repeats import members
 from lodestar.llm.tables import maybe_broadcast, small_batches, written
 
 #: Most labelled texts that are learned from, in expectation, per class.
@@ -90,7 +91,7 @@ def features(texts, lexicon: Lexicon) -> np.ndarray:
     np.maximum.at(strongest, doc[hit], weight[hit])
     kinds = np.bincount(np.unique(np.stack([doc[hit].astype(np.uint64), terms[0][hit]]), axis=1)[0].astype(np.int64),
                         minlength=n)
-    you = words_in(terms[0], _YOU)
+    you = members(terms[0], _YOU)
     near = np.zeros(len(hit), bool)
     for step in range(1, NEAR + 1):
         near[step:] |= you[:-step] & (doc[step:] == doc[:-step])
@@ -118,10 +119,6 @@ def features(texts, lexicon: Lexicon) -> np.ndarray:
         100 * _sum(triple, offsets) / chars, np.log1p(cut.counts())])
 
 
-def words_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
-
-
 def term_counts(labelled: DataFrame) -> DataFrame:
     """(term, part, toxic, clean): in how many texts of each part and class a word or stem stands."""
 
