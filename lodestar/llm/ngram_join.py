@@ -241,10 +241,12 @@ def _links(entries: DataFrame, percent: int) -> DataFrame:
         "token", "node", "n", "most", "at", F.coalesce("root", "node").alias("comp")))
     contested = written(held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), n_rows().alias("size"))
                         .filter("lo < hi").select("token", "size"))
-    # In a long list a pair is named at its first shared shingle, not at all: the shingles just before are compared.
+    # A pair is looked for at its first shared shingle: what stands before it in either prefix is not shared. In a
+    # long list the shingles just before are compared, so that a pair is not named at all of its shared shingles.
     before = F.slice("tokens", F.greatest(F.col("at") - BEFORE + 1, F.lit(1)), F.least(F.col("at"), F.lit(BEFORE)))
     open_ = written(held.join(contested, "token").join(entries.select("node", "tokens"), "node").select(
-        "token", "node", "n", "most", "comp", F.when(F.col("size") > LONG_LIST, before).alias("before")))
+        "token", "node", "n", (F.col("most") - F.col("at")).alias("most"), "comp",
+        F.when(F.col("size") > LONG_LIST, before).alias("before")))
     other = open_.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "most", "comp", "before")])
     pair = (F.col("node") < F.col("node_b")) & (F.col("comp") != F.col("comp_b")) & _fit("", "_b", percent)
     named = (open_.join(other, "token").filter(pair & ~F.coalesce(F.arrays_overlap("before", "before_b"), F.lit(False)))
