@@ -64,6 +64,12 @@ def trade(t):
     return cut_lineage(values.select("src", "dst", (1e6 / (F.col("v") - low + 1e4)).alias("weight")))
 
 
+def customer_parts(t):
+    """Customer and part of all lines: a two-mode network."""
+    return order_lines(t).select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"),
+                                 F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
+
+
 def large_returns(t):
     """Customer and part of large returned lines: a sparse two-mode network."""
     rows = order_lines(t).filter("l_returnflag = 'R' and l_quantity >= 45 and l_discount >= 0.09")
@@ -237,6 +243,17 @@ def unreachable_pair_count(t):
     return net.unreachable_pairs(net.components(large_returns(t)))
 
 
+@query("K8")
+def connected_components_all(t):
+    """All order lines; rows only, as the recursive SQL walks from every node."""
+    return net.components(customer_parts(t))
+
+
+@query("K8 L6")
+def unreachable_pair_count_all(t):
+    return net.unreachable_pairs(net.components(customer_parts(t)))
+
+
 @query("K9", f"""
     with {TRANSITIONS},
     s as (select distinct least(src, dst) as src, greatest(src, dst) as dst from e where weight > (select avg(weight) from e)),
@@ -466,6 +483,16 @@ def yearly_mean_coreness(t):
     return cores.groupBy("yr").agg(n_rows().alias("nodes"), F.max("core").alias("top"), r(F.avg("core")).alias("mean"))
 
 
+@query("L11 J3")
+def yearly_mean_coreness_all(t):
+    """All order lines; rows only, as the SQL needs as many rounds as the core numbers take to settle."""
+    rows = order_lines(t).select(
+        year("o_orderdate").alias("yr"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"),
+        F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
+    cores = cen.coreness(rows, by=["yr"])
+    return cores.groupBy("yr").agg(n_rows().alias("nodes"), F.max("core").alias("top"), r(F.avg("core")).alias("mean"))
+
+
 @query("L12")
 def nation_power(t):
     """Rows only: the scores solve a linear system over the trade ties."""
