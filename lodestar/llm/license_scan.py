@@ -56,6 +56,8 @@ TEMPLATES = (
     ("boost", "Distributed under the Boost Software License, Version 1.0", ("boost software license",)),
 )
 LEAST_SCORE = 0.6  # share of a template's IDF weight that stands in place
+SLACK = 8  # words by which inserted and missing words may move a word against a looked-up one
+BLOCK = 4_096  # relative positions compared at once
 
 
 def _names(text: str) -> np.ndarray:
@@ -118,15 +120,48 @@ class _Index:
                 self.bound[word, t] += weights[word]
             self.postings.append(spots)
 
+    def _in_place(self, at: np.ndarray, hit: np.ndarray, t: int, shifts: np.ndarray) -> np.ndarray:
+        """Most weight of words in template order within SLACK words of each shift.
+
+        Rows are template words, after each of which the best weights per shift and
+        offset are kept: (words + 1, shifts, 2 * SLACK + 1).
+        """
+        line, n = self.lines[t], len(at)
+        offsets = shifts[:, None] + np.arange(-SLACK, SLACK + 1)
+        best = np.zeros((len(line) + 1, *offsets.shape))
+        for i, word in enumerate(line):
+            place = offsets + i
+            inside = np.clip(place, 0, n - 1)
+            same = (place == inside) & hit[inside] & (at[inside] == word)
+            row = best[i] + np.where(same, self.weights[word], 0.0)
+            row[:, :-1] = np.maximum(row[:, :-1], best[i][:, 1:])  # the text lacks the word
+            best[i + 1] = np.maximum.accumulate(row, axis=1)  # the text has words between
+        return best
+
+    def _ends(self, at: np.ndarray, hit: np.ndarray, t: int, shift: int) -> tuple[int, int]:
+        """First word and end of the template as its first and last words in place put it."""
+        best, line, n = self._in_place(at, hit, t, np.array([shift]))[:, 0], self.lines[t], len(at)
+        i, o, found = len(line), 2 * SLACK, []
+        while i and best[i, o] > 0:
+            if o and best[i, o] == best[i, o - 1]:
+                o -= 1
+            elif o < 2 * SLACK and best[i, o] == best[i - 1, o + 1]:
+                i, o = i - 1, o + 1
+            else:
+                i -= 1
+                if best[i + 1, o] > best[i, o]:
+                    found.append(shift + o - SLACK)
+        return max(0, found[-1]), min(n, found[0] + len(line))
+
     def matches(self, at: np.ndarray, hit: np.ndarray, names: np.ndarray, t: int):
         """Best place of template t among the words of one text: (first word, end, score), or None.
 
         ``at`` has the vocabulary number of each word where ``hit``. Postings of the
         text's highest-IDF template words give relative positions, each of which is
-        compared along the whole template; so many words are looked up that no place
-        with enough weight is missed.
+        compared along the whole template, in its order and within SLACK words; so many
+        words are looked up that no place with enough weight is missed.
         """
-        spots, line, n = self.postings[t], self.lines[t], len(at)
+        spots, n = self.postings[t], len(at)
         own = [int(w) for w in np.unique(at[hit]) if int(w) in spots]
         seen = self.totals[t] - sum(self.bound[w, t] for w in own)  # weight of words that the text lacks
         shifts = set()
@@ -136,17 +171,18 @@ class _Index:
             seen += self.bound[word, t]
             if seen > (1 - LEAST_SCORE) * self.totals[t]:
                 break  # a place that has none of these words can't carry the weight
-        best = None
-        for shift in sorted(shifts):
-            lo, hi = max(0, -shift), min(len(line), n - shift)
-            same = hit[lo + shift:hi + shift] & (at[lo + shift:hi + shift] == line[lo:hi])
-            score = float(self.weights[line[lo:hi]][same].sum() / self.totals[t])
-            if best is None or score > best[2]:
-                best = (lo + shift, hi + shift, score)
-        if best is None or best[2] < LEAST_SCORE:
-            return None
         doc = np.zeros(n, np.int64)
-        return best if all(len(_places(names, doc, key)) for key in self.keys[t]) else None
+        if not all(len(_places(names, doc, key)) for key in self.keys[t]):
+            return None
+        best, ordered = None, np.array(sorted(shifts), np.int64)
+        for i in range(0, len(ordered), BLOCK):
+            scores = self._in_place(at, hit, t, ordered[i:i + BLOCK])[-1, :, -1] / self.totals[t]
+            top = int(scores.argmax())
+            if best is None or scores[top] > best[1]:
+                best = (int(ordered[i + top]), float(scores[top]))
+        if best is None or best[1] < LEAST_SCORE:
+            return None
+        return *self._ends(at, hit, t, best[0]), best[1]
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=None,
@@ -157,8 +193,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     place of a base phrase counts. Besides, the words of customary notices form
     a positional index with IDF weights counted over all texts: a text's
     highest-IDF template words are looked up, their postings give relative
-    positions, and a notice is found where the words in place carry 0.6 or more
-    of its weight and all its key phrases stand in the text. A template is only
+    positions, and a notice is found where the words in template order within
+    ``SLACK`` words of one of these carry 0.6 or more of its weight and all its key
+    phrases stand in the text. A template is only
     tried on a text whose different words could carry that weight.
 
     Returns per input row: the id, ``n_words`` and ``matches`` (label, start,
