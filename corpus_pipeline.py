@@ -26,8 +26,8 @@ ROW, SCORE, NO_TEXT, HIT = "__row", "__score", "__no_text", "__hit"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Documents with a row number; the input is a written table, so it is the same each time."""
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+    """Documents with a row number, written: a scan numbers other rows when its file splits change between jobs."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
