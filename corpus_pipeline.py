@@ -56,7 +56,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents with secrets replaced by a mask; ``n_chars`` follows the new text. Null texts stay null."""
     found = secret_scan.with_spans(
         docs.withColumn(NO_TEXT, F.col("text").isNull()), keep=[NO_TEXT, *[c for c in docs.columns if c not in ("doc_id", "text")]])
-    masked = F.when(~F.col(f"kept_{NO_TEXT}"), secret_scan.redact(F.col("text"), F.col("spans")))
+    spans = secret_scan.with_key_bodies(F.col("text"), F.col("spans"))
+    masked = F.when(~F.col(f"kept_{NO_TEXT}"), secret_scan.redact(F.col("text"), spans))
     named = {"doc_id": F.col("id"), "text": masked}
     out = found.select(*[named.get(c, F.col(f"kept_{c}")).alias(c) for c in docs.columns],
                        (F.size("spans") > 0).alias(HIT))

@@ -43,6 +43,12 @@ RULES = (
     Rule("stripe", "sk_live_[A-Za-z0-9]{16,}"),
     Rule("url_login", r"://[^\x00-\x20/:@]+:[^\x00-\x20/:@]+@"),
 )
+#: Kind whose span is the header line of a PEM block, the end mark, and words of the block.
+KEY_HEADER = "private_key"
+KEY_END = "-----END [A-Z ]*PRIVATE KEY-----"
+KEY_BEGIN = "-----BEGIN "
+KEY_FIELD = "^(Proc-Type:|4,ENCRYPTED|DEK-Info:|[A-Z0-9-]+,[0-9A-Fa-f]+)$"
+KEY_LINE, KEY_TAIL = "^[A-Za-z0-9+/]{16,}={0,2}$", "^([A-Za-z0-9+/]{4})*[A-Za-z0-9+/]{2}[A-Za-z0-9+/=]{2}$"
 MOST_STRINGS = 16  # alternatives of one literal stretch, of one query
 
 
@@ -177,6 +183,40 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return with_spans(docs, id_col, text_col, rules).select(F.col("id").alias(id_col), "spans")
 
 
+def _body_size(rest: Column) -> Column:
+    """Characters of the key at the start of ``rest``, the text behind a header.
+
+    Up to the end mark that comes before the next header; without one, the base64
+    words (blanks and written-out line ends between) and the short one that ends them.
+    """
+    own = F.split(rest, KEY_BEGIN, 2)[0]
+    parts = F.split(own, KEY_END, 2)
+    words = F.split(F.regexp_replace(own, r"\\[nr]", "  "), r"\s", -1)
+    start = F.struct(*[F.lit(0).alias(c) for c in ("at", "end", "state")])  # state: before, in, behind the body
+
+    def step(s, x):
+        size = F.char_length(x)
+        line = (s["state"] < 2) & F.regexp_like(x, F.lit(KEY_LINE))
+        tail = (s["state"] == 1) & F.regexp_like(x, F.lit(KEY_TAIL))
+        skip = (size == 0) | ((s["state"] == 0) & F.regexp_like(x, F.lit(KEY_FIELD)))
+        return F.struct(
+            (s["at"] + size + 1).alias("at"), F.when(line | tail, s["at"] + size).otherwise(s["end"]).alias("end"),
+            F.when(line, 1).when(skip, s["state"]).otherwise(2).alias("state"))
+
+    open_ = F.aggregate(words, start, step, lambda s: s["end"])
+    return F.when(F.size(parts) == 2, F.char_length(own) - F.char_length(parts[1])).otherwise(open_)
+
+
+def with_key_bodies(text: Column, spans: Column) -> Column:
+    """The spans, those of private-key headers drawn out over the key itself; starts and order stay."""
+    def drawn(x):
+        body = _body_size(F.substring(text, x["end"] + 1, F.char_length(text)))
+        end = F.when(x["kind"] == KEY_HEADER, x["end"] + body).otherwise(x["end"])
+        return F.struct(x["start"].alias("start"), x["rank"].alias("rank"), end.alias("end"), x["kind"].alias("kind"))
+
+    return F.when(F.exists(spans, lambda x: x["kind"] == KEY_HEADER), F.transform(spans, drawn)).otherwise(spans)
+
+
 def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     """Text with the union of the spans replaced, one mask for each stretch of overlapping spans."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
