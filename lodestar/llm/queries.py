@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.llm import (code_search, language_id, license_scan, mixing, ngram_join, packing, quality, secret_scan,
-                          substring, toxicity)
+from lodestar.llm import (code_search, language_id, license_scan, mixing, ngram_join, online_packing, packing, quality,
+                          secret_scan, substring, toxicity)
 from lodestar.session import table
 from lodestar.llm.catalog import ORACLES, QUERIES, documents, query
 
@@ -168,3 +168,8 @@ def op7(spark, sf_dir):
 @query("op9_packing")
 def op9(spark, sf_dir):
     return packing.best_fit(documents(spark, sf_dir))
+
+
+@query("op13_online_packing")
+def op13(spark, sf_dir):
+    return online_packing.pack_online(documents(spark, sf_dir), window=2048)
