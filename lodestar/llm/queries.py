@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.llm import (code_search, language_id, license_scan, mixing, ngram_join, online_packing, packing, quality,
-                          secret_scan, substring, toxicity)
+from lodestar.llm import (code_search, language_id, lexical_search, license_scan, mixing, ngram_join, online_packing,
+                          packing, quality, secret_scan, substring, toxicity)
 from lodestar.session import table
 from lodestar.llm.catalog import ORACLES, QUERIES, documents, query
 
@@ -86,6 +86,27 @@ select doc_id, d.source, d.lang, d.topic, n_tokens, least(1, lift * s) as rate,
 from d join c using (source, lang, topic), s8"""
 
 
+def _terms(text):
+    """DuckDB list of the terms of a text."""
+    folded = f"translate({text}, '{lexical_search.UPPER}', '{lexical_search.LOWER}')"
+    return f"regexp_extract_all({folded}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+OP12_SQL = f"""
+with i as materialized (
+  select item_id, term, count(*) as times from (select item_id, unnest({_terms("text")}) as term from benchmark) group by all),
+d as materialized (select doc_id, {_terms("text")} as terms from documents where len({_terms("text")}) > 0),
+total as (select count(*) as n_docs, sum(len(terms))::bigint as n_terms from d),
+m as (select doc_id, 100 - 75 + ((75 * len(terms) * n_docs) // n_terms)::bigint as m from d, total),
+tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest(terms) as term from d)
+  where term in (select term from i) group by all),
+w as (select term, floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from tf, total group by term),
+scored as (select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+  from i join tf using (term) join w using (term) join m using (doc_id) group by all)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score
+from scored where score > 0 qualify rank <= 10"""
+
 __all__ = ["ORACLES", "QUERIES"]
 
 
@@ -173,3 +194,8 @@ def op9(spark, sf_dir):
 @query("op13_online_packing")
 def op13(spark, sf_dir):
     return online_packing.pack_online(documents(spark, sf_dir), window=2048)
+
+
+@query("op12_lexical_search", OP12_SQL)
+def op12(spark, sf_dir):
+    return lexical_search.lexical_search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), k=10)

@@ -14,6 +14,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from lodestar.llm.runs import runs, strings
+
 #: Bytes of text that are cut and encoded in one step.
 SLICE = 4 << 20
 #: Chunks of more bytes, or with characters beyond U+00FF, are left to ``tokenizers``.
@@ -71,9 +73,7 @@ class Encoder:
         first = safe_cuts(data)
         first[offsets[:-1][offsets[:-1] < len(data)]] = True
         starts = np.flatnonzero(first)
-        edges = np.append(starts, len(data)).astype(np.int32)
-        chunks = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data)])
-        coded = chunks.dictionary_encode()
+        coded = strings(data, np.append(starts, len(data))).dictionary_encode()
         flat, sizes = self._ids(coded.dictionary)
         which = coded.indices.to_numpy()
         counts = sizes[which]
@@ -98,55 +98,10 @@ def safe_cuts(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string array; a null text is empty."""
-    texts = texts.fill_null("")
-    _, offsets, data = texts.buffers()
-    if not len(texts) or data is None:
-        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
-    offsets = np.frombuffer(offsets, np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
-    return np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
-
-
-def _segments(data: np.ndarray) -> Iterator[np.ndarray]:
-    """A long text in runs of about ``SLICE`` bytes that end at safe cuts."""
-    at, size = 0, SLICE
-    while at < len(data):
-        if at + size >= len(data):
-            yield data[at:]
-            return
-        cuts = np.flatnonzero(safe_cuts(data[at:at + size]))
-        if not len(cuts):
-            size *= 2  # one chunk is longer than the run
-            continue
-        yield data[at:at + cuts[-1]]
-        at, size = at + int(cuts[-1]), SLICE
-
-
 def token_parts(texts: pa.Array, name: str) -> Iterator[tuple[int, np.ndarray, bool]]:
     """(number of the text, some of its ids, whether they are its last) in order; a text has one part or more."""
     coder = encoder(name)
-    data, offsets = _buffers(texts)
-    i, n = 0, len(offsets) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE, side="right")) - 1)
-        own = data[offsets[i]:offsets[j]]
-        if j == i + 1 and len(own) > SLICE:
-            parts = list_last(_segments(own))
-            for part, last in parts:
-                yield i, coder.encode(part, np.array([0, len(part)]))[0], last
-        else:
-            ids, bounds = coder.encode(own, offsets[i:j + 1] - offsets[i])
-            for k in range(i, j):
-                yield k, ids[bounds[k - i]:bounds[k - i + 1]], True
-        i = j
-
-
-def list_last(items: Iterator) -> Iterator[tuple]:
-    """(item, whether it is the last)."""
-    held = next(items, None)
-    for item in items:
-        yield held, False
-        held = item
-    if held is not None:
-        yield held, True
+    for first, data, offsets, last in runs(texts, safe_cuts, SLICE):
+        ids, bounds = coder.encode(data, offsets)
+        for k in range(len(offsets) - 1):
+            yield first + k, ids[bounds[k]:bounds[k + 1]], last
