@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.llm import (code_search, language_id, lexical_search, license_scan, mixing, ngram_join, online_packing,
-                          packing, quality, secret_scan, substring, toxicity)
+                          packing, quality, secret_scan, spelling, substring, toxicity)
 from lodestar.session import table
 from lodestar.llm.catalog import ORACLES, QUERIES, documents, query
 
@@ -107,6 +107,44 @@ scored as (select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 *
 select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score
 from scored where score > 0 qualify rank <= 10"""
 
+OP11_SQL = """
+with recursive tab as materialized (
+  select list_transform(range(256), lambda i: list_reduce([i::bigint, 1, 1, 1, 1, 1, 1, 1, 1],
+    lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end)) as t),
+found as materialized (
+  select doc_id, run, count(*) as times from (
+    select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[A-Za-zÀ-ÿ]+')) as run from documents) where length(run) >= 7 group by all),
+hashed as materialized (
+  select run, times, xor(list_reduce([4294967295::bigint] || flatten(list_transform(
+      string_split(coalesce(doc_id::varchar, '') || ':' || run, ''),
+      lambda c: case when unicode(c) < 128 then [unicode(c)::bigint] else [195::bigint, unicode(c)::bigint - 64] end)),
+    lambda s, b: xor(t[(xor(s, b) & 255) + 1], s >> 8)), 4294967295::bigint) as h from found, tab),
+v as materialized (
+  select word, sum(times)::bigint as n from (
+    select case when h % 31 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2)
+      else run end as word, times from hashed)
+  where length(word) >= 7 group by word having sum(times) >= 2),
+cut as materialized (
+  select word, n, i, left(word, i::int) as head, substr(word, i::int + 2) as rest
+  from (select word, n, unnest(range(length(word))) as i from v)),
+pairs as materialized (
+  select a.word as a, a.n as a_n, b.word as b, b.n as b_n
+  from cut a join cut b on a.i = b.i and a.head = b.head and a.rest = b.rest and a.word < b.word
+  union all
+  select v.word, v.n, d.word, d.n from v join (select distinct word, n, head || rest as less from cut) d on d.less = v.word),
+near as materialized (
+  select word, count(*)::bigint as n_near, min({'n': -m, 'form': near}) filter (m >= 10 * n) as best
+  from (select a as word, a_n as n, b as near, b_n as m from pairs union all select b, b_n, a, a_n from pairs) group by word),
+forms as materialized (select word, best.form as form, (-best.n)::bigint as form_n from near where best is not null),
+chain as (
+  select word, word as root, 0 as steps from v
+  union all
+  select c.word, f.form, c.steps + 1 from chain c join forms f on c.root = f.word)
+select v.word, form, root, v.n, coalesce(n_near, 0)::bigint as n_near, form_n
+from v left join near using (word) left join forms using (word)
+join (select word, arg_max(root, steps) as root from chain group by word) using (word)"""
+
 __all__ = ["ORACLES", "QUERIES"]
 
 
@@ -199,3 +237,8 @@ def op13(spark, sf_dir):
 @query("op12_lexical_search", OP12_SQL)
 def op12(spark, sf_dir):
     return lexical_search.lexical_search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query("op11_spelling_variants", OP11_SQL)
+def op11(spark, sf_dir):
+    return spelling.spelling_variants(documents(spark, sf_dir), least=7, ratio=10, modulus=31)
