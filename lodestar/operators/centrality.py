@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.columns import n_rows
 from lodestar.operators.networks import undirected
-from lodestar.operators.ordered import range_chunks, running_sums
+from lodestar.operators.ordered import desc, running_sums
 from lodestar.session import cut_lineage
 
 EPS = 1e-9
@@ -306,9 +306,7 @@ def core_curve(scores: DataFrame, col: str, tie: str) -> DataFrame:
 
     Running sums give all p at once: cov = (top_p - p * mean) / n.
     """
-    rows = scores.withColumn("__neg", -F.col(col))
-    out = running_sums(rows, [], ["__neg", tie], range_chunks(rows, "__neg"),
-                       {"p": F.lit(1).cast("bigint"), "__top": F.col(col)})
+    out = running_sums(scores, [], [desc(col), tie], {"p": F.lit(1).cast("bigint"), "__top": F.col(col)})
     stats = scores.agg(F.avg(col).alias("m"), F.stddev_pop(col).alias("s"), n_rows().cast("double").alias("n"))
     mean, sd, n = (stats.select(c).scalar() for c in ("m", "s", "n"))
     share = F.col("p") / n

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from lodestar.functions.columns import n_rows
 from lodestar.operators.aggregates import categories
 from lodestar.operators.features import uniform
-from lodestar.operators.ordered import range_chunks, running_sums
+from lodestar.operators.ordered import desc, running_sums
+from lodestar.session import cut_lineage
 
 
 def confusion(df: DataFrame, label: str, pred: str, normalize: bool = False) -> DataFrame:
@@ -41,11 +42,9 @@ def class_metrics(df: DataFrame, label: str, pred: str, positive, by: Sequence[s
 def _score_steps(df: DataFrame, label: str, score: str, positive) -> DataFrame:
     """One row per distinct score, highest first, with running counts of both classes."""
     hit = F.col(label) == positive
-    steps = (df.groupBy(F.col(score).cast("double").alias("threshold"))
-             .agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg"))
-             .withColumn("__neg", -F.col("threshold")))
-    return running_sums(steps, [], ["__neg"], range_chunks(steps, "__neg"),
-                        {"tp": F.col("pos"), "fp": F.col("neg")})
+    steps = cut_lineage(df.groupBy(F.col(score).cast("double").alias("threshold"))
+                        .agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg")))
+    return running_sums(steps, [], [desc("threshold")], {"tp": F.col("pos"), "fp": F.col("neg")})
 
 
 def roc(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:

@@ -31,7 +31,7 @@ def hash_positions(df: DataFrame, key: str, seed: int, by: Sequence[str] = (), n
     """1-based position by hash, per ``by``; chunks cut the hash range evenly."""
     marked = df.withColumn("__u", uniform(key, seed))
     chunk = F.floor(F.col("__u") * (4 * partitions(df)))
-    return row_numbers(marked, by, ["__u", key], chunk, name).drop("__u")
+    return row_numbers(marked, by, ["__u", key], name, chunk).drop("__u")
 
 
 def split(df: DataFrame, key: str, test_size: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:

@@ -1,9 +1,8 @@
 """Network construction, projection, decay and similarity.
 
-Two-mode data is never expanded into all member pairs of a group. Projections
-stay factored (group sums minus the own part), and pair statistics are kept for
-the members of a vocabulary (a category column's values, however many), computed
-from one row of bit words per group.
+Two-mode data is never expanded into all member pairs of a group: projections
+stay factored (group sums minus the own part), and ``pairs`` has statistics of
+member pairs in sparse form.
 """
 
 from __future__ import annotations
@@ -18,8 +17,6 @@ from lodestar.operators.ordered import neighbours, order_statistic
 from lodestar.operators.relational import symmetrize
 from lodestar.session import cut_lineage
 
-WORD = 62  # members per bit word
-
 
 def graph(ties: DataFrame, src: str, dst: str, weight: str,
           vertices: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -31,10 +28,9 @@ def graph(ties: DataFrame, src: str, dst: str, weight: str,
     return vertices, edges
 
 
-def transition_edges(df: DataFrame, entity: str, node: str, order: Sequence[str],
-                     chunk: Column | None = None) -> DataFrame:
+def transition_edges(df: DataFrame, entity: str, node: str, order: Sequence[str]) -> DataFrame:
     """Directed edges between consecutive nodes of each entity, weighted by how often they occur."""
-    nxt = neighbours(df, [entity], order, chunk, leads={"dst": node})
+    nxt = neighbours(df, [entity], order, leads={"dst": node})
     return (nxt.filter(F.col("dst") != F.col(node))
             .groupBy(F.col(node).alias("src"), "dst").agg(n_rows().cast("double").alias("weight")))
 
@@ -70,132 +66,6 @@ def projection_ties(df: DataFrame, group: str, member: str) -> DataFrame:
     return sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("ties"))
 
 
-def vocabulary_of(df: DataFrame, member: str) -> list:
-    """All values of a category column, sorted (one small driver list, as long as the category is wide)."""
-    return [r[0] for r in df.select(member).filter(F.col(member).isNotNull()).distinct().orderBy(member).collect()]
-
-
-def category_masks(df: DataFrame, keys: Sequence[str], member: str, vocabulary: Sequence) -> DataFrame:
-    """One row per key with a bit per vocabulary member that occurs in it, in an array of bit words.
-
-    Null members set no bit; a member outside the vocabulary is an error.
-    """
-    code = F.create_map(*[F.lit(x) for i, v in enumerate(vocabulary) for x in (v, i)])
-    unknown = F.raise_error(F.concat(F.lit(f"{member} has a value outside the vocabulary: "),
-                                     F.col(member).cast("string"))).cast("int")
-    at = F.when(F.col(member).isNotNull(), F.coalesce(F.try_element_at(code, F.col(member)), unknown))
-    words = -(-len(vocabulary) // WORD)
-    bits = [F.coalesce(F.bit_or(F.when((at >= w * WORD) & (at < (w + 1) * WORD), F.call_function(
-        "shiftleft", F.lit(1).cast("bigint"), F.greatest(at - w * WORD, F.lit(0))))), F.lit(0).cast("bigint")) for w in range(words)]
-    return (df.groupBy(*keys).agg(F.array(*bits).alias("mask"))
-            .filter(F.exists("mask", lambda w: w != 0)))
-
-
-def _bits(m: int) -> Column:
-    """Codes of the vocabulary members in a mask."""
-    return F.filter(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.getbit(
-        F.get(F.col("mask"), (i / WORD).cast("int")), i % WORD) == 1)
-
-
-def _has(j: int) -> Column:
-    return F.getbit(F.get(F.col("mask"), F.lit(j // WORD)), F.lit(j % WORD)) == 1
-
-
-def _co_rows(masks: DataFrame, m: int, by: Sequence[str], cell) -> DataFrame:
-    """One row per (by, member code) with an array of ``cell(j)`` over all codes j.
-
-    Groups are spread to their members, never to member pairs; each member sums
-    its row of the vocabulary matrix map-side.
-    """
-    rows = masks.withColumn("i", F.explode(_bits(m)))
-    return (rows.groupBy(*by, "i").agg(*[cell(j).alias(f"__{j}") for j in range(m)])
-            .select(*by, "i", F.array(*[f"__{j}" for j in range(m)]).alias("row")))
-
-
-def _co_counts(masks: DataFrame, m: int, by: Sequence[str]) -> DataFrame:
-    """Co-occurrence counts; equal masks are counted first."""
-    distinct = masks.groupBy(*by, "mask").agg(n_rows().alias("__n"))
-    return _co_rows(distinct, m, by, lambda j: F.sum(F.when(_has(j), F.col("__n")).otherwise(0)))
-
-
-def _name(vocabulary: Sequence, code: str) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in vocabulary]), F.col(code))
-
-
-def _matrix(rows: DataFrame, by: Sequence[str], name: str) -> DataFrame:
-    """All rows of a vocabulary matrix in one map code -> row."""
-    return rows.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("i", "row"))).alias(name))
-
-
-def co_occurrence(masks: DataFrame, vocabulary: Sequence, by: Sequence[str] = ()) -> DataFrame:
-    """For each occurring vocabulary pair a, b: groups with a, with b and with both."""
-    by, m = list(by), len(vocabulary)
-    counts = _co_counts(masks, m, by)
-    single = counts.select(*by, "i", F.get("row", F.col("i")).alias("n"))
-    pairs = counts.select(*by, "i", F.posexplode("row").alias("j", "n_ab")).filter("i < j")
-    return (pairs.join(single.withColumnRenamed("n", "n_a"), [*by, "i"])
-            .join(single.withColumnsRenamed({"i": "j", "n": "n_b"}), [*by, "j"])
-            .select(*by, _name(vocabulary, "i").alias("a"), _name(vocabulary, "j").alias("b"), "n_a", "n_b", "n_ab"))
-
-
-def ordered_pairs(pairs: DataFrame) -> DataFrame:
-    """Both directions of a pair table with columns a, b, n_ab."""
-    return pairs.select("a", "b", "n_ab").union(pairs.select("b", "a", "n_ab"))
-
-
-def set_distance(pairs: DataFrame, kind: str = "jaccard") -> DataFrame:
-    """Distance between the sets of groups in which two members occur."""
-    both, either = F.col("n_ab"), F.col("n_a") + F.col("n_b") - F.col("n_ab")
-    if kind == "jaccard":
-        dist = 1 - F.coalesce(F.try_divide(both.cast("double"), either.cast("double")), F.lit(0.0))
-    else:
-        dist = F.sqrt((F.col("n_a") + F.col("n_b") - 2 * both).cast("double"))
-    return pairs.withColumn("distance", dist)
-
-
-def first_seen_pairs(masks: DataFrame, vocabulary: Sequence, time: str) -> DataFrame:
-    """First time at which each vocabulary pair occurs in one group."""
-    first = _co_rows(masks, len(vocabulary), [], lambda j: F.min(F.when(_has(j), F.col(time))))
-    return (first.select("i", F.posexplode("row").alias("j", "first_time"))
-            .filter("i < j and first_time is not null")
-            .select(_name(vocabulary, "i").alias("a"), _name(vocabulary, "j").alias("b"), "first_time"))
-
-
-def novel_counts(masks: DataFrame, vocabulary: Sequence, time: str, span: int) -> DataFrame:
-    """New members and new member pairs per group: first seen less than ``span`` before.
-
-    First times form one small matrix; each group tests its own members in its row.
-    """
-    m = len(vocabulary)
-    first = _matrix(_co_rows(masks, m, [], lambda j: F.min(F.when(_has(j), F.col(time)))), [], "f").scalar()
-    rows = masks.withColumns({"__f": first, "__bits": _bits(m)})
-
-    def fresh(i, j):
-        return F.col(time) - F.get(F.try_element_at(F.col("__f"), i), j) < span
-
-    singles = F.size(F.filter("__bits", lambda i: fresh(i, i))).cast("bigint")
-    pairs = F.aggregate("__bits", F.lit(0), lambda acc, i: acc + F.size(
-        F.filter("__bits", lambda j: (j > i) & fresh(i, j)))).cast("bigint")
-    return rows.withColumns({"new_members": singles, "new_pairs": pairs}).drop("__f", "__bits")
-
-
-def avg_partner_distance(masks: DataFrame, vocabulary: Sequence, by: Sequence[str], name: str) -> DataFrame:
-    """Mean Jaccard distance between the members of each group, distances taken per ``by``."""
-    m = len(vocabulary)
-    rows = masks.join(_matrix(_co_counts(masks, m, by), by, "__n"), list(by)).withColumn("__bits", _bits(m))
-
-    def count(i, j):
-        return F.get(F.try_element_at(F.col("__n"), i), j)
-
-    def jaccard(i, j):
-        return 1 - count(i, j).cast("double") / (count(i, i) + count(j, j) - count(i, j)).cast("double")
-
-    total = F.aggregate("__bits", F.lit(0.0), lambda acc, i: F.aggregate(
-        F.filter("__bits", lambda j: j > i), acc, lambda s, j: s + jaccard(i, j)))
-    size = F.size("__bits")
-    return rows.withColumn(name, F.try_divide(total, (size * (size - 1) / 2).cast("double"))).drop("__n", "__bits")
-
-
 def bipartite_panel(df: DataFrame, sender: str, receiver: str, time: str) -> DataFrame:
     """Distinct ties per period in sparse form; absent combinations are zero."""
     return df.select(F.col(time).alias("period"), F.col(sender).alias("sender"),
@@ -211,8 +81,8 @@ def bipartite_totals(panel: DataFrame, senders: DataFrame, sender: str) -> DataF
     return cells.join(counts, ["period", "sender"], "left").na.fill(0, ["ties"])
 
 
-def decay_ties(links: DataFrame, a: str, b: str, time: str, now: Column, chunk: Column | None = None,
-               share: float = 0.9, keep_all_below: int = 3, by: Sequence[str] = ()) -> DataFrame:
+def decay_ties(links: DataFrame, a: str, b: str, time: str, now: Column, share: float = 0.9,
+               keep_all_below: int = 3, by: Sequence[str] = ()) -> DataFrame:
     """Ties not older than the ``share`` order statistic of the renewal gaps, latest per pair.
 
     With at most ``keep_all_below`` distinct renewals there is no threshold and
@@ -223,7 +93,7 @@ def decay_ties(links: DataFrame, a: str, b: str, time: str, now: Column, chunk:
     group = by or ["__all"]
     rows = links if by else links.withColumn("__all", F.lit(0))
     rows = cut_lineage(rows.select(*group, a, b, time))
-    gaps = neighbours(rows, [*group, a, b], [time], chunk, leads={"__next": time}).filter(F.col("__next").isNotNull())
+    gaps = neighbours(rows, [*group, a, b], [time], leads={"__next": time}).filter(F.col("__next").isNotNull())
     gaps = cut_lineage(gaps.select(*group, a, b, time, F.datediff("__next", time).alias("gap")))
     limits = (gaps.distinct().groupBy(*group).agg(n_rows().alias("__n"))
               .join(order_statistic(gaps, "gap", share, "__limit", group), group))
@@ -235,10 +105,9 @@ def decay_ties(links: DataFrame, a: str, b: str, time: str, now: Column, chunk:
     return all_ties.unionByName(trimmed).drop("__all")
 
 
-def decay_fixed(links: DataFrame, keys: Sequence[str], order: Sequence[str], width: int,
-                chunk: Column | None = None) -> DataFrame:
+def decay_fixed(links: DataFrame, keys: Sequence[str], order: Sequence[str], width: int) -> DataFrame:
     """Ties renewed within ``width`` periods, and the last tie of every pair."""
-    out = neighbours(links, keys, order, chunk, leads={"__next": order[0]})
+    out = neighbours(links, keys, order, leads={"__next": order[0]})
     return out.filter(F.col("__next").isNull() | (F.col("__next") - F.col(order[0]) <= width)).drop("__next")
 
 

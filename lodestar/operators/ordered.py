@@ -1,9 +1,11 @@
-"""Ordered computations whose partitions stay bounded under hot keys.
-
-A plain window puts all rows of a key into one task. Here rows are first cut
-into chunks along the sort order; a window runs inside (key, chunk), and a
-small table with one row per (key, chunk) carries sums or boundary rows from
-chunk to chunk.
+"""Ordered computations whose partitions stay bounded under hot keys and ties.
+
+A plain window puts all rows of a key into one task. Here rows are ranged by
+(keys, whole sort order): cut rows drawn from a sample give every row a range
+number, a window runs inside (keys, range), and only keys that a cut row falls
+into have more than one range. A table with at most two rows per cut carries
+sums or boundary rows of these keys from range to range, so that the rows
+themselves are shuffled once.
 """
 
 from __future__ import annotations
@@ -14,136 +16,185 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.session import partitions
-
+from lodestar.session import cut_lineage, partitions
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
-                   how: str = "left") -> DataFrame:
-    """Equi-join in which null keys match each other; ``right`` keeps only its payload."""
-    if not keys:
-        raise ValueError("keys must not be empty")
-    tag = {k: f"__r_{k}" for k in keys}
-    right = right.withColumnsRenamed(tag)
-    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(tag[k])) for k in keys])
-    return left.join(right, cond, how).drop(*tag.values())
+#: Rows of the sample per range.
+SAMPLE = 64
+SAMPLE_SEED = 20240229
 
 
-def as_number(df: DataFrame, col: str) -> Column:
-    """A double that grows with a number, date or timestamp column."""
-    kind = dict(df.dtypes)[col]
-    if kind == "date":
-        return F.unix_date(col).cast("double")
-    if kind.startswith("timestamp"):
-        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
-    if kind == "string":
-        raise ValueError(f"{col} is text; number the ranges with sorted_chunks instead")
-    return F.col(col).cast("double")
+class desc(str):
+    """Name of a sort column in descending order; nulls come last (ascending: first)."""
 
 
-def split_points(df: DataFrame, col: str, n: int | None = None) -> list[float]:
-    """At most ``n - 1`` cut values that spread the rows evenly (one small driver array)."""
-    n = n or partitions(df)
-    probs = [i / n for i in range(1, n)]
-    points = df.agg(F.percentile_approx(as_number(df, col), probs, 20 * n)).first()[0]
-    return sorted(set(points or []))
+def _forward(order: Sequence[str]) -> list[Column]:
+    return [F.desc(o) if isinstance(o, desc) else F.asc(o) for o in order]
 
 
-def chunk_of(col: Column, points: Sequence[float]) -> Column:
-    """Chunk number of a value: how many cut values are <= it, as a balanced CASE; nulls sort first."""
+def _backward(order: Sequence[str]) -> list[Column]:
+    return [F.asc(o) if isinstance(o, desc) else F.desc(o) for o in order]
 
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col < F.lit(points[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
 
-    return F.when(col.isNull(), F.lit(-1)).otherwise(build(0, len(points)))
+def _match(keys: Sequence[str], tag) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(tag(k))) for k in keys])
 
 
-def range_chunks(df: DataFrame, col: str, n: int | None = None) -> Column:
-    """Chunk column for ``col``; every chunk holds about ``1/n`` of the rows."""
-    return chunk_of(as_number(df, col), split_points(df, col, n))
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
+                   how: str = "left") -> DataFrame:
+    """Equi-join in which null keys match each other; ``right`` keeps only its payload."""
+    if not keys:
+        raise ValueError("keys must not be empty")
+    tag = {k: f"__r_{k}" for k in keys}
+    right = right.withColumnsRenamed(tag)
+    return left.join(right, _match(keys, tag.get), how).drop(*tag.values())
 
 
-def _order(order: Sequence[str | Column]) -> list[Column]:
-    return [F.col(o) if isinstance(o, str) else o for o in order]
+class Ranges:
+    """Ranges of a table by (keys, order): at most ``n``, of about equal numbers of rows.
 
+    The cut rows are the quantiles of a sample of ``SAMPLE * n`` rows in expectation;
+    they are written once, so that every use sees the same ones. Rows that are
+    equal in all keys and sort columns share a range: give a total order.
+    """
 
-def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                 chunk: Column | None, sums: dict[str, Column], before: bool = False) -> DataFrame:
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int | None = None):
+        self.keys, self.order = list(keys), list(order)
+        self.n = n or partitions(df)
+        columns = [*self.keys, *self.order]
+        self.down = [isinstance(c, desc) for c in columns]
+        names = [f"c{i}" for i in range(len(columns))]
+        rows = df.select(*[F.col(c).alias(n) for c, n in zip(columns, names)])
+        share = min(1.0, SAMPLE * self.n / max(rows.count(), 1))
+        some = rows if share == 1.0 else rows.sample(share, SAMPLE_SEED)
+        # plain windows: the sample's size follows n, not the rows
+        sort = [F.desc(c) if d else F.asc(c) for c, d in zip(names, self.down)]
+        some = some.withColumns({"place": F.row_number().over(Window.orderBy(*sort)),
+                                 "size": F.count(F.lit(1)).over(Window.partitionBy())})
+        part = lambda place: F.floor(place * F.lit(self.n) / F.col("size"))
+        cuts = (some.filter((part(F.col("place")) > part(F.col("place") - 1)) & (F.col("place") < F.col("size")))
+                .groupBy(*names).agg(F.min("place").alias("place"))
+                .agg(F.array_sort(F.collect_list(F.struct("place", *names))).alias("cuts")))
+        self.cuts = cut_lineage(cuts)
+
+    def number(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` with the number of each row's range: how many cut rows are not behind it, by bisection."""
+        columns = [F.col(c) for c in [*self.keys, *self.order]]
+
+        def behind(cut: Column) -> Column:  # the row comes before the cut row
+            out = F.lit(False)
+            for i in reversed(range(len(columns))):
+                own, other = columns[i], cut[f"c{i}"]
+                if self.down[i]:
+                    less = F.coalesce(own > other, own.isNotNull() & other.isNull())
+                else:
+                    less = F.coalesce(own < other, own.isNull() & other.isNotNull())
+                out = less | (own.eqNullSafe(other) & out)
+            return out
+
+        def halve(span: Column, _: Column) -> Column:
+            middle = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
+            left = behind(F.get(F.col("__cuts"), middle))
+            return (F.when(span["lo"] >= span["hi"], span)
+                    .when(left, F.struct(span["lo"].alias("lo"), middle.alias("hi")))
+                    .otherwise(F.struct((middle + 1).alias("lo"), span["hi"].alias("hi"))))
+
+        start = F.struct(F.lit(0).alias("lo"), F.size("__cuts").alias("hi"))
+        steps = F.sequence(F.lit(1), F.lit(max(1, self.n.bit_length())))
+        return (df.withColumn("__cuts", self.cuts.scalar())
+                .withColumn(name, F.aggregate(steps, start, halve, lambda span: span["lo"])).drop("__cuts"))
+
+    def spread(self, df: DataFrame) -> DataFrame:
+        """The rows of ``df`` whose keys may have several ranges: those of a cut row."""
+        if not self.keys:
+            return df
+        tag = {k: f"__s_{i}" for i, k in enumerate(self.keys)}
+        cut = self.cuts.select(F.explode("cuts").alias("cut")).select(
+            *[F.col(f"cut.c{i}").alias(tag[k]) for i, k in enumerate(self.keys)]).distinct()
+        # at most one row per range, whatever the data
+        return df.join(F.broadcast(cut), _match(self.keys, tag.get), "left_semi")
+
+
+def _ranged(df: DataFrame, keys: list[str], order: Sequence[str], chunk: Column | Ranges | None) -> tuple[DataFrame, DataFrame]:
+    """``df`` with its range number ``__c``, and its rows whose keys may have several ranges."""
+    if isinstance(chunk, Column):
+        base = df.withColumn("__c", chunk)
+        return base, base
+    ranges = chunk or Ranges(df, keys, order)
+    base = ranges.number(df, "__c")
+    return base, ranges.spread(base)
+
+
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column],
+                 before: bool = False, chunk: Column | Ranges | None = None) -> DataFrame:
     """Running sums per key in sort order; ``before=True`` leaves the own row out.
 
-    ``chunk`` must grow with the first sort column; without it the rows are cut
-    at quantiles of that column, so a chunk never outgrows its share of all rows.
+    ``order`` names sort columns (``desc`` for a descending one). Known ranges may
+    be given as ``chunk``: ``Ranges``, or a column that grows with the order.
+    Nothing is summed to 0 where all values are null. The input is read three
+    times (sample, carried sums, rows): cut its lineage where it is costly.
     """
     keys = list(keys)
-    chunk = range_chunks(df, order[0]) if chunk is None else chunk
-    base = df.withColumn("__c", chunk)
-    for name, value in sums.items():
-        base = base.withColumn(f"__v_{name}", value)
-    vals = {name: f"__v_{name}" for name in sums}
+    base, spread = _ranged(df, keys, order, chunk)
+    values = {f"__v_{n}": v for n, v in sums.items()}
     up_to = Window.partitionBy(*keys).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (base.groupBy(*keys, "__c")
-               .agg(*[F.sum(v).alias(v) for v in vals.values()])
-               .select(*keys, "__c",
-                       *[F.sum(v).over(up_to).alias(f"__o_{n}") for n, v in vals.items()]))
-    end = -1 if before else 0
-    local = (Window.partitionBy(*keys, "__c").orderBy(*_order(order))
-             .rowsBetween(Window.unboundedPreceding, end))
-    out = null_safe_join(
-        base.withColumns({f"__l_{n}": F.sum(v).over(local) for n, v in vals.items()}),
-        offsets, [*keys, "__c"])
+    offsets = (spread.withColumns(values).groupBy(*keys, "__c").agg(*[F.sum(v).alias(v) for v in values])
+               .select(*keys, "__c", *[F.sum(f"__v_{n}").over(up_to).alias(f"__o_{n}") for n in sums]))
+    local = (Window.partitionBy(*keys, "__c").orderBy(*_forward(order))
+             .rowsBetween(Window.unboundedPreceding, -1 if before else 0))
+    out = base.withColumns(values).withColumns({f"__l_{n}": F.sum(f"__v_{n}").over(local) for n in sums})
+    out = null_safe_join(out, _small(offsets, chunk), [*keys, "__c"])
     zero = F.lit(0)
-    out = out.withColumns({
-        n: F.coalesce(F.col(f"__l_{n}"), zero) + F.coalesce(F.col(f"__o_{n}"), zero)
-        for n in vals})
-    extra = [c for n in vals for c in (f"__v_{n}", f"__l_{n}", f"__o_{n}")]
-    return out.drop("__c", *extra)
+    out = out.withColumns({n: F.coalesce(F.col(f"__l_{n}"), zero) + F.coalesce(F.col(f"__o_{n}"), zero) for n in sums})
+    return out.drop("__c", *[f"__{p}_{n}" for n in sums for p in "vlo"])
+
 
+def _small(carried: DataFrame, chunk: Column | Ranges | None) -> DataFrame:
+    """Carried rows; with ranges of a sample they number two per cut at most, and are broadcast."""
+    return carried if isinstance(chunk, Column) else F.broadcast(carried)
 
-def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                chunk: Column, name: str = "rn") -> DataFrame:
+
+def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn",
+                chunk: Column | Ranges | None = None) -> DataFrame:
     """1-based position per key in sort order; give a total order."""
-    return running_sums(df, keys, order, chunk, {name: F.lit(1).cast("bigint")})
+    return running_sums(df, keys, order, {name: F.lit(1).cast("bigint")}, chunk=chunk)
 
 
-def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None = None,
-               lags: dict[str, str] | None = None,
+def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], lags: dict[str, str] | None = None,
                leads: dict[str, str] | None = None) -> DataFrame:
     """Previous (``lags[name] = column``) and next (``leads``) values per key.
 
-    The last and first row of every (key, chunk) travel to the neighbouring
-    chunk; without ``chunk`` the rows are cut at quantiles of the first sort column.
+    The last and the first row of every (key, range) travel to the neighbouring
+    range of the key; give a total order.
     """
     lags, leads, keys = lags or {}, leads or {}, list(keys)
-    chunk = range_chunks(df, order[0]) if chunk is None else chunk
-    base = df.withColumn("__c", chunk)
-    local = Window.partitionBy(*keys, "__c").orderBy(*order)
+    base, spread = _ranged(df, keys, order, None)
+    local = Window.partitionBy(*keys, "__c").orderBy(*_forward(order))
     across = Window.partitionBy(*keys).orderBy("__c")
-    rank = [F.col(o).alias(f"o{i}") for i, o in enumerate(order)]
-    edges = (base.groupBy(*keys, "__c").agg(
-        F.max(F.struct(*rank, *[F.col(c).alias(f"v_{n}") for n, c in lags.items()])).alias("last"),
-        F.min(F.struct(*rank, *[F.col(c).alias(f"v_{n}") for n, c in leads.items()])).alias("first"))
-        .select(*keys, "__c",
-                *[F.lag(f"last.v_{n}").over(across).alias(f"__p_{n}") for n in lags],
-                *[F.lead(f"first.v_{n}").over(across).alias(f"__n_{n}") for n in leads]))
-    marked = base
-    if lags:
-        marked = marked.withColumns({
-            "__first": F.lag(F.lit(1)).over(local).isNull(),
-            **{f"__a_{n}": F.lag(c).over(local) for n, c in lags.items()}})
-    if leads:
-        marked = marked.withColumns({
-            "__last": F.lead(F.lit(1)).over(local).isNull(),
-            **{f"__b_{n}": F.lead(c).over(local) for n, c in leads.items()}})
-    out = null_safe_join(marked, edges, [*keys, "__c"])
-    out = out.withColumns({
-        **{n: F.when(F.col("__first"), F.col(f"__p_{n}")).otherwise(F.col(f"__a_{n}"))
-           for n in lags},
-        **{n: F.when(F.col("__last"), F.col(f"__n_{n}")).otherwise(F.col(f"__b_{n}"))
-           for n in leads}})
-    helpers = [f"__{p}_{n}" for n in lags for p in "pa"] + [f"__{p}_{n}" for n in leads for p in "nb"]
-    return out.drop("__c", "__first", "__last", *helpers)
+    out, helpers = base, []
+    for side, wanted, shift in (("p", lags, F.lag), ("n", leads, F.lead)):
+        if not wanted:
+            continue
+        out = out.withColumns({f"__{side}e": shift(F.lit(1)).over(local).isNull(),
+                               **{f"__{side}l_{n}": shift(c).over(local) for n, c in wanted.items()}})
+        ends = Window.partitionBy(*keys, "__c").orderBy(*(_backward(order) if side == "p" else _forward(order)))
+        edge = (spread.select(*keys, "__c", *[o for o in order if o not in keys],
+                              *[F.col(c).alias(f"__v_{n}") for n, c in wanted.items()])
+                .withColumn("__rn", F.row_number().over(ends)).filter("__rn = 1")
+                .select(*keys, "__c", *[shift(f"__v_{n}").over(across).alias(f"__{side}o_{n}") for n in wanted]))
+        out = null_safe_join(out, F.broadcast(edge), [*keys, "__c"])
+        out = out.withColumns({n: F.when(F.col(f"__{side}e"), F.col(f"__{side}o_{n}")).otherwise(F.col(f"__{side}l_{n}"))
+                               for n in wanted})
+        helpers += [f"__{side}e", *[f"__{side}{x}_{n}" for n in wanted for x in "lo"]]
+    return out.drop("__c", *helpers)
+
+
+def _cumulated(df: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
+    """Distinct values ``__x`` per ``by`` with their count ``__n``, running count ``__cum`` and ``__total``."""
+    counts = cut_lineage(df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("__x"))
+                         .agg(F.count(F.lit(1)).alias("__n")))
+    cum = running_sums(counts, by, ["__x"], {"__cum": F.col("__n")})
+    total = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
+    return null_safe_join(cum, total, by) if by else cum.withColumn("__total", total.scalar())
 
 
 def quantiles(df: DataFrame, col: str, probs: dict[str, float],
@@ -154,14 +205,7 @@ def quantiles(df: DataFrame, col: str, probs: dict[str, float],
     running counts, so no group is ever gathered in one buffer.
     """
     by = list(by)
-    rows = df.filter(F.col(col).isNotNull())
-    counts = rows.groupBy(*by, F.col(col).alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
-    cum = running_sums(counts, by, ["__x"], _value_chunks(rows, col), {"__cum": F.col("__n")})
-    if by:
-        totals = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
-        cum = null_safe_join(cum, totals, by)
-    else:
-        cum = cum.withColumn("__total", counts.agg(F.sum("__n").alias("s")).scalar())
+    cum = _cumulated(df, col, by)
     x, hi = F.col("__x").cast("double"), F.col("__cum")
     lo = hi - F.col("__n")
     aggs = []
@@ -174,18 +218,10 @@ def quantiles(df: DataFrame, col: str, probs: dict[str, float],
     return cum.groupBy(*by).agg(*aggs) if by else cum.agg(*aggs)
 
 
-def _value_chunks(rows: DataFrame, col: str) -> Column:
-    return chunk_of(F.col("__x").cast("double"), split_points(rows, col))
-
-
 def order_statistic(df: DataFrame, col: str, p: float, name: str, by: Sequence[str] = ()) -> DataFrame:
     """The value at position ``ceil(p * n)`` in ascending order, per ``by``."""
     by = list(by)
-    counts = (df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("__x"))
-              .agg(F.count(F.lit(1)).alias("__n")))
-    cum = running_sums(counts, by, ["__x"], _value_chunks(df, col), {"__cum": F.col("__n")})
-    total = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
-    cum = null_safe_join(cum, total, by) if by else cum.withColumn("__total", total.scalar())
+    cum = _cumulated(df, col, by)
     k = F.ceil(F.lit(p) * F.col("__total"))
     return cum.filter((F.col("__cum") - F.col("__n") < k) & (k <= F.col("__cum"))).select(
         *by, F.col("__x").alias(name))

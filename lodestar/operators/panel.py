@@ -12,9 +12,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.columns import digamma, n_rows, trigamma
+from lodestar.functions.columns import digamma, falling_sums, n_rows, trigamma
 from lodestar.functions.stats import normal_p, t_p
-from lodestar.operators.ordered import null_safe_join, range_chunks, running_sums
+from lodestar.operators.ordered import Ranges, desc, null_safe_join, running_sums
 from lodestar.session import cut_lineage
 
 ONE = "(intercept)"
@@ -348,15 +348,12 @@ def zero_inflated_poisson(df: DataFrame, y: str, terms: Mapping[str, Column], ze
     return out.filter(F.col("p") < alpha) if alpha is not None else out
 
 
-TIE_BLOCK = 100_000
-
-
 def cox(df: DataFrame, duration: str, event: str, xs: Sequence[str], ties: str = "efron") -> DataFrame:
     """Proportional hazards. Rows are summed per distinct duration before the risk sets.
 
     Risk sets are running sums from the longest duration down. ``ties`` is
-    ``breslow`` or ``efron``; for the latter a time with very many events is
-    spread over several tasks.
+    ``breslow`` or ``efron``; for the latter the sums over the tied events of a
+    time are closed forms, so a time has one row however many events it holds.
     """
     rows = cut_lineage(df.na.drop(subset=[duration, event, *xs]).select(
         F.col(duration).cast("double").alias("__t"), F.col(event).cast("int").alias("__e"),
@@ -364,35 +361,40 @@ def cox(df: DataFrame, duration: str, event: str, xs: Sequence[str], ties: str =
     k = len(xs)
     cols = [F.col(f"x{i}") for i in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    chunk = range_chunks(rows.withColumn("__neg", -F.col("__t")), "__neg")
+    order = [desc("__t")]
+    ranges = Ranges(rows, [], order)
     died = F.col("__e") == 1
 
     def at(beta):
         risk = rows.withColumn("__r", F.exp(_dot(cols, beta)))
         r = F.col("__r")
         parts = {"0": r, **{f"1_{i}": r * cols[i] for i in range(k)}, **{f"2_{i}_{j}": r * cols[i] * cols[j] for i, j in pairs}}
-        steps = risk.groupBy("__t").agg(
-            F.count_if(died).alias("d"), F.sum(F.when(died, _dot(cols, beta)).otherwise(0.0)).alias("lp"),
+        steps = cut_lineage(risk.groupBy("__t").agg(
+            F.count_if(died).cast("double").alias("d"), F.sum(F.when(died, _dot(cols, beta)).otherwise(0.0)).alias("lp"),
             *[F.sum(F.when(died, c).otherwise(0.0)).alias(f"ex{i}") for i, c in enumerate(cols)],
             *[F.sum(v).alias(f"s{n}") for n, v in parts.items()],
-            *[F.sum(F.when(died, v).otherwise(0.0)).alias(f"e{n}") for n, v in parts.items()])
-        steps = steps.withColumn("__neg", -F.col("__t"))
-        cum = running_sums(steps, [], ["__neg"], chunk, {f"r{n}": F.col(f"s{n}") for n in parts}).filter("d > 0")
+            *[F.sum(F.when(died, v).otherwise(0.0)).alias(f"e{n}") for n, v in parts.items()]))
+        cum = running_sums(steps, [], order, {f"r{n}": F.col(f"s{n}") for n in parts}, chunk=ranges).filter("d > 0")
+        d, R, E = F.col("d"), (lambda n: F.col(f"r{n}")), (lambda n: F.col(f"e{n}"))
         if ties == "efron":
-            block = F.lit(TIE_BLOCK).cast("bigint")
-            cum = cum.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("d") - 1, block)))
-            cum = cum.repartition("__t", "__b")
-            cum = cum.withColumn("__l", F.explode(F.sequence("__b", F.least(F.col("__b") + block, F.col("d")) - 1)))
-            part, one = F.col("__l") / F.col("d"), 1 / F.col("d")
-            left = {n: F.col(f"r{n}") - part * F.col(f"e{n}") for n in parts}
+            # over l < d: R(n) - l / d * E(n), beside R(0) - l / d * E(0) = E(0) / d * (a - l)
+            logs, first, second = falling_sums(d * R("0") / E("0"), d)
+            cum = cum.withColumns({"__log": logs + d * F.log(E("0") / d), "__s1": first * d / E("0"),
+                                   "__s2": second * F.pow(d / E("0"), 2)})
+            share = {n: E(n) / E("0") for n in parts}
+            rest = {n: R(n) - R("0") * share[n] for n in parts}
+            log_sum, s1, s2 = F.col("__log"), F.col("__s1"), F.col("__s2")
+            mean = {n: d * share[n] + rest[n] * s1 for n in parts}
+            square = {(i, j): d * share[f"1_{i}"] * share[f"1_{j}"]
+                      + (share[f"1_{i}"] * rest[f"1_{j}"] + share[f"1_{j}"] * rest[f"1_{i}"]) * s1
+                      + rest[f"1_{i}"] * rest[f"1_{j}"] * s2 for i, j in pairs}
         else:
-            one = F.lit(1.0)
-            left = {n: F.col(f"r{n}") for n in parts}
-        times = F.lit(1.0) if ties == "efron" else F.col("d")
-        mean = [left[f"1_{i}"] / left["0"] for i in range(k)]
-        cells = {"v": F.col("lp") * one - times * F.log(left["0"])}
-        cells |= {f"g{i}": F.col(f"ex{i}") * one - times * mean[i] for i in range(k)}
-        cells |= {f"h{i},{j}": -times * (left[f"2_{i}_{j}"] / left["0"] - mean[i] * mean[j]) for i, j in pairs}
+            log_sum = d * F.log(R("0"))
+            mean = {n: d * R(n) / R("0") for n in parts}
+            square = {(i, j): mean[f"1_{i}"] * mean[f"1_{j}"] / d for i, j in pairs}
+        cells = {"v": F.col("lp") - log_sum}
+        cells |= {f"g{i}": F.col(f"ex{i}") - mean[f"1_{i}"] for i in range(k)}
+        cells |= {f"h{i},{j}": square[i, j] - mean[f"2_{i}_{j}"] for i, j in pairs}
         s = _sums(cum, cells)
         return (s["v"], np.array([s[f"g{i}"] for i in range(k)]),
                 np.array([[s[f"h{min(i, j)},{max(i, j)}"] for j in range(k)] for i in range(k)]))

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators.aggregates import with_group_agg
-from lodestar.operators.ordered import neighbours, null_safe_join, quantiles, row_numbers, running_sums
-from lodestar.session import cut_lineage, partitions
+from lodestar.operators.ordered import desc, neighbours, null_safe_join, quantiles, row_numbers, running_sums
+from lodestar.session import cut_lineage
 
 
 def panel_window(entity: Sequence[str], time: str):
@@ -27,10 +27,9 @@ def panel_lags(panel: DataFrame, entity: Sequence[str], time: str, cols: Sequenc
     return panel.withColumns({f"{c}_lag{k}": F.lag(c, k).over(w) for c in cols for k in steps})
 
 
-def gap_to_next(df: DataFrame, keys: Sequence[str], order: Sequence[str], gap, name: str,
-                chunk: Column | None = None) -> DataFrame:
+def gap_to_next(df: DataFrame, keys: Sequence[str], order: Sequence[str], gap, name: str) -> DataFrame:
     """``gap(next, current)`` of the first sort column, null for the last row of a key."""
-    out = neighbours(df, keys, order, chunk, leads={"next_time": order[0]})
+    out = neighbours(df, keys, order, leads={"next_time": order[0]})
     return out.withColumn(name, gap(F.col("next_time"), F.col(order[0]))).drop("next_time")
 
 
@@ -45,9 +44,9 @@ def rolling_mean(panel: DataFrame, entity: Sequence[str], time: str, value: str,
 
 
 def running_ratio(df: DataFrame, keys: Sequence[str], order: Sequence[str], a: Column, b: Column,
-                  name: str, chunk: Column | None = None) -> DataFrame:
+                  name: str) -> DataFrame:
     """Running sum of ``a`` over running sum of ``b``."""
-    out = running_sums(df, keys, order, chunk, {"run_a": a, "run_b": b})
+    out = running_sums(df, keys, order, {"run_a": a, "run_b": b})
     return out.withColumn(name, F.try_divide(F.col("run_a").cast("double"), F.col("run_b").cast("double"))
                           ).drop("run_a", "run_b")
 
@@ -107,22 +106,10 @@ def activity_span(df: DataFrame, key: str, time: str) -> DataFrame:
         F.least(F.col("__hi") - base + 2, end - base + 1).alias("leave"))
 
 
-def sorted_chunks(df: DataFrame, order: Sequence[str | Column], name: str = "chunk") -> DataFrame:
-    """Range-partition by a total order and number the ranges.
-
-    The result is checkpointed: range bounds come from a sample, and both users
-    of the chunk number must see the same bounds.
-    """
-    parts = df.repartitionByRange(partitions(df), *order).withColumn(name, F.spark_partition_id())
-    return cut_lineage(parts)
-
-
 def frequency_rank(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rank of every category of every column, 1 = most frequent, ties by value."""
     from lodestar.operators.aggregates import value_counts
-    order = [F.col("column"), F.desc("n"), F.col("value")]
-    counts = sorted_chunks(value_counts(df, cols), order)
-    return row_numbers(counts, ["column"], order[1:], F.col("chunk"), "rank").drop("chunk")
+    return row_numbers(cut_lineage(value_counts(df, cols)), ["column"], [desc("n"), "value"], "rank")
 
 
 def standing_advice(events: DataFrame, time: str, kind: str, low: str, high: str,

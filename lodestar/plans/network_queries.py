@@ -9,20 +9,13 @@ from pyspark.sql import functions as F
 from lodestar.functions.columns import n_rows, r, year
 from lodestar.operators import centrality as cen
 from lodestar.operators import networks as net
+from lodestar.operators import pairs as pr
 from lodestar.operators.relational import snapshots
 from lodestar.plans.registry import query
 from lodestar.plans.relational_queries import order_lines
 from lodestar.session import cut_lineage
 
 
-def brands(t):
-    return net.vocabulary_of(t.part, "p_brand")
-
-
-def types(t):
-    return net.vocabulary_of(t.part, "p_type")
-
-
 TRANSITIONS = """
     tr as (select l_suppkey as src, lead(l_suppkey) over (partition by l_partkey
              order by l_shipdate, l_orderkey, l_linenumber, l_suppkey) as dst from lineitem),
@@ -131,16 +124,14 @@ def projection_partner_balance(t):
     with m as (select distinct l_orderkey as g, p_type as c from lineitem join part on l_partkey = p_partkey)
     select x.c as a, y.c as b, count(*)::bigint as n_ab from m x join m y on x.g = y.g and x.c < y.c group by 1, 2""")
 def type_pairs_in_orders(t):
-    masks = net.category_masks(part_lines(t), ["l_orderkey"], "p_type", types(t))
-    return net.co_occurrence(masks, types(t)).select("a", "b", "n_ab").filter("n_ab > 0")
+    return pr.co_occurrence(part_lines(t), ["l_orderkey"], "p_type").select("a", "b", "n_ab")
 
 
 @query("C11 K2", """
     with m as (select distinct l_orderkey as g, p_type as c from lineitem join part on l_partkey = p_partkey)
     select x.c as a, y.c as b, count(*)::bigint as n_ab from m x join m y on x.g = y.g and x.c <> y.c group by 1, 2""")
 def ordered_type_pairs(t):
-    masks = net.category_masks(part_lines(t), ["l_orderkey"], "p_type", types(t))
-    return net.ordered_pairs(net.co_occurrence(masks, types(t))).filter("n_ab > 0")
+    return pr.ordered_pairs(pr.co_occurrence(part_lines(t), ["l_orderkey"], "p_type"))
 
 
 @query("K3", """
@@ -203,7 +194,7 @@ def decayed_ties_by_year(t):
 def ties_renewed_in_time(t):
     links = order_lines(t).select(F.col("o_custkey").alias("a"), F.col("l_suppkey").alias("b"),
                                   year("o_orderdate").alias("yr")).distinct()
-    return net.decay_fixed(links, ["a", "b"], ["yr"], 2, F.col("yr"))
+    return net.decay_fixed(links, ["a", "b"], ["yr"], 2)
 
 
 @query("K6", f"""
@@ -277,18 +268,17 @@ def type_jaccard_by_year(t):
     return type_distances(t).select("yr", "a", "b", r("distance", 8).alias("distance"))
 
 
-def customer_year_masks(t, member, vocabulary):
-    rows = order_lines(t).join(t.part, F.col("l_partkey") == F.col("p_partkey")).withColumn("yr", year("o_orderdate"))
-    return net.category_masks(rows, ["yr", "o_custkey"], member, vocabulary)
+def customer_year_lines(t):
+    rows = order_lines(t).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    return rows.select(year("o_orderdate").alias("yr"), "o_custkey", "p_type")
 
 
 def type_distances(t):
-    return net.set_distance(net.co_occurrence(customer_year_masks(t, "p_type", types(t)), types(t), by=["yr"]))
+    return pr.set_distance(pr.co_occurrence(customer_year_lines(t), ["yr", "o_custkey"], "p_type", by=["yr"]))
 
 
 def brand_distances(t, kind="jaccard"):
-    masks = net.category_masks(part_lines(t), ["l_orderkey"], "p_brand", brands(t))
-    return net.set_distance(net.co_occurrence(masks, brands(t)), kind)
+    return pr.set_distance(pr.co_occurrence(part_lines(t), ["l_orderkey"], "p_brand", complete=True), kind)
 
 
 @query("K10", """
@@ -312,8 +302,7 @@ def brand_row_distance(t):
     select m.yr, m.g as o_custkey, round(avg(d.d), 8) as distance, round(1 - 1 / (1 + avg(d.d)), 8) as diversity from m
     left join m o on o.yr = m.yr and o.g = m.g and m.c < o.c left join d on d.yr = m.yr and d.a = m.c and d.b = o.c group by 1, 2""")
 def partner_distance(t):
-    masks = customer_year_masks(t, "p_type", types(t))
-    out = net.avg_partner_distance(masks, types(t), ["yr"], "distance")
+    out = pr.avg_partner_distance(customer_year_lines(t), ["yr", "o_custkey"], "p_type", ["yr"], "distance")
     return out.select("yr", "o_custkey", r("distance", 8).alias("distance"),
                       r(1 - 1 / (1 + F.col("distance")), 8).alias("diversity"))
 
@@ -341,8 +330,7 @@ def novel_brand_pairs(t):
     months = F.round(F.months_between(F.trunc(F.col("o_orderdate").cast("date"), "month"),
                                       F.lit("1995-01-01").cast("date"))).cast("bigint")
     rows = order_lines(t).join(t.part, F.col("l_partkey") == F.col("p_partkey")).withColumn("mon", months)
-    masks = net.category_masks(rows, ["o_orderkey", "mon"], "p_brand", brands(t))
-    return net.novel_counts(masks, brands(t), "mon", 3).drop("mask")
+    return pr.novel_counts(rows, ["o_orderkey"], "p_brand", "mon", 3)
 
 
 @query("K13", """
@@ -351,7 +339,7 @@ def novel_brand_pairs(t):
     select x.c as a, y.c as b, min(x.yr)::bigint as first_time from m x join m y on x.g = y.g and x.c < y.c group by 1, 2""")
 def first_year_of_type_pairs(t):
     rows = order_lines(t).join(t.part, F.col("l_partkey") == F.col("p_partkey")).withColumn("yr", year("o_orderdate"))
-    return net.first_seen_pairs(net.category_masks(rows, ["o_orderkey", "yr"], "p_type", types(t)), types(t), "yr")
+    return pr.first_seen_pairs(rows, ["o_orderkey"], "p_type", "yr")
 
 
 @query("L1 L2", f"""

@@ -61,7 +61,7 @@ def value_growth(t):
     from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)""")
 def running_totals(t):
     rows = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-    out = running_sums(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"], None,
+    out = running_sums(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"],
                        {"running": F.col("o_totalprice")})
     return out.select("o_orderkey", r("running", 4).alias("running"),
                       r(F.col("running") - F.col("o_totalprice"), 4).alias("prior"))
@@ -73,7 +73,7 @@ def running_totals(t):
     from events window w as (partition by user_id order by ts, event_id rows unbounded preceding)""")
 def running_ratios(t):
     rows = t.events.select("event_id", "user_id", "ts", "event_type", "value")
-    out = running_sums(rows, ["user_id"], ["ts", "event_id"], None,
+    out = running_sums(rows, ["user_id"], ["ts", "event_id"],
                        {"clicks": (F.col("event_type") == "click").cast("int"), "total": F.col("value").cast("decimal(18,2)"),
                         "n": F.lit(1)})
     total = F.col("total").cast("double")

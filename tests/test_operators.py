@@ -34,17 +34,73 @@ def test_running_sums_and_neighbours(hot, parts):
     want = pdf.sort_values(["k", "t", "id"])
     g = want.groupby("k")
     want = want.assign(run=g.v.cumsum(), prev=g.v.shift(1), nxt=g.v.shift(-1)).set_index("id")
-    got = ordered.running_sums(df, ["k"], ["t", "id"], None, {"run": F.col("v")}).toPandas().set_index("id")
+    got = ordered.running_sums(df, ["k"], ["t", "id"], {"run": F.col("v")}).toPandas().set_index("id")
     assert (got.run.sort_index() == want.run.sort_index()).all()
-    got = ordered.neighbours(df, ["k"], ["t", "id"], None, {"prev": "v"}, {"nxt": "v"}).toPandas().set_index("id")
+    got = ordered.neighbours(df, ["k"], ["t", "id"], {"prev": "v"}, {"nxt": "v"}).toPandas().set_index("id")
     for c in ("prev", "nxt"):
         pd.testing.assert_series_equal(got[c].sort_index(), want[c].sort_index(), check_dtype=False)
 
 
-def test_no_chunk_holds_a_hot_key(hot):
+def test_no_range_holds_a_hot_key(hot):
     pdf, df = hot
-    sizes = df.groupBy("k", ordered.range_chunks(df, "t").alias("c")).count().agg(F.max("count")).first()[0]
-    assert sizes < (pdf.k == 0).sum() / 3
+    ranges = ordered.Ranges(df, ["k"], ["t", "id"])
+    sizes = [r["count"] for r in ranges.number(df, "c").groupBy("c").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1.4 * 600 / 8
+    spread = {r.k for r in ranges.spread(df).select("k").distinct().collect()}
+    assert 0 in spread and len(spread) < 9
+
+
+@pytest.mark.parametrize("order", [["t", "id"], [ordered.desc("t"), "id"], [ordered.desc("t"), ordered.desc("id")]])
+@pytest.mark.parametrize("hot_key", [True, False])
+def test_one_tie_is_spread_over_ranges(spark, order, hot_key):
+    """A text that nearly all rows of a key share, nulls and descending order; against a sort in Python."""
+    rng = np.random.default_rng(7)
+    rows = [(None if hot_key and i % 50 else "ab"[i % 2], [None, "x", "y", "same"][0 if x < 0.03 else 1 if x < 0.06 else 2 if x < 0.1 else 3],
+             int(i), int(v)) for i, (x, v) in enumerate(zip(rng.random(800), rng.integers(0, 9, 800)))]
+    rng.shuffle(rows)
+    rows = [(k, t, int(i), int(v)) for k, t, i, v in rows]
+    df = spark.createDataFrame(rows, "k string, t string, id int, v int").repartition(3)
+    down = [isinstance(o, ordered.desc) for o in order]
+    key = sorted(rows, key=lambda r: -r[2] if down[1] else r[2])
+    key.sort(key=lambda r: (r[1] is not None, r[1] or ""), reverse=down[0])
+    run, prev, nxt, last = {}, {}, {}, {}
+    for k, _, i, v in key:
+        j, before = last.get(k, (None, None))
+        run[i], prev[i], nxt[i] = run.get(j, 0) + v, before, None
+        if j is not None:
+            nxt[j] = v
+        last[k] = (i, v)
+    got = ordered.running_sums(df, ["k"], order, {"run": F.col("v")})
+    assert {r.id: r.run for r in got.collect()} == run
+    got = ordered.running_sums(df, ["k"], order, {"run": F.col("v")}, before=True)
+    assert {r.id: r.run + r.v for r in got.collect()} == run
+    got = {r.id: (r.p, r.n) for r in ordered.neighbours(df, ["k"], order, {"p": "v"}, {"n": "v"}).collect()}
+    assert got == {i: (prev[i], nxt[i]) for i in run}
+    sizes = ordered.Ranges(df, ["k"], order).number(df, "c").groupBy("c").count()
+    assert sizes.agg(F.max("count")).first()[0] < 1.4 * 800 / 8
+
+
+def test_plans_do_not_grow_with_the_ranges(spark, hot):
+    _, df = hot
+    plans, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("8", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            out = ordered.neighbours(df, ["k"], ["t", "id"], {"p": "v"})
+            plans.append(out._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert abs(len(plans[0]) - len(plans[1])) < 0.02 * len(plans[0])
+
+
+def test_rows_are_shuffled_once(spark):
+    """The rows of an ordered query meet one hash exchange; what is carried is narrow."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "user_id", "ts", "value")
+    out = ordered.neighbours(rows, ["user_id"], ["ts", "event_id"], {"p": "value"})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    wide = [line for line in plan.split("\n") if "Exchange hashpartitioning(user_id" in line and "__c" in line]
+    assert len(wide) == 2  # the rows, and the last row of each hot (key, range)
+    assert plan.count("WindowGroupLimit") == 2
 
 
 def test_exact_quantiles(hot):
@@ -193,29 +249,6 @@ def test_watermarked_append_emits_closed_windows(spark, activity):
     assert got and got <= batch and len(batch - got) <= 5
 
 
-def test_vocabulary_of_two_hundred_members(spark):
-    rng = np.random.default_rng(2)
-    names = [f"m{i:03d}" for i in range(200)]
-    pairs = {(int(g), names[m]) for g, m in zip(rng.integers(0, 40, 600), rng.integers(0, 200, 600))}
-    df = spark.createDataFrame([*pairs, (50, None)], "g int, c string")
-    vocabulary = net.vocabulary_of(df, "c")
-    assert vocabulary == sorted({c for _, c in pairs})
-    masks = net.category_masks(df, ["g"], "c", vocabulary)
-    got = {(r.a, r.b): r.n_ab for r in net.co_occurrence(masks, vocabulary).filter("n_ab > 0").collect()}
-    groups = {}
-    for g, c in pairs:
-        groups.setdefault(g, set()).add(c)
-    want = {}
-    for members in groups.values():
-        for a in members:
-            for b in members:
-                if a < b:
-                    want[a, b] = want.get((a, b), 0) + 1
-    assert got == want
-    with pytest.raises(Exception, match="outside the vocabulary"):
-        net.category_masks(df, ["g"], "c", vocabulary[:-1]).collect()
-
-
 @pytest.mark.parametrize("parts", [1, 5])
 def test_nulls_in_the_sort_column_come_first(spark, parts):
     rng = np.random.default_rng(4)
@@ -226,9 +259,9 @@ def test_nulls_in_the_sort_column_come_first(spark, parts):
     for k, t, i, v in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0.0, r[2])):
         run[i], prev[i] = last.get(k, (0, None))[0] + v, last.get(k, (0, None))[1]
         last[k] = (run[i], v)
-    got = ordered.running_sums(df, ["k"], ["t", "id"], None, {"run": F.col("v")}).collect()
+    got = ordered.running_sums(df, ["k"], ["t", "id"], {"run": F.col("v")}).collect()
     assert {r.id: r.run for r in got} == run
-    got = ordered.neighbours(df, ["k"], ["t", "id"], None, {"prev": "v"}).collect()
+    got = ordered.neighbours(df, ["k"], ["t", "id"], {"prev": "v"}).collect()
     assert {r.id: r.prev for r in got} == prev
 
 
