@@ -177,24 +177,29 @@ def trigamma(x: Column) -> Column:
 LOG_GAMMA_SERIES = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360)
 
 
-def falling_sums(a: Column, d: Column) -> tuple[Column, Column, Column]:
-    """Sums of log(a - l), 1 / (a - l) and 1 / (a - l)^2 over l = 0 .. d - 1, for a >= d >= 1.
+def falling_sums(a: str, d: str) -> tuple[Column, Column, Column]:
+    """Sums of log(a - l), 1 / (a - l) and 1 / (a - l)^2 over l = 0 .. d - 1, for columns a >= d >= 1.
 
     Differences of log gamma, digamma and trigamma at a + 1 and a - d + 1, taken
     term by term so that nothing cancels where d is small beside a.
     """
-    p = a + 1 + DIGAMMA_SHIFT
-    q = p - d
-    steps = [(a + 1 + i, a - d + 1 + i) for i in range(DIGAMMA_SHIFT)]
-    log_ratio = -F.log1p(-d / p)  # log p - log q
-    logs = d * F.log(p) + (q - 0.5) * log_ratio - d - sum((F.log(u / v) for u, v in steps), F.lit(0.0))
-    logs = logs + sum((F.lit(c) * (F.pow(p, -2 * k - 1) - F.pow(q, -2 * k - 1)) for k, c in enumerate(LOG_GAMMA_SERIES)),
-                      F.lit(0.0))
-    first = log_ratio + 0.5 * d / (p * q) + sum((d / (u * v) for u, v in steps), F.lit(0.0))
-    first = first + sum((F.lit(c) * (F.pow(p, -2 * (k + 1)) - F.pow(q, -2 * (k + 1))) for k, c in enumerate(DIGAMMA_SERIES)),
-                        F.lit(0.0))
-    second = d / (p * q) + 0.5 * d * (p + q) / (p * p * q * q) + sum(
-        (d * (u + v) / (u * u * v * v) for u, v in steps), F.lit(0.0))
-    second = second + sum((F.lit(2.0 * (k + 1) * c) * (F.pow(p, -2 * (k + 1) - 1) - F.pow(q, -2 * (k + 1) - 1))
-                           for k, c in enumerate(DIGAMMA_SERIES)), F.lit(0.0))
-    return logs, first, second
+    p, q = f"({a} + {1 + DIGAMMA_SHIFT})", f"({a} - {d} + {1 + DIGAMMA_SHIFT})"
+    steps = [(f"({a} + {1 + i})", f"({a} - {d} + {1 + i})") for i in range(DIGAMMA_SHIFT)]
+
+    def nested(coefficients, x):  # x * (c0 + x * x * (c1 + ...))
+        out = "0d"
+        for c in reversed(coefficients):
+            out = f"({c!r}d + {x} * {x} * {out})"
+        return out
+
+    def gap(coefficients, power):  # of the series in 1 / p and in 1 / q
+        return " - ".join(f"{nested(coefficients, f'(1 / {z})')} / {' / '.join([z] * power)}" for z in (p, q))
+
+    ratio = f"(-log1p(-{d} / {p}))"  # log p - log q
+    logs = f"{d} * ln({p}) + ({q} - 0.5d) * {ratio} - {d} - " + " - ".join(f"ln({u} / {v})" for u, v in steps)
+    first = f"{ratio} + 0.5d * {d} / ({p} * {q}) + " + " + ".join(f"{d} / ({u} * {v})" for u, v in steps)
+    second = f"{d} / ({p} * {q}) + 0.5d * {d} * ({p} + {q}) / ({p} * {p} * {q} * {q}) + " + " + ".join(
+        f"{d} * ({u} + {v}) / ({u} * {u} * {v} * {v})" for u, v in steps)
+    slopes = [2.0 * (k + 1) * c for k, c in enumerate(DIGAMMA_SERIES)]
+    return (F.expr(f"{logs} + {gap(LOG_GAMMA_SERIES, 1)}"), F.expr(f"{first} + {gap(DIGAMMA_SERIES, 2)}"),
+            F.expr(f"{second} + {gap(slopes, 3)}"))

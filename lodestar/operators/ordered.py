@@ -52,8 +52,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
 class Ranges:
     """Ranges of a table by (keys, order): at most ``n``, of about equal numbers of rows.
 
-    The cut rows are the quantiles of a sample of ``SAMPLE * n`` rows in expectation;
-    they are written once, so that every use sees the same ones. Rows that are
+    The cut rows are the quantiles of a sample of ``SAMPLE * n`` rows in expectation,
+    drawn once, so that every use sees the same ones. Rows that are
     equal in all keys and sort columns share a range: give a total order.
     """
 
@@ -74,7 +74,7 @@ class Ranges:
         cuts = (some.filter((part(F.col("place")) > part(F.col("place") - 1)) & (F.col("place") < F.col("size")))
                 .groupBy(*names).agg(F.min("place").alias("place"))
                 .agg(F.array_sort(F.collect_list(F.struct("place", *names))).alias("cuts")))
-        self.cuts = cut_lineage(cuts)
+        self.cuts = df.sparkSession.createDataFrame(cuts.toArrow(), cuts.schema)  # fewer than n cut rows
 
     def number(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` with the number of each row's range: how many cut rows are not behind it, by bisection."""
@@ -91,17 +91,13 @@ class Ranges:
                 out = less | (own.eqNullSafe(other) & out)
             return out
 
-        def halve(span: Column, _: Column) -> Column:
-            middle = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
-            left = behind(F.get(F.col("__cuts"), middle))
-            return (F.when(span["lo"] >= span["hi"], span)
-                    .when(left, F.struct(span["lo"].alias("lo"), middle.alias("hi")))
-                    .otherwise(F.struct((middle + 1).alias("lo"), span["hi"].alias("hi"))))
+        def step(found: Column, size: Column) -> Column:  # bisection by powers of two
+            cut = F.get(F.col("__cuts"), found + size - 1)
+            return F.when((found + size <= F.size("__cuts")) & ~behind(cut), found + size).otherwise(found)
 
-        start = F.struct(F.lit(0).alias("lo"), F.size("__cuts").alias("hi"))
-        steps = F.sequence(F.lit(1), F.lit(max(1, self.n.bit_length())))
+        sizes = F.lit([1 << i for i in reversed(range(self.n.bit_length()))])
         return (df.withColumn("__cuts", self.cuts.scalar())
-                .withColumn(name, F.aggregate(steps, start, halve, lambda span: span["lo"])).drop("__cuts"))
+                .withColumn(name, F.aggregate(sizes, F.lit(0), step)).drop("__cuts"))
 
     def spread(self, df: DataFrame) -> DataFrame:
         """The rows of ``df`` whose keys may have several ranges: those of a cut row."""

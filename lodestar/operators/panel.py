@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.columns import digamma, falling_sums, n_rows, trigamma
 from lodestar.functions.stats import normal_p, t_p
-from lodestar.operators.ordered import Ranges, desc, null_safe_join, running_sums
+from lodestar.operators.ordered import Ranges, desc, null_safe_join
 from lodestar.session import cut_lineage
 
 ONE = "(intercept)"
@@ -361,40 +361,44 @@ def cox(df: DataFrame, duration: str, event: str, xs: Sequence[str], ties: str =
     k = len(xs)
     cols = [F.col(f"x{i}") for i in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    order = [desc("__t")]
-    ranges = Ranges(rows, [], order)
+    rows = cut_lineage(Ranges(rows, [], [desc("__t")]).number(rows, "__c"))
+    inside = Window.partitionBy("__c").orderBy(F.desc("__t")).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     died = F.col("__e") == 1
 
+    r = F.col("__r")
+    parts = {"0": r, **{f"1_{i}": r * cols[i] for i in range(k)}, **{f"2_{i}_{j}": r * cols[i] * cols[j] for i, j in pairs}}
+    at_risk = [F.sum(v).alias(f"s{n}") for n, v in parts.items()]
+    tied = [F.count_if(died).cast("double").alias("d"), F.sum(F.when(died, F.col("__lp"))).alias("lp"),
+            *[F.sum(F.when(died, c)).alias(f"ex{i}") for i, c in enumerate(cols)],
+            *[F.sum(F.when(died, v)).alias(f"e{n}") for n, v in parts.items()]]
+    longer = [F.coalesce(F.sum(f"s{n}").over(before), F.lit(0.0)).alias(f"o{n}") for n in parts]
+    cumulated = {f"r{n}": F.sum(f"s{n}").over(inside) + F.col(f"o{n}") for n in parts}
+    d, E, R = F.col("d"), {n: F.col(f"e{n}") for n in parts}, {n: F.col(f"r{n}") for n in parts}
+    if ties == "efron":
+        # over l < d: R(n) - l / d * E(n), beside R(0) - l / d * E(0) = E(0) / d * (a - l)
+        logs, first, second = falling_sums("__a", "d")
+        scale = d / E["0"]
+        given = {"__log": logs - d * F.log(scale), "__s1": first * scale, "__s2": second * scale * scale,
+                 **{f"m{n}": E[n] / E["0"] for n in parts}, **{f"u{n}": R[n] - R["0"] * E[n] / E["0"] for n in parts}}
+        share, rest = {n: F.col(f"m{n}") for n in parts}, {n: F.col(f"u{n}") for n in parts}
+        log_sum, s1, s2 = F.col("__log"), F.col("__s1"), F.col("__s2")
+        mean = {n: d * share[n] + rest[n] * s1 for n in parts}
+        square = {(i, j): d * share[f"1_{i}"] * share[f"1_{j}"]
+                  + (share[f"1_{i}"] * rest[f"1_{j}"] + share[f"1_{j}"] * rest[f"1_{i}"]) * s1
+                  + rest[f"1_{i}"] * rest[f"1_{j}"] * s2 for i, j in pairs}
+    else:
+        given, log_sum = {}, d * F.log(R["0"])
+        mean = {n: d * R[n] / R["0"] for n in parts}
+        square = {(i, j): mean[f"1_{i}"] * mean[f"1_{j}"] / d for i, j in pairs}
+    cells = {"v": F.col("lp") - log_sum, **{f"g{i}": F.col(f"ex{i}") - mean[f"1_{i}"] for i in range(k)},
+             **{f"h{i},{j}": square[i, j] - mean[f"2_{i}_{j}"] for i, j in pairs}}
+
     def at(beta):
-        risk = rows.withColumn("__r", F.exp(_dot(cols, beta)))
-        r = F.col("__r")
-        parts = {"0": r, **{f"1_{i}": r * cols[i] for i in range(k)}, **{f"2_{i}_{j}": r * cols[i] * cols[j] for i, j in pairs}}
-        steps = cut_lineage(risk.groupBy("__t").agg(
-            F.count_if(died).cast("double").alias("d"), F.sum(F.when(died, _dot(cols, beta)).otherwise(0.0)).alias("lp"),
-            *[F.sum(F.when(died, c).otherwise(0.0)).alias(f"ex{i}") for i, c in enumerate(cols)],
-            *[F.sum(v).alias(f"s{n}") for n, v in parts.items()],
-            *[F.sum(F.when(died, v).otherwise(0.0)).alias(f"e{n}") for n, v in parts.items()]))
-        cum = running_sums(steps, [], order, {f"r{n}": F.col(f"s{n}") for n in parts}, chunk=ranges).filter("d > 0")
-        d, R, E = F.col("d"), (lambda n: F.col(f"r{n}")), (lambda n: F.col(f"e{n}"))
-        if ties == "efron":
-            # over l < d: R(n) - l / d * E(n), beside R(0) - l / d * E(0) = E(0) / d * (a - l)
-            logs, first, second = falling_sums(d * R("0") / E("0"), d)
-            cum = cum.withColumns({"__log": logs + d * F.log(E("0") / d), "__s1": first * d / E("0"),
-                                   "__s2": second * F.pow(d / E("0"), 2)})
-            share = {n: E(n) / E("0") for n in parts}
-            rest = {n: R(n) - R("0") * share[n] for n in parts}
-            log_sum, s1, s2 = F.col("__log"), F.col("__s1"), F.col("__s2")
-            mean = {n: d * share[n] + rest[n] * s1 for n in parts}
-            square = {(i, j): d * share[f"1_{i}"] * share[f"1_{j}"]
-                      + (share[f"1_{i}"] * rest[f"1_{j}"] + share[f"1_{j}"] * rest[f"1_{i}"]) * s1
-                      + rest[f"1_{i}"] * rest[f"1_{j}"] * s2 for i, j in pairs}
-        else:
-            log_sum = d * F.log(R("0"))
-            mean = {n: d * R(n) / R("0") for n in parts}
-            square = {(i, j): mean[f"1_{i}"] * mean[f"1_{j}"] / d for i, j in pairs}
-        cells = {"v": F.col("lp") - log_sum}
-        cells |= {f"g{i}": F.col(f"ex{i}") - mean[f"1_{i}"] for i in range(k)}
-        cells |= {f"h{i},{j}": square[i, j] - mean[f"2_{i}_{j}"] for i, j in pairs}
+        risk = rows.withColumn("__lp", _dot(cols, beta)).withColumn("__r", F.exp("__lp"))
+        ranges = risk.groupBy("__c").agg(*at_risk).select("__c", *longer)
+        cum = (risk.groupBy("__c", "__t").agg(*tied, *at_risk).join(F.broadcast(ranges), "__c")
+               .withColumns(cumulated).filter("d > 0").withColumn("__a", d * R["0"] / E["0"]).withColumns(given))
         s = _sums(cum, cells)
         return (s["v"], np.array([s[f"g{i}"] for i in range(k)]),
                 np.array([[s[f"h{min(i, j)},{max(i, j)}"] for j in range(k)] for i in range(k)]))

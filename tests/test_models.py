@@ -178,7 +178,7 @@ def test_digamma(spark):
 @pytest.mark.parametrize("a,d", [(1.0, 1), (5.0, 5), (7.3, 2), (40.5, 39), (1e6 + 0.5, 3), (3e5, 250_000), (1e12, 1000)])
 def test_falling_sums(spark, a, d):
     """Sums over tied events equal their spread form, also where log gamma itself would lose all digits."""
-    row = spark.range(1).select(*falling_sums(F.lit(a), F.lit(float(d)))).first()
+    row = spark.range(1).select(F.lit(a).alias("a"), F.lit(float(d)).alias("d")).select(*falling_sums("a", "d")).first()
     rest = a - np.arange(d)
     for got, want in zip(row, (math.fsum(np.log(rest)), math.fsum(1 / rest), math.fsum(1 / rest ** 2))):
         assert got == pytest.approx(want, rel=1e-11)
