@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,7 +55,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _CUT[out] = path
+    return out
+
+
+#: Paths of the tables that ``cut_lineage`` wrote, as long as their DataFrames are in use.
+_CUT: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut_lineage`` wrote and nothing reads any more; others are left alone."""
+    for df in tables:
+        path = _CUT.pop(df, None)
+        if path:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def saved(spark: SparkSession, path: str) -> bool:
