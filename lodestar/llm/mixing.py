@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.tables import maybe_broadcast, written
+from lodestar.llm.tables import free_name, maybe_broadcast, written
+from lodestar.session import discard
 
 MARGINS = ("source", "lang", "topic")
-#: Passes over all margins.
-ROUNDS = 12
+#: Largest error of a margin, as a share of all tokens, at which the fit has settled.
+TOLERANCE = 1e-5
+#: Rounds between two looks at the error, and looks that must halve it, or the targets count as contradictory.
+ROUNDS, PATIENCE = 4, 2
+#: Parts of the own shares that are mixed into targets until they no longer contradict each other; 1 always fits.
+EASE = (0.0, 0.25, 0.5, 0.75, 1.0)
 #: Tempered target: a value's target share is proportional to its token share to this power.
 TEMPER = 0.7
 #: Share of all tokens that the sample holds in expectation.
 BUDGET = 0.8
+#: Decimals of a rate.
+DIGITS = 5
 UNKNOWN = "unknown"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -54,66 +61,138 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def tempered(cells: DataFrame, margin: str, power: float = TEMPER) -> DataFrame:
-    """(margin, target): tokens of each value to a power, scaled to all tokens."""
+    """(margin, target): tokens of each value to a power; only the proportions matter."""
     own = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("own")).filter("own > 0")
-    scale = own.agg((F.sum("own") / F.sum(F.pow("own", F.lit(power)))).alias("scale")).scalar()
-    return own.select(margin, (F.pow("own", F.lit(power)) * scale).alias("target"))
+    return own.select(margin, F.pow("own", F.lit(power)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (margins, tokens) with ``weight``: tokens raked to each margin's targets in turn, ``rounds`` times.
+def reachable(cells: DataFrame, targets: dict[str, DataFrame], budget: float, ease: float = 0.0) -> DataFrame:
+    """(margin, value, own, target, wanted): tokens, target share and the tokens that a sample of the budget shall hold.
 
-    A target is a table (margin, target); a value that it does not list gets
-    weight zero, and a listed value without tokens stays without.
+    A value cannot give more tokens than it has: what its target share of the
+    budget exceeds them by goes to the other values of the margin in proportion
+    to their targets. A value that a target table does not list wants none.
+    ``ease`` is the part of the own shares that is mixed into the target shares.
     """
-    state = cells.withColumn("weight", F.col("tokens").cast("double"))
-    limits = {m: written(t) for m, t in targets.items()}
-    for _ in range(rounds):
-        for margin, target in limits.items():
-            factor = (state.groupBy(margin).agg(F.sum("weight").alias("now")).join(target, margin, "left")
-                      .select(margin, F.when(F.col("now") > 0, F.coalesce("target", F.lit(0.0)) / F.col("now"))
-                              .otherwise(0.0).alias("factor")))
-            state = state.join(factor, margin).select(
-                *cells.columns, (F.col("weight") * F.col("factor")).alias("weight"))
-        state = written(state)
-    return state
-
-
-def rates(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """``cells`` with ``rate``, the probability of keeping a document.
-
-    Rates are in proportion to weight / tokens and spend the budget's tokens in
-    expectation. A rate stops at 1, and what that leaves over goes to the others
-    until no further rate reaches 1.
+    rows = None
+    for m, target in targets.items():
+        own = cells.groupBy(F.col(m).alias("value")).agg(F.sum("tokens").cast("double").alias("own"))
+        part = own.join(target.select(F.col(m).alias("value"), F.col("target").cast("double")), "value", "left").select(
+            F.lit(m).alias("margin"), "value", "own", F.when(F.col("own") > 0, F.coalesce("target", F.lit(0.0))).otherwise(0.0).alias("target"))
+        rows = part if rows is None else rows.unionByName(part)
+    every = Window.partitionBy("margin")
+    share = F.coalesce(F.try_divide("target", F.sum("target").over(every)), F.lit(0.0))
+    eased = share if not ease else (1 - ease) * share + ease * F.try_divide("own", F.sum("own").over(every))
+    rows = written(rows.select("margin", "value", "own", share.alias("asked"), eased.alias("target")))
+    # per margin the largest scale at which no line of sum(least(own, scale * target)) passes the budget
+    sums = {r.margin: r for r in rows.groupBy("margin").agg(F.sum("own").alias("own"), F.sum("target").alias("target")).collect()}
+    scales = {m: budget * r.own / r.target if r.target else 0.0 for m, r in sums.items()}
+    scale = lambda: F.element_at(F.create_map(*[F.lit(x) for kv in scales.items() for x in kv]), F.col("margin"))
+    while scales:
+        full = F.col("own") <= F.col("target") * scale()
+        now = rows.groupBy("margin").agg(F.sum(F.when(full, F.col("own")).otherwise(0.0)).alias("spent"),
+                                         F.sum(F.when(full, 0.0).otherwise(F.col("target"))).alias("rest")).collect()
+        new = {r.margin: max(scales[r.margin], (budget * sums[r.margin].own - r.spent) / r.rest) if r.rest else scales[r.margin]
+               for r in now}
+        if all(v <= scales[m] * (1 + 1e-15) for m, v in new.items()):
+            break
+        scales = new
+    wanted = F.least("own", F.col("target") * scale()) if scales else F.lit(0.0)
+    return rows.select("margin", "value", "own", F.col("asked").alias("target"), wanted.alias("wanted"))
+
+
+def _step(state: DataFrame, margin: str) -> DataFrame:
+    """``state`` with the weights of each value of a margin scaled so that the kept tokens are those wanted.
+
+    The kept tokens f = sum(least(tokens, scale * weight)) are the least of the
+    lines that count the first cells by tokens / weight as kept whole, so the
+    scale is the largest at which one of these lines reaches what is wanted.
+    """
+    value = Window.partitionBy(margin)
+    order = value.orderBy("__full", *MARGINS)
+    weight, wanted = F.col("weight"), F.col(f"t_{margin}")
+    rest = F.sum(weight).over(order.rowsBetween(1, Window.unboundedFollowing))
+    spent = F.sum(F.when(weight > 0, F.col("tokens")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    lines = (state.withColumn("__full", F.when(weight > 0, F.col("tokens") / weight).otherwise(float("inf")))
+             .withColumns({"__line": F.try_divide(wanted - spent, rest), "__all": F.try_divide(wanted, F.sum(weight).over(value))}))
+    scale = F.greatest("__all", F.max("__line").over(value))
+    return lines.withColumn("weight", weight * F.coalesce(scale, F.lit(0.0))).drop("__full", "__line", "__all")
+
+
+def _error(state: DataFrame) -> float:
+    """Largest gap between kept and wanted tokens over all values of all margins."""
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).alias("v"), F.col(f"t_{m}").alias("t")) for m in MARGINS]))
+    gaps = (state.select(F.least("tokens", "weight").alias("kept"), cells.alias("x"))
+            .groupBy("x.m", "x.v").agg(F.abs(F.sum("kept") - F.max("x.t")).alias("gap")))
+    return float(gaps.agg(F.max("gap")).first()[0] or 0.0)
+
+
+def rake(cells: DataFrame, wanted: DataFrame) -> DataFrame | None:
+    """``cells`` (margins, tokens) with ``rate``, the share of a cell's tokens to keep; None where the margins contradict each other.
+
+    Tokens are raked to the wanted tokens of each margin in turn, no cell above
+    its tokens, until all margins are met.
     """
-    cells = cells.withColumn("lift", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
-    full, scale = None, 0.0
+    state = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for m in MARGINS:
+        own = wanted.filter(F.col("margin") == m).select(F.col("value").alias(m), F.col("wanted").alias(f"t_{m}"))
+        state = state.join(own, m)
+    state = written(state)
+    total = state.agg(F.sum("tokens")).first()[0] or 0
+    errors: list[float] = []
     while True:
-        at_most = F.col("lift") * scale >= 1
-        now = cells.agg(F.sum("tokens").alias("tokens"), F.count(F.when(at_most, 1)).alias("full"),
-                        F.sum(F.when(at_most, F.col("tokens")).otherwise(0)).alias("spent"),
-                        F.sum(F.when(at_most, 0.0).otherwise(F.col("weight"))).alias("rest")).first()
-        if now.full == full or not now.rest:
-            return cells.withColumn("rate", F.least(F.lit(1.0), F.col("lift") * scale))
-        full, scale = now.full, (budget * now.tokens - now.spent) / now.rest
-
-
-def _rated(rows: DataFrame, targets: dict[str, DataFrame] | None, budget: float, rounds: int) -> DataFrame:
-    """(margins, rate) of the cells of ``rows``."""
+        new = state
+        for m in MARGINS * ROUNDS:
+            new = _step(new, m)
+        new = written(new)
+        discard(state)
+        state = new
+        errors.append(_error(state))
+        if errors[-1] <= TOLERANCE * total:
+            kept = F.least(F.col("tokens").cast("double"), F.col("weight"))
+            return state.select(*cells.columns, F.when(F.col("tokens") > 0, F.round(kept / F.col("tokens"), DIGITS))
+                                .otherwise(0.0).alias("rate"))
+        if len(errors) > PATIENCE and errors[-1] > 0.5 * errors[-1 - PATIENCE]:
+            return None
+
+
+def _rated(rows: DataFrame, targets: dict[str, DataFrame] | None, budget: float) -> tuple[DataFrame, DataFrame]:
+    """(margins, tokens, rate) of the cells of ``rows``, and the ``reachable`` table that the rates meet."""
     cells = written(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
     targets = targets or {m: tempered(cells, m) for m in MARGINS}
-    return maybe_broadcast(written(rates(rake(cells, targets, rounds), budget).select(*MARGINS, "rate")))
-
-
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, rounds: int = ROUNDS,
+    for ease in EASE:
+        wanted = written(reachable(cells, targets, budget, ease))
+        rated = rake(cells, wanted)
+        if rated is not None:
+            return written(rated), wanted
+    raise RuntimeError("raking did not settle")  # own shares are met by one rate for all
+
+
+def shares(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET,
+           text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """(margin, value, target, reachable, reached): shares of the tokens that a value shall, can and is expected to have."""
+    rows = described(docs.withColumn(free_name("__id", docs), F.lit(0)), docs.columns[0], text_col, source_col, lang_col)
+    rated, wanted = _rated(written(rows), targets, budget)
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("margin"), F.col(m).alias("value")) for m in MARGINS]))
+    kept = (rated.select((F.col("tokens") * F.col("rate")).alias("kept"), cells.alias("x"))
+            .groupBy("x.margin", "x.value").agg(F.sum("kept").alias("kept")))
+    of = lambda c: F.try_divide(c, F.sum(c).over(Window.partitionBy("margin")))
+    return wanted.join(kept, ["margin", "value"]).select(
+        "margin", "value", "target", of("wanted").alias("reachable"), of("kept").alias("reached"))
+
+
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         lang_col: str = "lang") -> DataFrame:
-    """Sample documents so that source, language and topic take their target shares of all tokens.
+    """Sample documents so that source, language and topic take their target shares of the tokens as far as these can be met.
 
     Tokens (words) are summed per (source, language, topic); iterative
-    proportional fitting rakes the sums to the targets of the three margins
-    (default: ``tempered``), and a document stays with its cell's rate, decided
-    by a hash of its id.
+    proportional fitting rakes the sums, none above a cell's tokens, to the
+    ``reachable`` targets of the three margins (default: ``tempered``) until all
+    are met. Where they contradict each other, the input's own shares are mixed
+    into them by quarters (``EASE``), in the end entirely, which one rate for all
+    documents meets. A document stays with its cell's rate, decided by a hash of
+    its id; ``shares`` lists targets beside what can be and is reached.
 
     Returns per input row: the id, ``source``, ``lang``, ``topic``, ``n_tokens``,
     ``rate`` and ``kept``. A null source or language is ``unknown``; a null or
@@ -122,20 +201,22 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: fl
     one too; other columns are not read; an empty table gives no rows.
     """
     rows = written(described(docs, id_col, text_col, source_col, lang_col))
-    return rows.join(_rated(rows, targets, budget, rounds), list(MARGINS)).select(
+    rated = maybe_broadcast(_rated(rows, targets, budget)[0].select(*MARGINS, "rate"))
+    return rows.join(rated, list(MARGINS)).select(
         F.col("id").alias(id_col), *MARGINS, "n_tokens", "rate", (unit(F.col("id")) < F.col("rate")).alias("kept"))
 
 
 def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET,
-           rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+           id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
            lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that ``mix`` keeps, with all their columns."""
     cells = described(docs, id_col, text_col, source_col, lang_col)
-    rated = _rated(cells, targets, budget, rounds).select(
-        *[F.col(m).alias(f"__{m}") for m in MARGINS], F.col("rate").alias("__rate"))
+    names = {m: free_name(f"__{m}", docs) for m in MARGINS}
+    rate = free_name("__rate", docs)
+    rated = maybe_broadcast(_rated(cells, targets, budget)[0].select(
+        *[F.col(m).alias(names[m]) for m in MARGINS], F.col("rate").alias(rate)))
     marked = docs.withColumns({
-        "__source": F.coalesce(F.col(source_col).cast("string"), F.lit(UNKNOWN)),
-        "__lang": F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)),
-        "__topic": topic(F.col(text_col).cast("string"))})
-    return marked.join(rated, [f"__{m}" for m in MARGINS]).filter(
-        unit(F.col(id_col)) < F.col("__rate")).select(*docs.columns)
+        names["source"]: F.coalesce(F.col(source_col).cast("string"), F.lit(UNKNOWN)),
+        names["lang"]: F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)),
+        names["topic"]: topic(F.col(text_col).cast("string"))})
+    return marked.join(rated, list(names.values())).filter(unit(F.col(id_col)) < F.col(rate)).select(*docs.columns)

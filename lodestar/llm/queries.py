@@ -52,38 +52,52 @@ select *, (row_number() over (partition by query_id order by distance, neighbour
 qualify rank <= 10"""
 
 
-def _mixing_sql():
-    """Raking with one materialized step per round and margin, then the capped rates."""
+def _mixing_sql(looks=12):
+    """Reachable targets by the largest line, raking below each cell's tokens with one step per round and margin.
+
+    Of all looks at the error the first one counts that finds it small enough.
+    """
     topic = "".join(f" when regexp_matches(text, '{p}') then '{n}'" for n, p in mixing.TOPICS)
     steps = [f"""d as materialized (
   select doc_id, coalesce(source, '{mixing.UNKNOWN}') as source, coalesce(lang, '{mixing.UNKNOWN}') as lang,
     case{topic} else '{mixing.PROSE}' end as topic,
     coalesce(len(regexp_extract_all(text, '{mixing.WORD}')), 0)::bigint as n_tokens from documents)""",
-             "w0 as materialized (select source, lang, topic, sum(n_tokens)::bigint as tokens, "
-             "sum(n_tokens)::double as weight from d group by all)"]
+             "c as materialized (select source, lang, topic, sum(n_tokens)::bigint as tokens from d group by all)"]
     for m in mixing.MARGINS:
+        steps.append(f"""v_{m} as materialized (
+  select {m}, own, case when own > 0 then pow(own, {mixing.TEMPER}) else 0 end as target
+  from (select {m}, sum(tokens)::double as own from c group by {m}))""")
         steps.append(f"""t_{m} as materialized (
-  select {m}, pow(own, {mixing.TEMPER}) * (sum(own) over () / sum(pow(own, {mixing.TEMPER})) over ()) as target
-  from (select {m}, sum(tokens)::double as own from w0 group by {m}) where own > 0)""")
-    at = 0
-    for _ in range(mixing.ROUNDS):
-        for m in mixing.MARGINS:
+  select {m}, least(own, target * (select max(({mixing.BUDGET} * total - spent) / nullif(rest, 0)) from (
+      select sum(own) over () as total, sum(own) over (o rows between unbounded preceding and 1 preceding) as s,
+        coalesce(sum(own) over (o rows between unbounded preceding and 1 preceding), 0) as spent,
+        sum(target) over (o rows between current row and unbounded following) as rest
+      from v_{m} window o as (order by own / nullif(target, 0), {m})))) as t_{m} from v_{m})""")
+    steps.append("w0 as materialized (select c.*, tokens::double as weight, t_source, t_lang, t_topic "
+                 "from c join t_source using (source) join t_lang using (lang) join t_topic using (topic))")
+    names = "source, lang, topic, tokens, t_source, t_lang, t_topic"
+    at, seen = 0, []
+    for look in range(looks):
+        for m in mixing.MARGINS * mixing.ROUNDS:
             steps.append(f"""w{at + 1} as materialized (
-  select w.source, w.lang, w.topic, w.tokens,
-    weight * (case when now > 0 then coalesce(target, 0) / now else 0 end) as weight
-  from w{at} w join (select {m}, sum(weight) as now from w{at} group by {m}) f using ({m}) left join t_{m} using ({m}))""")
+  select {names}, weight * coalesce(greatest(t_{m} / nullif(sum(weight) over (partition by {m}), 0),
+    max(line) over (partition by {m})), 0) as weight
+  from (select *, (t_{m} - sum(case when weight > 0 then tokens else 0 end) over (o rows unbounded preceding))
+      / nullif(sum(weight) over (o rows between 1 following and unbounded following), 0) as line
+    from w{at} window o as (partition by {m} order by case when weight > 0 then tokens / weight else 'inf'::double end,
+      source, lang, topic)))""")
             at += 1
-    steps.append(f"c as materialized (select *, case when tokens > 0 then weight / tokens else 0 end as lift from w{at})")
-    steps.append("s0 as materialized (select 0::double as s)")
-    for i in range(8):
-        steps.append(f"""s{i + 1} as materialized (
-  select case when sum(case when lift * s >= 1 then 0 else weight end) > 0
-    then ({mixing.BUDGET}::double * sum(tokens) - sum(case when lift * s >= 1 then tokens else 0 end))
-      / sum(case when lift * s >= 1 then 0 else weight end) else any_value(s) end as s from c, s{i})""")
-    return "with " + ",\n".join(steps) + """
-select doc_id, d.source, d.lang, d.topic, n_tokens, least(1, lift * s) as rate,
-  ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::ubigint / 4294967296.0 < least(1, lift * s) as kept
-from d join c using (source, lang, topic), s8"""
+        gaps = " union all ".join(f"select abs(sum(least(tokens, weight)) - max(t_{m})) as gap from w{at} group by {m}"
+                                  for m in mixing.MARGINS)
+        seen.append(f"select {look} as look, source, lang, topic, tokens, weight, (select max(gap) from ({gaps})) as gap from w{at}")
+    return "with " + ",\n".join(steps) + f""",
+seen as materialized ({" union all ".join(seen)}),
+rates as (select source, lang, topic,
+  case when tokens > 0 then round(least(tokens, weight) / tokens, {mixing.DIGITS}) else 0 end as rate from seen
+  where look = (select min(look) from seen where gap <= {mixing.TOLERANCE} * (select sum(tokens) from c)))
+select doc_id, d.source, d.lang, d.topic, n_tokens, rate,
+  ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::ubigint / 4294967296.0 < rate as kept
+from d join rates using (source, lang, topic)"""
 
 
 def _terms(text):

@@ -26,3 +26,11 @@ def maybe_broadcast(written: DataFrame) -> DataFrame:
 
 
 written = cut_lineage
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -2,7 +2,7 @@
 
 from llm_helpers import PROSE
 
-import corpus_pipeline as pipeline
+from lodestar.llm import stages as pipeline
 
 SPLIT = "spark.sql.files.maxPartitionBytes"
 

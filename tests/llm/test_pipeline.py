@@ -25,9 +25,9 @@ def folder(spark, tmp_path_factory):
     return path, rows
 
 
-def step(spark, path, name, rows):
+def step(spark, path, name, rows, direct=False):
     docs = spark.createDataFrame(rows, COLUMNS)
-    out = dict(pipeline.STAGES)[name](spark, pipeline.written(docs), path)
+    out = dict(pipeline.STAGES)[name](spark, docs if direct else pipeline.written(docs), path)
     assert name == "packing" or out.columns == docs.columns
     return [tuple(r) for r in out.collect()]
 
@@ -44,11 +44,12 @@ def test_toxic_documents_go(spark, folder):
     assert sum((left - want).values()) <= 4 and sum((want - left).values()) == 0
 
 
-def test_one_document_of_each_group_stays(spark, folder):
+@pytest.mark.parametrize("direct", [False, True])
+def test_one_document_of_each_group_stays(spark, folder, direct):
     path, rows = folder
     ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
     stays = {component for _, _, component in groups([(i, r[1]) for i, r in enumerate(ordered)])}
-    left = step(spark, path, "near_duplicates", rows)
+    left = step(spark, path, "near_duplicates", rows, direct)
     assert Counter(r[0] for r in left) == Counter(ordered[i][0] for i in stays)
     assert not Counter(left) - Counter(rows)
 
@@ -73,6 +74,18 @@ def test_mix_samples_rows(spark, folder):
     assert not left - Counter(rows) and 0 < sum(left.values()) < len(rows)
 
 
+def test_columns_of_any_name_are_carried(spark, folder):
+    """Extra columns may have the names that the stages would give to helpers of their own."""
+    path, rows = folder
+    names = ["__row", "__score", "__no_text", "__hit", "__rate", "__source", "__lang", "__topic"]
+    docs = pipeline.written(spark.createDataFrame([(*r[:5], *range(8)) for r in rows], COLUMNS.split(", topic")[0] + "".join(
+        f", {n} int" for n in names)))
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns
+        assert out.select(*names).distinct().collect() == [tuple(range(8))], name
+
+
 @pytest.mark.parametrize("name", [n for n, _ in pipeline.STAGES])
 def test_empty_input(spark, folder, name):
     assert step(spark, folder[0], name, []) == []
