@@ -3,86 +3,24 @@
 Five stages, each written as Parquet and read again as the next one's input:
 toxic documents go, one document of each group of near duplicates stays,
 secrets are masked, sources are mixed to target weights, and what is left is
-packed into sequences. All but the last return the columns of ``documents``.
-
-Every stage reads ``doc_id``, ``text``, ``lang`` and ``source`` and carries all
-other columns along. Rows are documents of their own, also where ids are null
-or repeat; null texts are kept by every filter but the draw of the mix. An empty
-table gives no rows.
+packed into sequences. All but the last return the columns of ``documents``;
+``lodestar.llm.stages`` says what each does with nulls, ties and repeated rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lodestar.llm import mixing, ngram_join, packing, secret_scan, toxicity
-from lodestar.llm.tables import maybe_broadcast, written
+from lodestar.llm import stages
+from lodestar.llm.tables import written
 from lodestar.session import table, tune
 
-#: Documents with this score or more go.
-TOXIC = 0.7
-ROW, SCORE, NO_TEXT, HIT = "__row", "__score", "__no_text", "__hit"
-
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Documents with a row number, written: a scan numbers other rows when its file splits change between jobs."""
-    return written(docs.withColumn(ROW, F.monotonically_increasing_id()))
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below ``TOXIC``; learned from the labels of two thirds of the ids."""
-    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(fold != 1))
-    scored = model.score(docs, keep=[c for c in docs.columns if c != "doc_id"], name=SCORE)
-    return scored.filter(F.col(SCORE) < TOXIC).select(*docs.columns)
-
-
-def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id (then the first row)."""
-    rows = _numbered(docs)
-    grouped = ngram_join.ngram_join(rows, id_col=ROW).select(ROW, "component_id")
-    ids = rows.select(ROW, "doc_id")
-    several = written(grouped.join(grouped.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"),
-                                   "component_id", "left_semi"))
-    named = several.join(ids, ROW)
-    first = named.groupBy("component_id").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW))).alias("stays"))
-    gone = written(named.join(first, "component_id").filter(F.col(ROW) != F.col(f"stays.{ROW}")).select(ROW))
-    return rows.join(maybe_broadcast(gone), ROW, "left_anti").select(*docs.columns)
-
-
-def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with secrets replaced by a mask; ``n_chars`` follows the new text. Null texts stay null."""
-    found = secret_scan.with_spans(
-        docs.withColumn(NO_TEXT, F.col("text").isNull()), keep=[NO_TEXT, *[c for c in docs.columns if c not in ("doc_id", "text")]])
-    spans = secret_scan.with_key_bodies(F.col("text"), F.col("spans"))
-    masked = F.when(~F.col(f"kept_{NO_TEXT}"), secret_scan.redact(F.col("text"), spans))
-    named = {"doc_id": F.col("id"), "text": masked}
-    out = found.select(*[named.get(c, F.col(f"kept_{c}")).alias(c) for c in docs.columns],
-                       (F.size("spans") > 0).alias(HIT))
-    if "n_chars" in docs.columns:
-        size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col(HIT), size).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of the documents in which sources, languages and topics take their target shares."""
-    return mixing.sample(docs)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents with their places in packed sequences."""
-    return packing.best_fit(docs)
-
-
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", one_per_group),
-    ("secrets", mask_secrets),
-    ("mixing", mix_sources),
-    ("packing", pack_sequences),
+    ("toxicity", stages.drop_toxic),
+    ("near_duplicates", stages.one_per_group),
+    ("secrets", stages.mask_secrets),
+    ("mixing", stages.mix_sources),
+    ("packing", stages.pack_sequences),
 ]
 
 #: A model, a similarity join and a packing are not expressed in SQL; tests/llm compares with plain Python.
