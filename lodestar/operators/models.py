@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -187,7 +188,7 @@ MAX_GRAM = 4_096
 def gramian(df: DataFrame, vector: str, width: int) -> np.ndarray:
     """Sum of v v' over all rows: one partial matrix per partition, then a sum by cell."""
     if width > MAX_GRAM:
-        raise ValueError(f"a {width} x {width} matrix exceeds the limit of {MAX_GRAM}")
+        raise ValueError(f"a {width} x {width} matrix exceeds the limit of {MAX_GRAM}; use top_components")
 
     def partial(batches):
         total = np.zeros((width, width))
@@ -214,11 +215,12 @@ def mean_vector(df: DataFrame, vector: str) -> list[float]:
 class Components:
     """Principal axes of a vector column, with the share of variance they explain."""
 
-    def __init__(self, mean: np.ndarray, values: np.ndarray, axes: np.ndarray):
+    def __init__(self, mean: np.ndarray, values: np.ndarray, axes: np.ndarray, total: float | None = None):
         self.mean, self.values, self.axes = mean, values, axes
+        self.total = total  # whole variance, where only some components were taken
 
     def share(self) -> np.ndarray:
-        return np.cumsum(self.values) / self.values.sum()
+        return np.cumsum(self.values) / (self.values.sum() if self.total is None else self.total)
 
     def needed(self, share: float) -> int:
         """Components for a share of the variance."""
@@ -263,6 +265,84 @@ def pca(df: DataFrame, vector: str) -> Components:
     return Components(mean, values[::-1].clip(min=0), _signed(axes[:, ::-1]))
 
 
+#: Columns of a block of partial sums, bytes of vectors that a task holds at once, and spare directions of the iteration.
+BLOCK_COLUMNS, BATCH_BYTES, SPARE = 4_096, 32 << 20, 10
+
+
+def top_components(df: DataFrame, vector: str, d: int, tol: float = 1e-10, max_iter: int = 300,
+                   seed: int = 7) -> Components:
+    """The first ``d`` principal components of vectors of any width, by subspace iteration.
+
+    A round multiplies the centred rows, and their transpose, with d + ``SPARE``
+    directions; tasks send their sums in blocks of columns. The driver holds
+    width x (d + ``SPARE``) numbers and never a width x width matrix. Rows are
+    read once a round. Raises where the values have not settled after ``max_iter`` rounds.
+    """
+    spark = df.sparkSession
+    rows = cut_lineage(df.select(F.col(vector).cast("array<double>").alias("v")).filter("v is not null"))
+    head = rows.select(F.size("v").alias("w")).agg(F.max("w").alias("most"), F.min("w").alias("least"), n_rows().alias("n")).first()
+    if not head.n or head.most != head.least:
+        raise ValueError("vectors must be there and have one width")
+    width, n, d = head.most, head.n, min(d, head.most)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(1, min(10_000, BATCH_BYTES // (8 * width)))))
+    shared = spark.sparkContext.broadcast
+
+    def block_sums(task, columns: int) -> np.ndarray:
+        """Sum over all tasks of ``task(batches of rows)``, a width x columns array."""
+        def run(batches):
+            total = task(np.stack(b.column(0).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows)
+            if total is not None:
+                for at in range(0, width, BLOCK_COLUMNS):
+                    yield pa.record_batch([pa.array([at], pa.int32()), pa.array([total[at:at + BLOCK_COLUMNS].tobytes()], pa.binary())],
+                                          names=["at", "part"])
+
+        def add(parts: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(p.as_buffer(), np.float64) for p in parts.column("part"))
+            return pa.table({"at": parts.column("at").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
+
+        out = np.zeros((width, columns))
+        for r in rows.mapInArrow(run, "at int, part binary").groupBy("at").applyInArrow(add, "at int, part binary").collect():
+            block = np.frombuffer(r.part).reshape(-1, columns)  # width x columns numbers in all
+            out[r["at"]:r["at"] + len(block)] = block
+        return out
+
+    def added(batches, term):
+        total = None
+        for x in batches:
+            part = term(x)
+            total = part if total is None else total + part
+        return total
+
+    try:
+        moments = block_sums(lambda bs: added(bs, lambda x: np.stack([x.sum(axis=0), (x * x).sum(axis=0)], axis=1)), 2)
+        mean = moments[:, 0] / n
+        k = min(d + SPARE, width)
+        basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, k)))[0]
+        old = None
+        for _ in range(max_iter):
+            now = shared((mean, basis))
+
+            def term(x, now=now):
+                centre, q = now.value
+                x = x - centre
+                return x.T @ (x @ q)
+
+            image = block_sums(lambda bs, term=term: added(bs, term), k)
+            now.unpersist()
+            inner = basis.T @ image
+            values, turn = np.linalg.eigh((inner + inner.T) / 2)
+            values, axes = values[::-1].clip(min=0) / (n - 1), (basis @ turn)[:, ::-1]
+            if old is not None and np.all(np.abs(values[:d] - old) <= tol * max(values[0], 1e-300)):
+                total = float((moments[:, 1] - n * mean * mean).sum() / (n - 1))
+                return Components(mean, values[:d], _signed(axes[:, :d]), total)
+            old, basis = values[:d], np.linalg.qr(image)[0]
+    finally:
+        spark.conf.set(key, before)
+    raise RuntimeError("components did not settle; raise max_iter")
+
+
 def pca_wide(long: DataFrame, row: str, position: str, value: str, d: int) -> tuple[np.ndarray, DataFrame, DataFrame]:
     """Components for few very wide rows given as (row, position, value).
 

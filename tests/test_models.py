@@ -237,6 +237,25 @@ def test_tree_and_importances(regression):
     assert mo.importances(model, ["a", "b", "c"], df).first().feature == "a"
 
 
+def test_top_components_of_wide_rows(spark, monkeypatch):
+    """More columns than a whole matrix may have; values, axes, shares and rebuild against a singular value decomposition."""
+    rng = np.random.default_rng(8)
+    width, d = 6000, 4
+    x = rng.normal(size=(40, 6)) * [9, 7, 5, 4, 0.3, 0.2] @ rng.normal(size=(6, width)) / 50 + rng.normal(size=width)
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "i int, v array<double>").repartition(3)
+    got = mo.top_components(df, "v", d)
+    centred = x - x.mean(axis=0)
+    _, s, vt = np.linalg.svd(centred, full_matrices=False)
+    assert np.allclose(got.values, s[:d] ** 2 / 39, rtol=1e-8)
+    assert np.allclose(np.abs(np.sum(got.axes * vt[:d].T, axis=0)), 1, atol=1e-6)
+    assert np.allclose(got.share(), np.cumsum(s[:d] ** 2) / (s ** 2).sum())
+    scores = {r.i: r.scores for r in got.project(df, "v", d).select("i", "scores").collect()}
+    for i in range(40):
+        assert np.allclose(np.abs(scores[i]), np.abs(centred[i] @ vt[:d].T), atol=1e-5)
+    with pytest.raises(ValueError, match="one width"):
+        mo.top_components(df.limit(0), "v", 2)
+
+
 def test_components(spark):
     rng = np.random.default_rng(7)
     X = rng.normal(size=(40, 6)) @ rng.normal(size=(6, 6))
