@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestar.functions.columns import n_rows
 from lodestar.operators.networks import undirected
@@ -314,39 +314,70 @@ def core_curve(scores: DataFrame, col: str, tie: str) -> DataFrame:
     return out.filter(F.col("p") < n).select("p", corr.alias("corr"))
 
 
-MAX_DENSE = 2_000
+#: Landmarks that span the axes; with as many nodes or fewer every node is one, and the scaling is the classical one.
+MARKS = 256
 
 
-def mds(dist: DataFrame, dims: int = 2) -> DataFrame:
-    """Classical scaling of a complete distance table (a, b, distance), a < b.
+def landmarks(nodes: DataFrame, n: int = MARKS) -> DataFrame:
+    """(mark): ``n`` nodes, or all where they are fewer, by a hash that does not depend on partitioning."""
+    return nodes.select(F.col("node").alias("mark")).distinct().orderBy(F.xxhash64("mark"), "mark").limit(n)
 
-    Squared distances are double-centred by means; the principal components of
-    the centred rows are the axes. Meant for bounded category sets.
+
+def landmark_mds(to_marks: DataFrame, dims: int = 2, default: float | None = None) -> DataFrame:
+    """Scaling to a few axes from distances (node, mark, distance) of all nodes to some of them.
+
+    The axes come from the squared distances among the marks, double-centred;
+    only this matrix, at most ``MARKS`` rows, reaches the driver. Every node is
+    then placed by its distances to the marks, which for a mark gives its own
+    classical place. Pairs that the table leaves out have the distance
+    ``default``; without it the table must be complete, and a node without any
+    distance has no place. Of each axis the end with
+    the larger distance from 0 is positive. Axes that the distances do not span are 0.
     """
-    half = dist.select(F.col("a").alias("i"), F.col("b").alias("j"), (F.col("distance") ** 2).alias("d"))
-    full = half.union(half.select("j", "i", "d"))
-    nodes = full.select("i").distinct()
-    n = nodes.count()
-    if n > MAX_DENSE:
-        raise ValueError(f"{n} nodes exceed the dense limit of {MAX_DENSE}")
-    full = cut_lineage(full.union(nodes.select("i", F.col("i").alias("j"), F.lit(0.0).alias("d"))))
-    means = full.groupBy("i").agg(F.avg("d").alias("m"))
-    grand = full.agg(F.avg("d").alias("m")).scalar()
-    centred = (full.join(means.withColumnRenamed("m", "mi"), "i")
-               .join(means.select(F.col("i").alias("j"), F.col("m").alias("mj")), "j")
-               .select("i", "j", (-0.5 * (F.col("d") - F.col("mi") - F.col("mj") + grand)).alias("b")))
-    rows = (centred.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "b"))).alias("r"))
-            .select("i", array_to_vector(F.col("r.b")).alias("v")))
-    rows = cut_lineage(rows)
-    model = PCA(k=dims, inputCol="v", outputCol="y").fit(rows)
-    y = model.transform(rows).select("i", vector_to_array("y").alias("y"))
-    # y = lambda * axis, so its length over all nodes is lambda
-    size = y.agg(*[F.sqrt(F.sum(F.pow(F.col("y")[k], 2))).alias(f"l{k}") for k in range(dims)],
-                 *[F.max_by(F.col("y")[k], F.struct(F.round(F.abs(F.col("y")[k]), 9), "i")).alias(f"t{k}")
-                   for k in range(dims)]).first()
-    return y.select(F.col("i").alias("node"), *[
-        (F.col("y")[k] / ((size[f"l{k}"] ** 0.5 or 1.0) * (1 if size[f"t{k}"] >= 0 else -1))).alias(f"dim{k + 1}")
-        for k in range(dims)])
+    table = cut_lineage(to_marks.select("node", "mark", (F.col("distance").cast("double") ** 2).alias("d")))
+    spark = table.sparkSession
+    names = sorted(r[0] for r in table.select("mark").distinct().collect())
+    if not names:
+        kind = table.schema["node"].dataType
+        return spark.createDataFrame([], StructType([StructField("node", kind), *[
+            StructField(f"dim{k + 1}", DoubleType()) for k in range(dims)]]))
+    at = {name: i for i, name in enumerate(names)}
+    square = np.full((len(names), len(names)), np.nan if default is None else float(default) ** 2)
+    np.fill_diagonal(square, 0.0)
+    marks = table.select(F.col("mark").alias("node")).distinct()
+    for r in table.join(F.broadcast(marks), "node", "left_semi").collect():  # marks beside marks
+        square[at[r.node], at[r.mark]] = r.d
+    if np.isnan(square).any():
+        raise ValueError("distances between landmarks are missing; give a default")
+    mean = square.mean(axis=0)
+    centred = -0.5 * (square - mean[:, None] - mean[None, :] + mean.mean())
+    values, axes = np.linalg.eigh((centred + centred.T) / 2)
+    top = np.argsort(-values, kind="stable")[:dims]
+    scale = [1 / np.sqrt(values[k]) if values[k] > 1e-12 * max(abs(values[-1]), 1e-300) else 0.0 for k in top]
+    weights = np.zeros((len(names), dims))
+    weights[:, :len(top)] = -0.5 * axes[:, top] * scale
+    rows = [(name, float(mean[i]), *map(float, weights[i])) for i, name in enumerate(names)]
+    far = 0.0 if default is None else float(default) ** 2
+    own = StructType([StructField("mark", table.schema["mark"].dataType), StructField("__m", DoubleType()),
+                      *[StructField(f"__w{k}", DoubleType()) for k in range(dims)]])
+    known = table.filter(F.col("node") != F.col("mark")).unionByName(
+        marks.select("node", F.col("node").alias("mark"), F.lit(0.0).alias("d")))
+    base = [float(((far - mean) * weights[:, k]).sum()) for k in range(dims)]
+    # what is left out counts as ``far``: the known distances add their difference to it
+    placed = cut_lineage(known.join(F.broadcast(spark.createDataFrame(rows, own)), "mark").groupBy("node").agg(
+        *[(F.sum((F.col("d") - far) * F.col(f"__w{k}")) + base[k]).alias(f"dim{k + 1}") for k in range(dims)]))
+    ends = placed.agg(*[F.max_by(f"dim{k + 1}", F.struct(F.round(F.abs(f"dim{k + 1}"), 9), "node")).alias(f"e{k}")
+                        for k in range(dims)]).first()
+    return placed.select("node", *[(F.col(f"dim{k + 1}") * (1.0 if (ends[k] or 0.0) >= 0 else -1.0)).alias(f"dim{k + 1}")
+                                   for k in range(dims)])
+
+
+def mds(dist: DataFrame, dims: int = 2, marks: int = MARKS) -> DataFrame:
+    """Scaling of a distance table (a, b, distance), a < b, that is complete between the nodes and ``marks`` landmarks."""
+    both = full_distances(dist).select(F.col("i").alias("node"), F.col("j").alias("mark"), F.col("d").alias("distance"))
+    both = cut_lineage(both)
+    chosen = cut_lineage(landmarks(both.select("node"), marks))
+    return landmark_mds(both.join(F.broadcast(chosen), "mark", "left_semi"), dims)
 
 
 def full_distances(dist: DataFrame) -> DataFrame:
@@ -362,8 +393,6 @@ def kmedoids(full: DataFrame, k: int, max_swaps: int = 100) -> tuple[list, DataF
     Costs of all (medoid, candidate) swaps come from one aggregate per round.
     """
     full = cut_lineage(full)
-    if full.select("i").distinct().count() > MAX_DENSE:
-        raise ValueError(f"more than {MAX_DENSE} nodes")
 
     def nearest(medoids):
         return (full.filter(F.col("j").isin(medoids)).groupBy("i").agg(

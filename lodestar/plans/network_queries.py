@@ -63,16 +63,18 @@ def customer_parts(t):
                                  F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
 
 
-def large_returns(t):
-    """Customer and part of large returned lines: a sparse two-mode network."""
-    rows = order_lines(t).filter("l_returnflag = 'R' and l_quantity >= 45 and l_discount >= 0.09")
-    return rows.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"),
-                       F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
+def _label_rounds(n):
+    """Least label of a node and its neighbours, ``n`` times."""
+    return "".join(f""",
+    c{k} as materialized (select node, min(comp) as comp from (select * from c{k - 1}
+      union all select a.dst, o.comp from a join c{k - 1} o on o.node = a.src) group by 1)""" for k in range(1, n + 1))
 
 
-LARGE_RETURNS = """
-    e as (select distinct 'c' || o_custkey as src, 'p' || l_partkey as dst from orders join lineitem on o_orderkey = l_orderkey
-          where l_returnflag = 'R' and l_quantity >= 45 and l_discount >= 0.09)"""
+# the labels settle after about half as many rounds: a path from the least node needs one round a step
+COMPONENTS = f"""
+    e as materialized (select distinct 'c' || o_custkey as src, 'p' || l_partkey as dst from orders join lineitem on o_orderkey = l_orderkey),
+    a as materialized (select src, dst from e union all select dst, src from e),
+    c0 as (select src as node, min(src) as comp from a group by 1){_label_rounds(16)}"""
 
 
 def part_lines(t):
@@ -215,33 +217,15 @@ def recency_weights(t):
                              r(net.recency_weight(F.col("l_extendedprice"), age), 8).alias("weight"))
 
 
-@query("K8", f"""
-    with recursive {LARGE_RETURNS},
-    a as (select src, dst from e union select dst, src from e),
-    walk as (select src as node, src as comp from a union select a.dst, w.comp from walk w join a on a.src = w.node)
-    select node, min(comp) as comp from walk group by 1""")
+@query("K8", f"with {COMPONENTS} select node, comp from c16")
 def connected_components(t):
-    return net.components(large_returns(t))
+    return net.components(customer_parts(t))
 
 
 @query("K8 L6", f"""
-    with recursive {LARGE_RETURNS},
-    a as (select src, dst from e union select dst, src from e),
-    walk as (select src as node, src as comp from a union select a.dst, w.comp from walk w join a on a.src = w.node),
-    c as (select node, min(comp) as comp from walk group by 1)
-    select ((select count(*) from c) ^ 2 - (select sum(n * n) from (select count(*) as n from c group by comp)))::bigint as unreachable""")
+    with {COMPONENTS}
+    select (sum(n) * sum(n) - sum(n * n))::bigint as unreachable from (select comp, count(*) as n from c16 group by 1)""")
 def unreachable_pair_count(t):
-    return net.unreachable_pairs(net.components(large_returns(t)))
-
-
-@query("K8")
-def connected_components_all(t):
-    """All order lines; rows only, as the recursive SQL walks from every node."""
-    return net.components(customer_parts(t))
-
-
-@query("K8 L6")
-def unreachable_pair_count_all(t):
     return net.unreachable_pairs(net.components(customer_parts(t)))
 
 
@@ -449,6 +433,9 @@ def supplier_eigen_directed(t):
     return cen.eigen_centrality(cut_lineage(transitions(t)), is_directed=True).withColumn("eigen", r("eigen"))
 
 
+ROUNDS_OF_CORES = 40
+
+
 def _core_rounds(n):
     return "".join(f""",
     c{k} as materialized (select yr, node, least(any_value(core), max(least(value, rk)))::bigint as core from
@@ -458,22 +445,12 @@ def _core_rounds(n):
 
 
 @query("L11 J3", f"""
-    with e as (select distinct year(o_orderdate)::bigint as yr, 'c' || o_custkey as x, 's' || l_suppkey as y
-               from orders join lineitem on o_orderkey = l_orderkey where l_returnflag = 'R' and l_quantity >= 35),
+    with e as materialized (select distinct year(o_orderdate)::bigint as yr, 'c' || o_custkey as x, 's' || l_suppkey as y
+               from orders join lineitem on o_orderkey = l_orderkey),
     a as materialized (select yr, x as src, y as dst from e union all select yr, y, x from e),
-    c0 as (select yr, src as node, count(*) as core from a group by 1, 2){_core_rounds(14)}
-    select yr, count(*)::bigint as nodes, max(core)::bigint as top, round(avg(core), 6) as mean from c14 group by 1""")
+    c0 as (select yr, src as node, count(*) as core from a group by 1, 2){_core_rounds(ROUNDS_OF_CORES)}
+    select yr, count(*)::bigint as nodes, max(core)::bigint as top, round(avg(core), 6) as mean from c{ROUNDS_OF_CORES} group by 1""")
 def yearly_mean_coreness(t):
-    rows = order_lines(t).filter("l_returnflag = 'R' and l_quantity >= 35").select(
-        year("o_orderdate").alias("yr"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"),
-        F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
-    cores = cen.coreness(rows, by=["yr"])
-    return cores.groupBy("yr").agg(n_rows().alias("nodes"), F.max("core").alias("top"), r(F.avg("core")).alias("mean"))
-
-
-@query("L11 J3")
-def yearly_mean_coreness_all(t):
-    """All order lines; rows only, as the SQL needs as many rounds as the core numbers take to settle."""
     rows = order_lines(t).select(
         year("o_orderdate").alias("yr"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"),
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
@@ -507,9 +484,37 @@ def concentration_curve(t):
     return cen.core_curve(t.supplier.select("s_suppkey", "s_acctbal"), "s_acctbal", "s_suppkey").withColumn("corr", r("corr"))
 
 
-@query("L15")
+def _axis(matrix, k, squarings=14):
+    """First axis of a symmetric matrix by repeated squaring, scaled by the root of its value; and the rest of the matrix."""
+    out = f""",
+    s{k}_0 as materialized (select * from {matrix})"""
+    for i in range(squarings):
+        out += f""",
+    s{k}_{i + 1} as materialized (with p as (select a.i, b.j, sum(a.b * b.b) as b from s{k}_{i} a join s{k}_{i} b on a.j = b.i group by 1, 2)
+      select i, j, b / (select max(abs(b)) from p) as b from p)"""
+    last = f"s{k}_{squarings}"
+    return out + f""",
+    v{k} as materialized (select i, b / sqrt(sum(b * b) over ()) as v from {last}
+      where j = (select j from {last} where i = j order by b desc, j limit 1)),
+    l{k} as materialized (select sum(x.v * m.b * y.v) as l from {matrix} m join v{k} x on x.i = m.i join v{k} y on y.i = m.j),
+    y{k} as materialized (select i, v * sqrt(l) as y from v{k}, l{k}),
+    m{k} as materialized (select m.i, m.j, m.b - x.y * y.y as b from {matrix} m join y{k} x on x.i = m.i join y{k} y on y.i = m.j),
+    z{k} as materialized (select i, y * case when (select arg_max(y, {{'a': round(abs(y), 9), 'i': i}}) from y{k}) >= 0 then 1 else -1 end as y from y{k})"""
+
+
+@query("L15", f"""
+    with m as (select distinct l_orderkey as g, p_brand as c from lineitem join part on l_partkey = p_partkey),
+    n as (select c, count(*) as n from m group by 1),
+    p as (select x.c as a, y.c as b, count(*) as n from m x join m y on x.g = y.g and x.c <> y.c group by 1, 2),
+    d as materialized (select na.c as i, nb.c as j, case when na.c = nb.c then 0
+        else pow(1 - coalesce(p.n, 0) / (na.n + nb.n - coalesce(p.n, 0)), 2) end as d
+      from n na, n nb left join p on p.a = na.c and p.b = nb.c),
+    e as (select i, avg(d) as m from d group by 1),
+    m0 as materialized (select d.i, d.j, -0.5 * (d - x.m - y.m + (select avg(d) from d)) as b from d join e x on x.i = d.i join e y on y.i = d.j)
+    {_axis("m0", 1)}{_axis("m1", 2)}
+    select z1.i as node, round(z1.y, 6) as dim1, round(z2.y, 6) as dim2 from z1 join z2 on z1.i = z2.i""")
 def brand_map(t):
-    """Rows only: two axes of classical scaling."""
+    """Two axes of scaling; every brand is a landmark."""
     out = cen.mds(cut_lineage(brand_distances(t)))
     return out.select("node", r("dim1").alias("dim1"), r("dim2").alias("dim2"))
 

@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +168,29 @@ def test_scaling_recovers_a_plane(spark):
         assert np.linalg.norm(np.subtract(out[i], out[j])) == pytest.approx(d)
 
 
+def test_landmarks_place_three_thousand_nodes(spark):
+    """Distances in a plane are recovered from 20 landmarks; left-out pairs take the default."""
+    rng = np.random.default_rng(3)
+    pts = rng.normal(size=(3000, 2)) * [5, 1]
+    marks = [r.mark for r in cen.landmarks(spark.range(3000).withColumnRenamed("id", "node"), 20).collect()]
+    assert len(set(marks)) == 20
+    rows = pd.DataFrame([(i, m, float(np.linalg.norm(pts[i] - pts[m]))) for i in range(3000) for m in marks],
+                        columns=["node", "mark", "distance"])
+    out = cen.landmark_mds(spark.createDataFrame(rows)).toPandas().sort_values("node")
+    placed = out[["dim1", "dim2"]].to_numpy()
+    for i, j in rng.integers(0, 3000, (200, 2)):
+        assert np.linalg.norm(placed[i] - placed[j]) == pytest.approx(np.linalg.norm(pts[i] - pts[j]), abs=1e-6)
+    some = spark.createDataFrame(rows[rows.distance < 6])
+    filled = rows.assign(distance=rows.distance.where(rows.distance < 6, 9.0))
+    got = cen.landmark_mds(some, default=9.0).toPandas().set_index("node")
+    want = cen.landmark_mds(spark.createDataFrame(filled)).toPandas().set_index("node")
+    assert set(got.index) == set(rows[rows.distance < 6].node)  # a node without any distance has no place
+    assert np.allclose(got.sort_index(), want.loc[sorted(got.index)])
+    with pytest.raises(ValueError, match="default"):
+        cen.landmark_mds(some)
+    assert cen.landmark_mds(some.limit(0)).count() == 0
+
+
 def test_medoids_and_silhouette(spark):
     rng = np.random.default_rng(1)
     pts = np.concatenate([rng.normal(c, 0.5, (5, 2)) for c in ((0, 0), (6, 0), (0, 6))])

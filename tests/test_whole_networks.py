@@ -47,13 +47,13 @@ def cores(ties):
 
 def test_components_of_all_lines(spark, lines):
     want = labels({(c, p) for _, c, p, _ in lines})
-    assert {r.node: r.comp for r in catalog.QUERIES["connected_components_all"](spark, SF).collect()} == want
+    assert {r.node: r.comp for r in catalog.QUERIES["connected_components"](spark, SF).collect()} == want
     pairs = len(want) ** 2 - sum(n * n for n in Counter(want.values()).values())
-    assert [tuple(r) for r in catalog.QUERIES["unreachable_pair_count_all"](spark, SF).collect()] == [(pairs,)]
+    assert [tuple(r) for r in catalog.QUERIES["unreachable_pair_count"](spark, SF).collect()] == [(pairs,)]
 
 
 def test_yearly_cores_of_all_lines(spark, lines):
-    got = {r.yr: (r.nodes, r.top, r["mean"]) for r in catalog.QUERIES["yearly_mean_coreness_all"](spark, SF).collect()}
+    got = {r.yr: (r.nodes, r.top, r["mean"]) for r in catalog.QUERIES["yearly_mean_coreness"](spark, SF).collect()}
     assert got.keys() == {yr for yr, *_ in lines}
     for yr, (nodes, top, mean) in got.items():
         want = cores({(c, s) for y, c, _, s in lines if y == yr})
