@@ -9,6 +9,7 @@ from lodestar.plans import (  # noqa: F401
     relational_queries,
     scalar_queries,
     source_queries,
+    sql_queries,
     stream_queries,
     window_queries,
 )

@@ -271,3 +271,24 @@ def test_activity_ends_after_the_last_period(spark):
     assert got == {"a": (1, 3), "b": (3, 3), "c": (1, 3)}
     new = windows.novelty(df, ["k"], "y", 2, "new").collect()
     assert {(r.k, r.y): r.new for r in new} == {("a", 2000): 1, ("a", 2001): 1, ("b", 2002): 1, ("c", 2000): 1, ("c", 2002): 0}
+
+
+def test_a_restarted_stream_drops_old_state(spark, t):
+    from lodestar.plans import stream_queries as sq
+    out, (first, second) = sq.restarted(t)
+    windows_ = sq.stats(sq.activity(t), "5 minutes").count()
+    state = lambda q: q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert first.id == second.id and first.runId != second.runId  # one query, started twice
+    assert 0 < state(first) < windows_ / 4 and state(second) == 1  # only the event that is ahead of all is open
+    closed = spark.read.parquet(out)
+    assert closed.count() == windows_ == closed.select("start", "gt").distinct().count()
+
+
+def test_sql_functions(spark):
+    from lodestar.functions import sql
+    sql.register(sql.register(spark))
+    rows = spark.sql("select * from contributions(array('a', 'b'), 6D, 3)").collect()
+    assert [tuple(r) for r in rows] == [("a", 2.0), ("b", 2.0)]
+    assert spark.sql("select * from contributions(cast(array() as array<string>), 1D, 1)").collect() == []
+    row = spark.sql("select hhi(2500D + 2500D, 100D) as a, hhi(0D, 0D) as b, hhi(null, 1D) as c").first()
+    assert (row.a, row.b, row.c) == (5000.0, None, None)
