@@ -15,6 +15,8 @@ MARGINS = ("source", "lang", "topic")
 TOLERANCE = 1e-5
 #: Rounds between two looks at the error, and looks that must halve it, or the targets count as contradictory.
 ROUNDS, PATIENCE = 4, 2
+#: Cells up to this number are fitted in one task, without shuffles between the steps; the result is the same.
+SMALL = 100_000
 #: Parts of the own shares that are mixed into targets until they no longer contradict each other; 1 always fits.
 EASE = (0.0, 0.25, 0.5, 0.75, 1.0)
 #: Tempered target: a value's target share is proportional to its token share to this power.
@@ -138,10 +140,11 @@ def rake(cells: DataFrame, wanted: DataFrame) -> DataFrame | None:
         own = wanted.filter(F.col("margin") == m).select(F.col("value").alias(m), F.col("wanted").alias(f"t_{m}"))
         state = state.join(own, m)
     state = written(state)
-    total = state.agg(F.sum("tokens")).first()[0] or 0
+    size = state.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
+    total = size.tokens
     errors: list[float] = []
     while True:
-        new = state
+        new = state.coalesce(1) if size.n <= SMALL else state
         for m in MARGINS * ROUNDS:
             new = _step(new, m)
         new = written(new)
