@@ -225,7 +225,8 @@ def neg_binomial(df: DataFrame, y: str, terms: Mapping[str, Column], exposure: C
                  tol: float = 1e-8, max_iter: int = 50) -> tuple[DataFrame, float]:
     """Negative binomial regression (variance mu + mu^2 / theta) and its theta.
 
-    Alternates the term fit with Newton steps on theta.
+    Alternates the term fit with Newton steps on theta. A theta beyond
+    ``MAX_THETA`` says that the counts are no more spread than a Poisson's.
     """
     offset = F.log(exposure) if exposure is not None else F.lit(0.0)
     names = [ONE, *terms]
@@ -272,8 +273,8 @@ def neg_binomial(df: DataFrame, y: str, terms: Mapping[str, Column], exposure: C
         close = abs(theta - old) <= 1e-6 * theta and np.max(np.abs(new - beta)) <= 1e-6
         beta = new
         if close or theta > MAX_THETA:
-            break
-    return term_table(df, names, beta, np.sqrt(np.diag(inv))), float(theta)
+            return term_table(df, names, beta, np.sqrt(np.diag(inv))), float(theta)
+    raise RuntimeError("fit did not settle; raise max_iter")
 
 
 def _newton(value_grad_hess, start: np.ndarray, tol: float = 1e-9, max_iter: int = 100):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestar.functions.columns import day_text, r
+from lodestar.functions.columns import day_text, n_rows, r
 from lodestar.plans.registry import query
 from lodestar.session import materialize, scratch_path
 from lodestar.sources import files
@@ -68,19 +68,25 @@ def tab_delimited_load(t):
     return files.read_tsv(t.spark, path, "s_suppkey bigint, s_name string, s_acctbal double")
 
 
+BLOCK_LINKS = 16
+
+
 @query("A8", """
     with e as (select distinct o_custkey as src, l_suppkey as dst
                from orders join lineitem on o_orderkey = l_orderkey)
-    select src::varchar as src, (dst % 16)::bigint as block, count(*)::bigint as n,
+    select src::varchar as src, (dst % ceil(degree / 16))::bigint as block, count(*)::bigint as n,
            string_agg(dst::varchar, ',' order by dst::varchar) as dsts
-    from e group by 1, 2""")
+    from (select *, count(*) over (partition by src) as degree from e) group by 1, 2""")
 def adjacency_blocks(t):
     path = scratch_path(t.spark, "edges")
     edges = (t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
              .select("o_custkey", "l_suppkey").distinct())
     edges.select(F.concat_ws(" ", F.col("o_custkey").cast("string"),
                              F.col("l_suppkey").cast("string"))).write.text(path)
-    lists = files.adjacency(files.read_edge_list(t.spark, path), F.col("dst").cast("bigint") % 16)
+    ties = files.read_edge_list(t.spark, path)
+    ties = ties.join(ties.groupBy("src").agg(n_rows().alias("degree")), "src")
+    blocks = F.ceil(F.col("degree") / BLOCK_LINKS)  # a hub has as many blocks as its links need
+    lists = files.adjacency(ties, F.col("dst").cast("bigint") % blocks)
     return lists.select("src", "block", F.size("dsts").cast("bigint").alias("n"),
                         F.array_join("dsts", ",").alias("dsts"))
 
