@@ -147,8 +147,13 @@ def edge_betweenness(edges: DataFrame, sources: DataFrame | None = None) -> Data
         "src", "dst", F.coalesce("b", F.lit(0.0)).alias("betweenness"))
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, iters: int = 20, is_directed: bool = True) -> DataFrame:
-    """PageRank that sums to 1; weights split the rank, dangling mass is spread evenly."""
+def pagerank(edges: DataFrame, damping: float = 0.85, is_directed: bool = True, tol: float = 1e-9,
+             max_iter: int = 300, unroll: int = 5) -> DataFrame:
+    """PageRank that sums to 1; weights split the rank, dangling mass is spread evenly.
+
+    Ranks are compared after every ``unroll`` rounds; no rank may have moved by
+    more than ``tol`` of the mean rank in the last of them. Raises where that is not reached.
+    """
     arcs = edges if is_directed else both_ways(edges)
     out = arcs.groupBy("src").agg(F.sum("weight").alias("__out"))
     share = cut_lineage(arcs.join(out, "src").select("src", "dst", (F.col("weight") / F.col("__out")).alias("p")))
@@ -157,16 +162,23 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iters: int = 20, is_direct
     n = nodes.count()
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
     has_dangling = nodes.filter("dangling = 1").limit(1).count() > 0
-    for i in range(iters):
-        loose = ranks.agg(F.sum(F.col("rank") * F.col("dangling")).alias("d")).scalar() if has_dangling else F.lit(0.0)
-        arrived = (share.join(ranks.select(F.col("node").alias("src"), "rank"), "src")
-                   .groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("rank")).alias("got")))
-        ranks = nodes.join(arrived, "node", "left").select(
-            "node", "dangling",
-            ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)).alias("rank"))
-        if has_dangling or i % 5 == 4:
-            ranks = cut_lineage(ranks)
-    return ranks.select("node", "rank")
+    for _ in range(0, max_iter, unroll):
+        for i in range(unroll):
+            loose = ranks.agg(F.sum(F.col("rank") * F.col("dangling")).alias("d")).scalar() if has_dangling else F.lit(0.0)
+            old = [F.col("rank").alias("old")] if i == unroll - 1 else []
+            arrived = (share.join(ranks.select(F.col("node").alias("src"), "rank"), "src")
+                       .groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("rank")).alias("got")))
+            kept = ranks.select("node", "dangling", *old) if old else nodes
+            ranks = kept.join(arrived, "node", "left").select(
+                "node", "dangling", *[c for c in kept.columns if c == "old"],
+                ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)).alias("rank"))
+            if has_dangling or old:
+                ranks = cut_lineage(ranks)
+        moved = ranks.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        ranks = ranks.drop("old")
+        if moved is None or moved * n <= tol:
+            return ranks.select("node", "rank")
+    raise RuntimeError("ranks did not settle; raise max_iter")
 
 
 def pagerank_simple(edges: DataFrame, start: DataFrame, dampings: Sequence[float], iters: Sequence[int]) -> DataFrame:

@@ -378,7 +378,7 @@ def _rank_rounds(n):
     out = ""
     for k in range(1, n + 1):
         out += f""",
-    r{k} as (select n.node, 0.15 / c.n + 0.85 * (coalesce(sum(p.p * q.rank), 0)
+    r{k} as materialized (select n.node, 0.15 / c.n + 0.85 * (coalesce(sum(p.p * q.rank), 0)
         + coalesce((select sum(q2.rank) from r{k - 1} q2 where q2.node not in (select src from e)), 0) / c.n) as rank
       from nodes n cross join c left join p on p.dst = n.node left join r{k - 1} q on q.node = p.src group by n.node, c.n)"""
     return out
@@ -387,9 +387,9 @@ def _rank_rounds(n):
 @query("L7", f"""
     with {TRANSITIONS}, nodes as (select src as node from e union select dst from e), c as (select count(*)::double as n from nodes),
     p as (select src, dst, weight / sum(weight) over (partition by src) as p from e),
-    r0 as (select node, 1 / c.n as rank from nodes, c){_rank_rounds(5)} select node, round(rank, 10) as rank from r5""")
+    r0 as (select node, 1 / c.n as rank from nodes, c){_rank_rounds(60)} select node, round(rank, 8) as rank from r60""")
 def supplier_pagerank(t):
-    return cen.pagerank(cut_lineage(transitions(t)), 0.85, 5).withColumn("rank", r("rank", 10))
+    return cen.pagerank(cut_lineage(transitions(t)), 0.85).withColumn("rank", r("rank", 8))
 
 
 DAMPINGS = (0.15, 0.5, 0.85)
