@@ -55,13 +55,15 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, bits: int = 64, segme
     queries = written(codes.filter("asked").select("code").distinct())
     n = -(-bits // segment)
     index = written(classes.select("code", "ids", F.posexplode("code").alias("part", "value")))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found, open_, radius = None, queries, 0
     while True:
         values = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << segment) - 1).cast("long")),
                           lambda x: F.bit_count(x) == radius)
-        probes = (open_.select(F.col("code").alias("query"), F.posexplode("code").alias("part", "own"))
+        # Spark sizes exploded rows like their input: merged, as it would broadcast them at any size
+        probes = (open_.repartition(tasks, "code").select(F.col("code").alias("query"), F.posexplode("code").alias("part", "own"))
                   .select("query", "part", F.explode(F.transform(values, lambda x: x.bitwiseXOR(F.col("own")))).alias("value")))
-        new = (probes.join(index, ["part", "value"])
+        new = (probes.join(index.hint("merge"), ["part", "value"])
                .select("query", "code", "ids", distance(F.col("query"), F.col("code")).alias("distance")))
         found = written(_nearest(new if found is None else found.unionByName(new), k))
         radius += 1
