@@ -75,16 +75,33 @@ def rmse(df: DataFrame, y: str, pred: str, inverse: Callable[[Column], Column] =
 
 
 CLASS_METRICS = ("accuracy", "precision", "recall", "f1")
+ERROR_METRICS = ("rmse", "mae", "r2")
+
+
+def error_metrics(df: DataFrame, y: str, pred: str) -> DataFrame:
+    """One row with ``rmse``, ``mae`` and ``r2`` (1 - squared errors / squared distances from the mean; null for a constant ``y``)."""
+    off = F.col(y) - F.col(pred)
+    return df.agg(F.sqrt(F.avg(off * off)).alias("rmse"), F.avg(F.abs(off)).alias("mae"),
+                  (1 - F.try_divide(F.avg(off * off), F.var_pop(y))).alias("r2"))
 
 
 def fold_scores(est: Estimator, df: DataFrame, fold: str, metrics: Sequence[str] = CLASS_METRICS,
                 positive: float = 1.0) -> list[tuple[int, str, float]]:
-    """Scores on every held-out fold: one model and one aggregate row per fold."""
+    """Scores on every held-out fold: one model and one aggregate row per fold.
+
+    ``metrics`` are all of ``CLASS_METRICS`` or all of ``ERROR_METRICS`` (for numbers);
+    a class metric without a value counts as 0, an error metric as null.
+    """
+    errors = set(metrics) <= set(ERROR_METRICS)
+    if not errors and not set(metrics) <= set(CLASS_METRICS):
+        raise ValueError(f"metrics must come from {CLASS_METRICS} or from {ERROR_METRICS}")
     rows = []
     for k in sorted(r[0] for r in df.select(fold).distinct().collect()):
         model = est.fit(df.filter(F.col(fold) != k))
-        row = class_metrics(model.transform(df.filter(F.col(fold) == k)), "label", "prediction", positive).first()
-        rows += [(int(k), m, float(row[m]) if row[m] is not None else 0.0) for m in metrics]
+        scored = model.transform(df.filter(F.col(fold) == k))
+        row = (error_metrics(scored, "label", "prediction") if errors
+               else class_metrics(scored, "label", "prediction", positive)).first()
+        rows += [(int(k), m, float(row[m]) if row[m] is not None else None if errors else 0.0) for m in metrics]
     return rows
 
 

@@ -246,3 +246,41 @@ def largest_order_by_neighbours(t):
     rows = customer_measures(t).filter("x1 is not null and x2 is not null").withColumn("v", F.array("x1", "x2"))
     out = nn.knn_regress(rows, rows.select(F.col("id").alias("q"), "v"), "id", "q", "v", "x3", [10], exclude_same=True)
     return out.select("q", r("predicted").alias("predicted"))
+
+
+_SEARCH = """
+    d as (select a.vec_id as q, a.vec_id % 5 as fold, a.label as truth, b.vec_id as id, b.label, x.p, case when x.p = 2
+                 then list_distance(a.embedding::double[], b.embedding::double[])
+                 else list_sum(list_transform(list_zip(a.embedding::double[], b.embedding::double[]), lambda z: abs(z[1] - z[2]))) end as d
+          from embeddings a join embeddings b on a.vec_id % 5 <> b.vec_id % 5, (select unnest([{ps}]) as p) x),
+    n as (select *, row_number() over (partition by p, q order by d, id) as rk, min(d) over (partition by p, q) as least from d),
+    w as (select *, 'uniform' as weights, 1.0::double as w from n
+          union all select *, 'distance', case when least = 0 then (d = 0)::int::double else 1 / d end from n),
+    v as (select w.*, x.k from w join (select unnest([{ks}]) as k) x on w.rk <= x.k)"""
+
+
+@query("N4 O7", f"""
+    with {_SEARCH.format(ps="1, 2", ks="1, 3, 5, 7, 9, 11, 13, 15")},
+    l as (select p, weights, k, fold, q, truth, label, sum(w) as w from v group by all),
+    c as (select p, weights, k, fold, q, truth, first(label order by round(w, 9) desc, label) as a from l group by all),
+    f as (select p, weights, k, fold, avg((a = truth)::int) as score from c group by all)
+    select (row_number() over (order by round(avg(score), 12) desc, k, weights, p))::int as rank, p::int as p, weights, k::int as k,
+           round(avg(score), 6) as mean, round(stddev_pop(score), 6) as sd from f group by p, weights, k""")
+def neighbour_vote_search(t):
+    """Cross-validated accuracy of every number of neighbours, weighting and distance."""
+    rows = t.embeddings.select("vec_id", "embedding", "label", (F.col("vec_id") % 5).alias("fold"))
+    out = nn.knn_search(rows, "vec_id", "embedding", "label", "fold", range(1, 16, 2), ps=[1, 2])
+    return out.withColumns({"mean": r("mean"), "sd": r("sd")})
+
+
+@query("N5 O7", f"""
+    with {_SEARCH.format(ps="2", ks="2, 4, 8, 16, 32")},
+    c as (select p, weights, k, fold, q, truth, sum(w * label) / sum(w) as a from v group by all),
+    f as (select p, weights, k, fold, sqrt(avg(pow(a - truth, 2))) as score from c group by all)
+    select (row_number() over (order by round(avg(score), 12), k, weights, p))::int as rank, weights, k::int as k,
+           round(avg(score), 6) as mean, round(stddev_pop(score), 6) as sd from f group by p, weights, k""")
+def neighbour_mean_search(t):
+    """Cross-validated error of the mean over neighbours."""
+    rows = t.embeddings.select("vec_id", "embedding", "label", (F.col("vec_id") % 5).alias("fold"))
+    out = nn.knn_search(rows, "vec_id", "embedding", "label", "fold", [2, 4, 8, 16, 32], metric="rmse")
+    return out.select("rank", "weights", "k", r("mean").alias("mean"), r("sd").alias("sd"))

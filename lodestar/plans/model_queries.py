@@ -231,6 +231,23 @@ def quality_cv_scores(t):
     return out.select("metric", r("mean").alias("mean"), r("sd").alias("sd"))
 
 
+@query("O6 N6", """
+    with m as (select f.fold, regr_slope(l_extendedprice, l_quantity) as b, regr_intercept(l_extendedprice, l_quantity) as a
+               from lineitem join (select unnest(range(5)) as fold) f on l_orderkey % 5 <> f.fold group by 1),
+    s as (select fold, sqrt(avg(pow(l_extendedprice - a - b * l_quantity, 2))) as rmse,
+                 avg(abs(l_extendedprice - a - b * l_quantity)) as mae,
+                 1 - avg(pow(l_extendedprice - a - b * l_quantity, 2)) / var_pop(l_extendedprice) as r2
+          from lineitem join m on l_orderkey % 5 = fold group by 1),
+    l as (unpivot s on rmse, mae, r2 into name metric value score)
+    select metric, round(avg(score), 4) as mean, round(stddev_pop(score), 4) as sd from l group by 1""")
+def price_cv_errors(t):
+    """Errors of a line through prices by quantity, on held-out orders."""
+    rows = mo.assemble(t.lineitem.select("l_orderkey", "l_quantity", "l_extendedprice"), ["l_quantity"], "l_extendedprice")
+    rows = cut_lineage(rows.withColumn("fold", (F.col("l_orderkey") % 5).cast("int")))
+    out = ev.cv_scores(mo.linear(), rows, "fold", ev.ERROR_METRICS)
+    return out.select("metric", r("mean", 4).alias("mean"), r("sd", 4).alias("sd"))
+
+
 @query("O7")
 def quality_grid_search(t):
     table, _, _ = ev.grid_search(mo.tree(), doc_frame(t), {"maxDepth": [2, 4], "impurity": ["gini", "entropy"]}, "fold", "f1")

@@ -359,3 +359,71 @@ def test_nets(spark, regression):
     scored = model.transform(rows)
     assert ev.class_metrics(scored, "label", "prediction", 1.0).first().accuracy > 0.85
     assert scored.select(vector_to_array("probability")[1]).count() == 120
+
+
+def _neighbour_answer(rows, train, k, weights, metric):
+    """Plain answers by brute force: (predicted, truth) per row."""
+    out = []
+    for _, v, y in rows:
+        near = sorted((float(np.linalg.norm(np.subtract(v, u))), i, z) for i, u, z in train)[:k]
+        zero = near[0][0] == 0
+        w = [1.0 if weights == "uniform" else float(d == 0) if zero else 1 / d for d, _, _ in near]
+        if metric == "rmse":
+            out.append((sum(a * z for a, (_, _, z) in zip(w, near)) / sum(w), y))
+        else:
+            votes = {z: round(sum(a for a, (_, _, q) in zip(w, near) if q == z), 9) for _, _, z in near}
+            out.append((min(votes, key=lambda z: (-votes[z], z)), y))
+    return out
+
+
+def _score(pairs, metric):
+    return (np.sqrt(np.mean([(a - y) ** 2 for a, y in pairs])) if metric == "rmse" else np.mean([a == y for a, y in pairs]))
+
+
+@pytest.mark.parametrize("metric", ["accuracy", "rmse"])
+def test_neighbour_search_against_brute_force(spark, metric):
+    rng = np.random.default_rng(4)
+    data = [(i, [float(x) for x in rng.integers(0, 6, 2)], int(rng.integers(0, 3)), i % 3, i % 4) for i in range(90)]
+    extra = [(900, [0.0, 0.0], None, 0, 0), (901, [0.0, 0.0], 1, None, None)]
+    df = spark.createDataFrame(data + extra, "id long, v array<double>, y int, outer int, inner int")
+    grid = [(w, k) for k in (1, 4, 9) for w in ("distance", "uniform")]
+
+    def scores(rows, at):
+        pick = lambda keep: [(r[0], r[1], r[2]) for r in rows if keep(r[at])]
+        return {(w, k, f): _score(_neighbour_answer(pick(lambda x: x == f), pick(lambda x: x != f), k, w, metric), metric)
+                for w, k in grid for f in sorted({r[at] for r in rows})}
+
+    want = scores(data, 4)
+    got = nn.knn_fold_scores(df, "id", "v", "y", "inner", [1, 4, 9], metric=metric).collect()
+    assert {(r.weights, r.k, r.fold): round(r.score, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+    table = nn.knn_search(df, "id", "v", "y", "inner", [1, 4, 9], metric=metric).orderBy("rank").collect()
+    assert [r.rank for r in table] == list(range(1, 7))
+    means = [r["mean"] for r in table]
+    assert means == pytest.approx(sorted(means, reverse=metric == "accuracy"))
+
+    sign, outside = (1 if metric == "accuracy" else -1), scores(data, 3)
+    for r in nn.knn_nested(df, "id", "v", "y", "outer", "inner", [1, 4, 9], metric=metric).collect():
+        inside = scores([x for x in data if x[3] != r.fold], 4)
+        mean = {g: float(np.mean([inside[(*g, f)] for f in range(4)])) for g in grid}
+        best = min(grid, key=lambda g: (-sign * round(mean[g], 12), g[1], g[0]))
+        assert (r.weights, r.k) == best
+        assert (r.inner, r.outer) == pytest.approx((mean[best], outside[(*best, r.fold)]))
+
+
+def test_errors_of_held_out_folds(spark):
+    data = [(float(i), 2.0 * i + (i % 3), i % 4) for i in range(40)]
+    rows = mo.assemble(spark.createDataFrame(data, "x double, y double, fold int"), ["x"], "y")
+    got = {r.metric: (r.mean, r.sd) for r in ev.cv_scores(mo.linear(), rows, "fold", ev.ERROR_METRICS).collect()}
+    each = {"rmse": [], "mae": [], "r2": []}
+    for f in range(4):
+        x, y = np.array([d[:2] for d in data if d[2] != f]).T
+        b, a = np.polyfit(x, y, 1)
+        tx, ty = np.array([d[:2] for d in data if d[2] == f]).T
+        off = ty - a - b * tx
+        each["rmse"].append(np.sqrt((off ** 2).mean()))
+        each["mae"].append(np.abs(off).mean())
+        each["r2"].append(1 - (off ** 2).mean() / ty.var())
+    for m, v in each.items():
+        assert got[m] == pytest.approx((np.mean(v), np.std(v)), abs=1e-8)
+    with pytest.raises(ValueError):
+        ev.cv_scores(mo.linear(), rows, "fold", ["rmse", "accuracy"])
