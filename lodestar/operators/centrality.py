@@ -204,28 +204,32 @@ def pagerank_simple(edges: DataFrame, start: DataFrame, dampings: Sequence[float
 
 
 def eigen_centrality(edges: DataFrame, is_directed: bool = False, tol: float = 1e-10, max_iter: int = 500,
-                     unroll: int = 4) -> DataFrame:
-    """Leading eigenvector with maximum 1, by power steps on A + I along in-arcs.
+                     unroll: int = 4, by: Sequence[str] = ()) -> DataFrame:
+    """Leading eigenvector with maximum 1, by power steps on A + I along in-arcs; one of each graph with ``by``.
 
-    Several steps run as one plan; the shift keeps two-mode graphs from
-    oscillating. On an acyclic directed graph the scores tend to zero.
+    Several steps run as one plan, for all graphs at once; the shift keeps two-mode
+    graphs from oscillating. On an acyclic directed graph the scores tend to zero.
     """
-    arcs = edges.select("src", "dst", "weight") if is_directed else both_ways(edges.select("src", "dst", "weight"))
-    nodes = nodes_of(arcs)
+    by = list(by)
+    arcs = edges.select("src", "dst", "weight", *by) if is_directed else both_ways(edges.select("src", "dst", "weight", *by))
+    nodes = nodes_of(arcs, by)
     steps = cut_lineage(arcs.union(nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"),
-                                                F.lit(1.0).alias("weight"))))
+                                                F.lit(1.0).alias("weight"), *by)))
     x = nodes.withColumn("x", F.lit(1.0))
     for _ in range(0, max_iter, unroll):
         y = x.withColumn("x0", F.col("x"))
         for _ in range(unroll):
-            y = (steps.join(y.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node"))
+            y = (steps.join(y.withColumnRenamed("node", "src"), [*by, "src"]).groupBy(*by, F.col("dst").alias("node"))
                  .agg(F.sum(F.col("weight") * F.col("x")).alias("x"),
                       F.max(F.when(F.col("src") == F.col("dst"), F.col("x0"))).alias("x0")))
         y = cut_lineage(y)
-        top = y.agg(F.max("x")).first()[0]
-        y = y.withColumn("x", F.col("x") / F.lit(top))
+        if by:
+            y = y.join(y.groupBy(*by).agg(F.max("x").alias("top")), by).withColumn("x", F.col("x") / F.col("top"))
+        else:
+            top = y.agg(F.max("x")).first()[0]
+            y = y.withColumn("x", F.col("x") / F.lit(top))
         change = y.agg(F.max(F.abs(F.col("x") - F.col("x0")))).first()[0]
-        x = y.select("node", "x")
+        x = y.select(*by, "node", "x")
         if change < tol:
             return x.withColumnRenamed("x", "eigen")
     raise RuntimeError("eigenvector scores did not settle; raise max_iter")
@@ -313,12 +317,18 @@ def centralization(scores: DataFrame, col: str, kind: str) -> DataFrame:
         F.try_divide("gap", "most").alias("centralization"))
 
 
-def core_curve(scores: DataFrame, col: str, tie: str) -> DataFrame:
-    """Correlation of the sorted scores with a step of p ones on top, for every p.
+def core_curve(scores: DataFrame, col: str, tie: str, by: Sequence[str] = ()) -> DataFrame:
+    """Correlation of the sorted scores with a step of p ones on top, for every p; one curve of each group with ``by``.
 
-    Running sums give all p at once: cov = (top_p - p * mean) / n.
+    Running sums give all p at once: cov = (top_p - p * mean) / n. Equal scores have no correlation.
     """
-    out = running_sums(scores, [], [desc(col), tie], {"p": F.lit(1).cast("bigint"), "__top": F.col(col)})
+    by = list(by)
+    out = running_sums(scores, by, [desc(col), tie], {"p": F.lit(1).cast("bigint"), "__top": F.col(col)})
+    if by:
+        own = scores.groupBy(*by).agg(F.avg(col).alias("__m"), F.stddev_pop(col).alias("__s"), n_rows().cast("double").alias("__n"))
+        share = F.col("p") / F.col("__n")
+        corr = F.try_divide((F.col("__top") - F.col("p") * F.col("__m")) / F.col("__n"), F.col("__s") * F.sqrt(share * (1 - share)))
+        return out.join(own, by).filter(F.col("p") < F.col("__n")).select(*by, "p", corr.alias("corr"))
     stats = scores.agg(F.avg(col).alias("m"), F.stddev_pop(col).alias("s"), n_rows().cast("double").alias("n"))
     mean, sd, n = (stats.select(c).scalar() for c in ("m", "s", "n"))
     share = F.col("p") / n

@@ -66,10 +66,12 @@ def similarity_z(df: DataFrame, distance: str, name: str) -> DataFrame:
                           ).drop("__sim")
 
 
-def above_group_quantile(df: DataFrame, keys: Sequence[str], col: str, p: float, flag: str) -> DataFrame:
-    """1 when the value exceeds the group's exact quantile."""
+def above_group_quantile(df: DataFrame, keys: Sequence[str], col: str, p: float, flag: str,
+                         reach: bool = False) -> DataFrame:
+    """1 when the value exceeds the group's exact quantile, with ``reach`` also when it equals it."""
     cut = quantiles(df, col, {"__cut": p}, by=keys)
-    return null_safe_join(df, cut, keys).withColumn(flag, (F.col(col) > F.col("__cut")).cast("int")).drop("__cut")
+    over = F.col(col) >= F.col("__cut") if reach else F.col(col) > F.col("__cut")
+    return null_safe_join(df, cut, keys).withColumn(flag, over.cast("int")).drop("__cut")
 
 
 def novelty(df: DataFrame, keys: Sequence[str], time: str, span: int, flag: str) -> DataFrame:

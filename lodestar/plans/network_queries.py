@@ -10,6 +10,8 @@ from lodestar.functions.columns import n_rows, r, year
 from lodestar.operators import centrality as cen
 from lodestar.operators import networks as net
 from lodestar.operators import pairs as pr
+from lodestar.operators import windows as win
+from lodestar.operators.ordered import neighbours
 from lodestar.operators.relational import snapshots
 from lodestar.plans.registry import query
 from lodestar.plans.relational_queries import order_lines
@@ -170,14 +172,17 @@ def decayed_ties(t):
     return out.withColumn("d", F.date_format("d", "yyyy-MM-dd"))
 
 
-@query("K4 C15 J3", """
-    with l as (select distinct o_custkey as a, l_suppkey as b, o_orderdate as d from orders join lineitem on o_orderkey = l_orderkey),
+_DECAYED = """
+    l as (select distinct o_custkey as a, l_suppkey as b, o_orderdate as d from orders join lineitem on o_orderkey = l_orderkey),
     s as (select y, a, b, d from (select distinct year(d)::bigint as y from l) ys join l on year(l.d) < ys.y),
     g as (select y, datediff('day', d, lead(d) over (partition by y, a, b order by d)) as gap from s),
     cut as (select y, gap from (select y, gap, row_number() over (partition by y order by gap) as rn, count(*) over (partition by y) as n
-            from g where gap is not null) where rn = ceil(0.9 * n))
-    select s.y, a, b, min(datediff('day', d, make_date(s.y, 1, 1)))::int as age from s join cut on cut.y = s.y
-    where datediff('day', d, make_date(s.y, 1, 1)) <= gap group by 1, 2, 3""")
+            from g where gap is not null) where rn = ceil(0.9 * n))"""
+_AGES = """select s.y, a, b, min(datediff('day', d, make_date(s.y, 1, 1)))::int as age from s join cut on cut.y = s.y
+    where datediff('day', d, make_date(s.y, 1, 1)) <= gap group by 1, 2, 3"""
+
+
+@query("K4 C15 J3", f"with {_DECAYED} {_AGES}")
 def decayed_ties_by_year(t):
     """One network per year: ties before it, trimmed by the renewals known then."""
     links = order_lines(t).select(
@@ -458,6 +463,71 @@ def yearly_mean_coreness(t):
     return cores.groupBy("yr").agg(n_rows().alias("nodes"), F.max("core").alias("top"), r(F.avg("core")).alias("mean"))
 
 
+@query("L11 K4 C15", f"""
+    with {_DECAYED}, ages as ({_AGES}),
+    e as materialized (select y as yr, 'c' || a as x, 's' || b as y from ages),
+    a as materialized (select yr, x as src, y as dst from e union all select yr, y, x from e),
+    c0 as (select yr, src as node, count(*) as core from a group by 1, 2){_core_rounds(ROUNDS_OF_CORES)}
+    select yr, count(*)::bigint as nodes, max(core)::bigint as top, round(avg(core), 6) as mean from c{ROUNDS_OF_CORES} group by 1""")
+def coreness_of_decayed_ties(t):
+    """Core numbers in the network of each year that is left after old ties have decayed."""
+    ties = decayed_ties_by_year(t).select(F.col("y").alias("yr"), F.concat(F.lit("c"), F.col("a").cast("string")).alias("src"),
+                                          F.concat(F.lit("s"), F.col("b").cast("string")).alias("dst"))
+    cores = cen.coreness(ties, by=["yr"])
+    return cores.groupBy("yr").agg(n_rows().alias("nodes"), F.max("core").alias("top"), r(F.avg("core")).alias("mean"))
+
+
+def _yearly_eigen_sql(n=40):
+    steps = "".join(f""",
+    x{k} as materialized (select a.yr, a.dst as node, sum(a.weight * x.v) / 1000 as v
+      from a join x{k - 1} x on x.node = a.src and x.yr = a.yr group by 1, 2)""" for k in range(1, n + 1))
+    return f"""tr as (select l_suppkey as src, lead(l_suppkey) over w as dst, lead(year(l_shipdate)) over w as t from lineitem
+             window w as (partition by l_partkey order by l_shipdate, l_orderkey, l_linenumber, l_suppkey)),
+    e as materialized (select s.yr, least(src, dst) as x, greatest(src, dst) as y, count(*)::double as weight
+      from tr join (select distinct t as yr from tr where t is not null) s on tr.t <= s.yr where src <> dst group by 1, 2, 3),
+    nodes as (select yr, x as node from e union select yr, y from e),
+    a as materialized (select yr, x as src, y as dst, weight from e union all select yr, y, x, weight from e
+      union all select yr, node, node, 1.0 from nodes), x0 as (select yr, node, 1.0 as v from nodes){steps},
+    eigen as (select yr::bigint as yr, node, round(v / max(v) over (partition by yr), 6) as eigen from x{n})"""
+
+
+def yearly_eigen(t):
+    """(yr, node, eigen): scores of suppliers in the transitions seen up to each year."""
+    rows = t.lineitem.select("l_partkey", "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", year("l_shipdate").alias("t"))
+    moves = neighbours(rows, ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey"],
+                       leads={"dst": "l_suppkey", "at": "t"}).filter("l_suppkey <> dst")
+    ties = cut_lineage(moves.groupBy("at", F.least("l_suppkey", "dst").alias("src"), F.greatest("l_suppkey", "dst").alias("dst"))
+                       .agg(n_rows().cast("double").alias("n")))
+    last = ties.agg(F.max("at").alias("m")).scalar()
+    seen = (snapshots(ties.withColumn("at", F.col("at") - 1), "at", ties.agg(F.min("at").alias("m")).scalar(), last, "yr")
+            .groupBy("yr", "src", "dst").agg(F.sum("n").alias("weight")))
+    return cen.eigen_centrality(cut_lineage(seen), by=["yr"]).withColumn("eigen", r("eigen"))
+
+
+@query("L9 L14", f"""
+    with {_yearly_eigen_sql()},
+    m as (select yr, avg(eigen) as mu, stddev_pop(eigen) as sd, count(*)::double as n from eigen group by 1),
+    t as (select yr, row_number() over w as p, sum(eigen) over (w rows unbounded preceding) as top from eigen
+          window w as (partition by yr order by eigen desc, node))
+    select yr, p::bigint as p, case when sd > 0 then round((top - p * mu) / n / (sd * sqrt(p / n * (1 - p / n))), 5) end as corr
+    from t join m using (yr) where p < n""")
+def yearly_concentration_curves(t):
+    """How far each year's eigenvector scores fall apart into a core of p suppliers and the rest."""
+    return cen.core_curve(yearly_eigen(t), "eigen", "node", by=["yr"]).withColumn("corr", r("corr", 5))
+
+
+@query("L9 E9 E12", f"""
+    with {_yearly_eigen_sql()},
+    m as (select *, round(avg(eigen) over (partition by node order by yr rows 9 preceding), 8) as ten_mean from eigen),
+    q as (select yr, quantile_cont(ten_mean, 0.75) as cut from m group by 1)
+    select yr, node, eigen, ten_mean, (ten_mean >= cut)::int as central from m join q using (yr)""")
+def lasting_central_suppliers(t):
+    """Suppliers whose mean score of up to ten years reaches the upper quarter of a year."""
+    means = win.rolling_mean(yearly_eigen(t), ["node"], "yr", "eigen", 10, "ten_mean").withColumn("ten_mean", r("ten_mean", 8))
+    return win.above_group_quantile(cut_lineage(means), ["yr"], "ten_mean", 0.75, "central", reach=True).select(
+        "yr", "node", "eigen", "ten_mean", "central")
+
+
 @query("L12")
 def nation_power(t):
     """Rows only: the scores solve a linear system over the trade ties."""

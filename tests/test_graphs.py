@@ -235,3 +235,29 @@ def test_unsettled_scores_are_an_error(spark):
         cen.eigen_centrality(path, max_iter=8)
     with pytest.raises(RuntimeError):
         cen.power_centrality(path, 0.4, max_iter=2)
+
+
+def test_scores_and_curves_of_several_graphs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, int(a), int(b), float(w)) for g in (1, 2, 3)
+            for a, b, w in zip(rng.integers(0, 8, 30), rng.integers(8, 14, 30), rng.integers(1, 5, 30))]
+    edges = spark.createDataFrame(rows, "g int, src long, dst long, weight double")
+    scores = cen.eigen_centrality(edges, by=["g"]).cache()
+    curves = {(r.g, r.p): r["corr"] for r in cen.core_curve(scores, "eigen", "node", by=["g"]).collect()}
+    seen = 0
+    for g in (1, 2, 3):
+        got = {r.node: r.eigen for r in scores.filter(F.col("g") == g).collect()}
+        names = sorted({x for r in rows if r[0] == g for x in r[1:3]})
+        a = np.zeros((len(names), len(names)))
+        for _, s, d, w in (r for r in rows if r[0] == g):
+            a[names.index(s), names.index(d)] += w
+            a[names.index(d), names.index(s)] += w
+        v = np.abs(np.linalg.eigh(a)[1][:, -1])
+        assert got == pytest.approx(dict(zip(names, v / v.max())), abs=1e-6)
+        c, n = np.sort(list(got.values())), len(names)
+        for p in range(1, n):
+            assert curves[g, p] == pytest.approx(np.corrcoef(c, np.r_[np.zeros(n - p), np.ones(p)])[0, 1], abs=1e-9)
+        seen += n - 1
+    assert len(curves) == seen
+    empty = cen.core_curve(scores.filter("g = 9"), "eigen", "node", by=["g"])
+    assert empty.count() == 0
