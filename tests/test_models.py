@@ -92,6 +92,19 @@ def test_negative_binomial_is_a_maximum(spark):
     assert climbs(loglik, np.array([est["(intercept)"][0], est["x"][0], theta]))
 
 
+def test_zero_inflated_terms_are_selected(spark):
+    rng = np.random.default_rng(5)
+    x, noise, z = rng.normal(size=(3, 1500))
+    y = np.where(rng.random(1500) < 1 / (1 + np.exp(1 - 1.5 * z)), 0, rng.poisson(np.exp(0.6 + 0.4 * x)))
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "noise": noise, "z": z, "y": y}))
+    terms, zeros = {n: F.col(n) for n in ("x", "noise")}, {n: F.col(n) for n in ("z", "noise")}
+    whole = {r.term: r for r in pa.zero_inflated_poisson(df, "y", terms, zeros, alpha=None).collect()}
+    kept = {r.term: r for r in pa.zero_inflated_poisson(df, "y", terms, zeros).collect()}
+    assert kept == {n: r for n, r in whole.items() if r.p < 0.05}
+    assert {"count:x", "zero:z"} <= set(kept) and len(kept) < len(whole)
+    assert whole["count:x"].estimate == pytest.approx(0.4, abs=0.1) and whole["zero:z"].estimate == pytest.approx(1.5, abs=0.4)
+
+
 def test_zero_inflated_poisson_is_a_maximum(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=500)
