@@ -298,11 +298,17 @@ def _newton(value_grad_hess, start: np.ndarray, tol: float = 1e-9, max_iter: int
     raise RuntimeError("fit did not settle; raise max_iter")
 
 
+#: Information on the log-odds of extra zeros below which they count as absent.
+FLAT = 1e-6
+
+
 def zero_inflated_poisson(df: DataFrame, y: str, terms: Mapping[str, Column], zero_terms: Mapping[str, Column] | None = None,
                           alpha: float | None = 0.05) -> DataFrame:
     """Poisson counts with a logit share of extra zeros; keeps terms with p below ``alpha``.
 
-    Newton steps on the joint likelihood, whose row derivatives are Columns.
+    Newton steps on the joint likelihood, whose row derivatives are Columns. Where
+    the counts have no extra zeros their share runs to 0 (or 1): the likelihood is
+    flat there, so the errors of the zero terms are infinite and their p is 1.
     """
     zero_terms = terms if zero_terms is None else zero_terms
     rows = df.select(F.col(y).cast("double").alias("__y"), F.lit(1.0).alias("x0"),
@@ -344,6 +350,8 @@ def zero_inflated_poisson(df: DataFrame, y: str, terms: Mapping[str, Column], ze
     start[k] = np.log(share / (1 - share))
     beta, _, hess = _newton(at, start)
     se = np.sqrt(np.clip(np.diag(np.linalg.pinv(-hess, hermitian=True)), 0, None))
+    if -hess[k, k] < FLAT:
+        se[k:] = np.inf
     names = [f"count:{t}" for t in (ONE, *terms)] + [f"zero:{t}" for t in (ONE, *zero_terms)]
     out = term_table(df, names, beta, se)
     return out.filter(F.col("p") < alpha) if alpha is not None else out

@@ -105,6 +105,16 @@ def test_zero_inflated_terms_are_selected(spark):
     assert whole["count:x"].estimate == pytest.approx(0.4, abs=0.1) and whole["zero:z"].estimate == pytest.approx(1.5, abs=0.4)
 
 
+def test_counts_without_extra_zeros(spark):
+    y = np.repeat([1, 2, 3, 4], 50)
+    df = spark.createDataFrame(pd.DataFrame({"y": y}))
+    whole = {r.term: r for r in pa.zero_inflated_poisson(df, "y", {}, {}, alpha=None).collect()}
+    assert whole["count:(intercept)"].estimate == pytest.approx(math.log(2.5), abs=1e-5)
+    zero = whole["zero:(intercept)"]
+    assert zero.se == math.inf and zero.p == 1
+    assert [r.term for r in pa.zero_inflated_poisson(df, "y", {}, {}).collect()] == ["count:(intercept)"]
+
+
 def test_zero_inflated_poisson_is_a_maximum(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=500)

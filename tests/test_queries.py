@@ -8,7 +8,7 @@ from lodestar.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 # needs more rows than the smallest tables hold
-SPARSE = {"lowest_shares_of_rich", "repeated_prices", "share_of_large_balances"}
+SPARSE = {"lowest_shares_of_rich", "purchases_zero_inflated_selected", "repeated_prices", "share_of_large_balances"}
 
 
 @pytest.fixture(scope="module")
