@@ -187,13 +187,14 @@ def over_pairs(lists: DataFrame, table: DataFrame, by: Sequence[str], value: str
     """
     by = list(by)
     table = cut_lineage(table.select(*by, "a", "b", F.col(value).cast("double").alias("__v")))
-    n = max(1, -(-table.count() // TABLE_ROWS), partitions(lists))
+    n = max(1, -(-table.count() // TABLE_ROWS))  # a list is copied to each block of its members
     block = lambda m: F.pmod(F.xxhash64(*by, m), F.lit(n)).cast("int")
     rows = lists.select("*", (F.col(at) if at else F.lit(0)).cast("double").alias("__t"))
     rows = rows.withColumn("__members", F.concat("left", F.coalesce("right", F.array().cast(lists.schema["left"].dataType))))
     rows = rows.withColumn("__b", F.explode(F.array_distinct(F.transform("__members", block)))).drop("__members")
     rows = cut_lineage(rows)
-    turns = cut_lineage(rows.groupBy(*by, "__b").agg(F.ceil(n_rows() / LISTS).cast("int").alias("__turns")))
+    each = min(LISTS, max(1, -(-rows.count() // (2 * partitions(lists)))))
+    turns = cut_lineage(rows.groupBy(*by, "__b").agg(F.ceil(n_rows() / each).cast("int").alias("__turns")))
     keep = [c for c in lists.columns if c not in ("left", "right")]
     rows = null_safe_join(rows, turns, [*by, "__b"]).withColumn(
         "__s", F.pmod(F.xxhash64(*keep, "left"), F.col("__turns")).cast("int")).drop("__turns")
