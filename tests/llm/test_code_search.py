@@ -3,6 +3,7 @@ import pytest
 from llm_helpers import tuples
 from pyspark.sql import functions as F
 
+from lodestar.llm import code_search
 from lodestar.llm.code_search import search
 
 
@@ -32,3 +33,26 @@ def test_nothing_to_find(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<double>")
     one = spark.createDataFrame([(10, [1.0] * 8)], "vec_id long, embedding array<double>")
     assert tuples(search(none, F.lit(True), bits=8)) == tuples(search(one, F.lit(True), bits=8)) == []
+
+
+@pytest.mark.parametrize("k,bits,segment", [(5, 64, None), (30, 20, 7)])
+def test_blocks_of_codes_together_answer_like_one(spark, monkeypatch, k, bits, segment):
+    monkeypatch.setattr(code_search, "CODES", 60)
+    monkeypatch.setattr(code_search, "QUERIES", 7)
+    rng = np.random.default_rng(bits)
+    rows = [(i, rng.normal(size=bits).tolist()) for i in range(300)]
+    rows += [(400 + i, rows[3][1]) for i in range(50)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = search(frame, F.col("vec_id") % 10 == 0, k=k, bits=bits, segment=segment)
+    assert tuples(got, "query_id", "neighbour_id", "distance", "rank") == expected(rows, k, bits)
+
+
+def test_segments_are_evened_out(spark, monkeypatch):
+    """524,288 codes would be numbered by 20 bits: the last of four segments had 4, which a sixteenth of all codes share."""
+    seen, cut = [], code_search.signs
+    monkeypatch.setattr(code_search, "signs", lambda v, bits, segment: seen.append(segment) or cut(v, bits, segment))
+    frame = spark.range(1 << 19).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"))
+    monkeypatch.setattr(code_search, "CODES", 1 << 19)
+    frame = frame.withColumn("embedding", F.array_repeat(F.lit(1.0), 64))
+    assert search(frame, F.lit(False)).count() == 0
+    assert seen == [16]
