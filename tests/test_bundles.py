@@ -122,3 +122,25 @@ def test_lists_visit_a_small_pair_table_once(spark, monkeypatch):
     assert out == {g: (g % 7, (g % 7) * (g % 7 - 1) // 2) for g in range(300) if g % 7}
     dealt = [s.count() for s in sent if "__b" in s.columns and "left" in s.columns]
     assert dealt == [len(out)]
+
+
+@pytest.mark.parametrize("sent", [0, 10_000])
+def test_scores_of_a_growing_network_without_a_copy_a_period(spark, small, monkeypatch, sent):
+    """Every tie is written once whatever the number of periods; the scores are those of a network each."""
+    monkeypatch.setattr(cen, "SENT_SCORES", sent)
+    kept, bundle = [], cen.bundled
+    monkeypatch.setattr(cen, "bundled", lambda *a, **b: kept.append(bundle(*a, **b)) or kept[-1])
+    rows = [(0, b, 1.0, 2000) for b in range(1, 6)] + [(1, 2, 3.0, 2001), (2, 6, 2.0, 2001), (3, 4, 1.0, None), (5, 5, 9.0, 2000)]
+    df = spark.createDataFrame(rows, "src int, dst int, weight double, t long")
+    got = {(r.yr, r.node): r.eigen for r in cen.growing_eigen_centrality(df, "t", "yr", tol=1e-7).collect()}
+    assert sum(len(r.arcs) for b in kept for r in b.collect()) == 2 * 8 + 7  # and one of each node to itself
+    for yr, n in ((2000, 6), (2001, 7)):
+        A = np.zeros((n, n))
+        for a, b, w, t in rows[:-1]:
+            if (t or 2000) <= yr:
+                A[a, b] = A[b, a] = w
+        v = np.abs(np.linalg.eigh(A)[1][:, -1])
+        assert [got.pop((yr, i)) for i in range(n)] == pytest.approx(list(v / v.max()), abs=1e-5)
+    assert not got
+    none = cen.growing_eigen_centrality(df.filter("t is null"), "t", "yr")
+    assert none.columns == ["yr", "node", "eigen"] and none.count() == 0
