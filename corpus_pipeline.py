@@ -15,10 +15,12 @@ from lodestar.llm import stages
 from lodestar.llm.tables import written
 from lodestar.session import table, tune
 
+mask_secrets = stages.mask_secrets
+
 STAGES = [
     ("toxicity", stages.drop_toxic),
     ("near_duplicates", stages.one_per_group),
-    ("secrets", stages.mask_secrets),
+    ("secrets", mask_secrets),
     ("mixing", stages.mix_sources),
     ("packing", stages.pack_sequences),
 ]
